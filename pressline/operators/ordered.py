@@ -26,10 +26,6 @@ from pyspark.sql import functions as F
 # rows per bucket: large enough to keep the bucket table tiny, small enough
 # to sort inside one task without spilling
 DEFAULT_BUCKET_ROWS = 1 << 17
-# above this many buckets the bucket table itself is scanned in two levels
-SMALL_TABLE_ROWS = 1 << 21
-# broadcast the bucket-offset table only below this many rows (checked count)
-BROADCAST_ROWS = 1 << 20
 
 
 def _cols(xs: Sequence[str]) -> list[Column]:
@@ -43,50 +39,49 @@ def prefix_sums(
     by: Sequence[str] = (),
     inclusive: bool = False,
     bucket_rows: int = DEFAULT_BUCKET_ROWS,
-    small_rows: int = SMALL_TABLE_ROWS,
+    levels: int = 1,
 ) -> DataFrame:
     """Add running totals of ``values`` over rows ordered by ``order``.
 
     ``order`` must be an integer column that is unique within each ``by``
-    group. Output column ``name`` is the sum over strictly earlier rows
-    (``inclusive=False``) or up to and including the row.
+    group, so a bucket ``floor(order / bucket_rows)`` never holds more than
+    ``bucket_rows`` rows. Output column ``name`` is the sum over strictly
+    earlier rows (``inclusive=False``) or up to and including the row.
+
+    The bucket-total table has one row per non-empty bucket (``N / bucket_rows``
+    for dense keys). Its running total is a window per ``by`` group; for very
+    sparse keys pass ``levels=2`` (or more) to scan that table the same way.
+    No action is run: AQE sees the real size of the bucket table at runtime
+    and broadcasts it only when it is under the broadcast threshold.
     """
     by = list(by)
     names = list(values)
     vals = {k: (F.col(v) if isinstance(v, str) else v) for k, v in values.items()}
-    bcol = "_pb"
-    tmp = {k: f"_pv_{i}" for i, k in enumerate(names)}
+    bcol = f"_pb{levels}"
+    tmp = {k: f"_pv{levels}_{i}" for i, k in enumerate(names)}
+    off = {k: f"_po{levels}_{i}" for i, k in enumerate(names)}
     base = df.withColumn(bcol, F.floor(F.col(order) / F.lit(bucket_rows)).cast("long"))
     for k in names:
         base = base.withColumn(tmp[k], vals[k])
 
     totals = base.groupBy(*by, bcol).agg(*[F.sum(tmp[k]).alias(tmp[k]) for k in names])
-    n_buckets = totals.count()
-    if n_buckets > small_rows:
-        # the bucket table is itself big: scan it the same way (bucket ids are
-        # unique within a group)
-        offs = prefix_sums(
-            totals, bcol, {f"_po_{i}": F.col(tmp[k]) for i, k in enumerate(names)},
-            by=by, inclusive=False, bucket_rows=bucket_rows, small_rows=small_rows,
-        )
+    if levels > 1:
+        offs = prefix_sums(totals, bcol, {off[k]: F.col(tmp[k]) for k in names}, by=by,
+                           inclusive=False, bucket_rows=bucket_rows, levels=levels - 1)
     else:
         wb = Window.partitionBy(*by).orderBy(bcol).rowsBetween(Window.unboundedPreceding, -1)
         offs = totals
-        for i, k in enumerate(names):
-            offs = offs.withColumn(f"_po_{i}", F.coalesce(F.sum(tmp[k]).over(wb), F.lit(0)))
-    offs = offs.select(*by, bcol, *[f"_po_{i}" for i in range(len(names))])
-    if n_buckets <= BROADCAST_ROWS:
-        offs = F.broadcast(offs)
+        for k in names:
+            offs = offs.withColumn(off[k], F.coalesce(F.sum(tmp[k]).over(wb), F.lit(0)))
+    offs = offs.select(*by, bcol, *off.values())
 
     joined = base.join(offs, on=[*by, bcol], how="inner")
     frame_end = Window.currentRow if inclusive else -1
     wl = (Window.partitionBy(*by, bcol).orderBy(order)
           .rowsBetween(Window.unboundedPreceding, frame_end))
-    for i, k in enumerate(names):
-        joined = joined.withColumn(
-            k, F.col(f"_po_{i}") + F.coalesce(F.sum(tmp[k]).over(wl), F.lit(0))
-        )
-    return joined.drop(bcol, *tmp.values(), *[f"_po_{i}" for i in range(len(names))])
+    for k in names:
+        joined = joined.withColumn(k, F.col(off[k]) + F.coalesce(F.sum(tmp[k]).over(wl), F.lit(0)))
+    return joined.drop(bcol, *tmp.values(), *off.values())
 
 
 def row_index(df: DataFrame, order: str, out: str, by: Sequence[str] = (),

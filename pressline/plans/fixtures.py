@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pressline.functions.fixed import STAGES
 from pressline.operators.ordered import row_index
 from pressline.operators.packing import byte_doc_len
+from pressline.session import materialize
 from pressline.sources.tables import table
 
 # per-stage sequence length used by the packing fixtures (overfit profile)
@@ -114,8 +115,8 @@ def run_log(spark: SparkSession, sf: str) -> DataFrame:
     stage = (F.when(F.col("step") * 10 <= F.col("n") * 6, F.lit("initial_stage"))
              .when(F.col("step") * 10 <= F.col("n") * 9, F.lit("lc_stage"))
              .otherwise(F.lit("annealing_stage")))
-    return ev.select("run", "step", "event_id", "ts", "loss", "n", stage.alias("stage"),
-                     (F.col("step") * TOKENS_PER_STEP).alias("tokens_processed"))
+    return materialize(ev.select("run", "step", "event_id", "ts", "loss", "n", stage.alias("stage"),
+                                 (F.col("step") * TOKENS_PER_STEP).alias("tokens_processed")))
 
 
 SQL_RUN_LOG = f"""

@@ -59,3 +59,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for a written intermediate table under the shared checkpoint folder."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/tables/{name}"
+
+
+def materialize(df):
+    """Cut the lineage of ``df`` with a reliable checkpoint.
+
+    The data is written under ``spark.checkpoint.dir`` (a shared folder on a
+    cluster), so a lost executor does not force recomputation of the plan
+    above it, and plans that reuse ``df`` several times stay small.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
