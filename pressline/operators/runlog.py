@@ -16,6 +16,11 @@ from pressline.operators.ordered import ema as _ema
 from pressline.operators.ordered import lag_by_step, with_halo
 
 
+def _micros(ts: Column) -> Column:
+    """Microseconds since the epoch for TIMESTAMP or TIMESTAMP_NTZ (read as UTC)."""
+    return F.unix_micros(ts.cast("timestamp"))
+
+
 def smoothing_window(n: Column) -> Column:
     """``min(100, max(2, n // 10))``."""
     return F.least(F.lit(SMOOTH_MAX_WINDOW), F.greatest(F.lit(SMOOTH_MIN_WINDOW), F.floor(n / SMOOTH_DIVISOR))).cast("int")
@@ -66,7 +71,7 @@ def step_interval(log: DataFrame, by: Sequence[str] = ("run",), step: str = "ste
     """M7: seconds since the previous row of the run, divided by ``divisor``
     (rows spanned; the reference divides by its print interval)."""
     t = lag_by_step(log, list(by), step, {"_pts": ts})
-    secs = (F.unix_micros(F.col(ts)) - F.unix_micros(F.col("_pts"))) / F.lit(1e6)
+    secs = (_micros(F.col(ts)) - _micros(F.col("_pts"))) / F.lit(1e6)
     return t.withColumn("interval_sec", secs / F.lit(float(divisor))).drop("_pts")
 
 
@@ -79,7 +84,7 @@ def throughput_eta(log: DataFrame, targets: dict[str, int], by: Sequence[str] =
     by = list(by)
     first = log.groupBy(*by, "stage").agg(F.min(ts).alias("_t0"))
     t = log.join(F.broadcast(first), on=[*by, "stage"])
-    elapsed = (F.unix_micros(F.col(ts)) - F.unix_micros(F.col("_t0"))) / F.lit(1e6)
+    elapsed = (_micros(F.col(ts)) - _micros(F.col("_t0"))) / F.lit(1e6)
     done = F.when(F.col("stage") == "initial_stage", F.col("stage_step")).otherwise(F.col("stage_tokens"))
     target = F.when(F.col("stage") == "initial_stage", F.lit(targets["initial_stage"])) \
         .when(F.col("stage") == "lc_stage", F.lit(targets["lc_stage"])).otherwise(F.lit(targets["annealing_stage"]))
