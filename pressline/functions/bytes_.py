@@ -96,3 +96,9 @@ def byte_alphabet_rows() -> list[tuple[int, str, int]]:
     """(byte, char, id) for all 256 bytes, by rule."""
     chars, ids = byte_to_char(), byte_to_id()
     return [(b, chars[b], ids[b]) for b in range(256)]
+
+
+def duck_byte_ids_sql(text_expr: str) -> str:
+    """DuckDB list expression of the byte-level ids of ``text_expr`` (oracle side)."""
+    case = byte_id_sql("b").replace("b", "CAST(('0x' || h) AS INTEGER)")
+    return f"list_transform(regexp_extract_all(hex(encode({text_expr})), '..'), lambda h: {case})"
