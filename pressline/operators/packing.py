@@ -215,27 +215,32 @@ def epoch_wrap(spark, total_blocks: Column, n_fetch: int, tokens_seen: int, L: i
 # ---------------------------------------------------------------- segments and visibility
 
 
-def doc_segments(tokens: Column) -> Column:
-    """Segment id per token = exclusive running count of EOD tokens."""
-    init = F.struct(F.lit(0).alias("c"), F.array().cast("array<int>").alias("out"))
+def eod_positions(tokens: Column) -> Column:
+    """0-based positions of the EOD tokens of a block."""
+    return F.filter(F.sequence(F.lit(0), F.size(tokens) - 1),
+                    lambda i: F.element_at(tokens, i + 1) == EOD_ID)
+
 
-    def step(acc, t):
-        return F.struct(
-            (acc["c"] + F.when(t == EOD_ID, 1).otherwise(0)).alias("c"),
-            F.concat(acc["out"], F.array(acc["c"])).alias("out"))
+def doc_segments(tokens: Column) -> Column:
+    """Segment id per token = number of EOD tokens strictly before it
+    (the EOD belongs to the document it closes; ids start at 0).
 
-    return F.aggregate(tokens, init, step, lambda acc: acc["out"])
+    Built from the segment lengths (O(L)) as ``k`` repeated ``len_k`` times,
+    so no per-token lambda rescans the block."""
+    lens = segment_lengths(tokens)
+    return F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.size(lens), F.lit(1))),
+                                 lambda k: F.array_repeat(k - 1, F.coalesce(F.try_element_at(lens, k), F.lit(0)))))
 
 
 def segment_lengths(tokens: Column) -> Column:
-    """Lengths of the document segments of a block, from EOD positions (O(L))."""
+    """Lengths of the document segments of a block, from EOD positions:
+    differences of consecutive boundaries, computed with one ``zip_with``
+    (no per-element recomputation)."""
     L = F.size(tokens)
-    eod_pos = F.filter(F.sequence(F.lit(0), L - 1),
-                       lambda i: F.element_at(tokens, i + 1) == EOD_ID)
-    bounds = F.concat(F.array(F.lit(-1)), eod_pos, F.array(L - 1))
-    lens = F.transform(F.sequence(F.lit(1), F.size(bounds) - 1),
-                       lambda k: F.element_at(bounds, k + 1) - F.element_at(bounds, k))
-    return F.filter(lens, lambda n: n > 0)
+    eod = eod_positions(tokens)
+    starts = F.concat(F.array(F.lit(-1)), eod)
+    ends = F.concat(eod, F.array(L - 1))
+    return F.filter(F.zip_with(ends, starts, lambda e, s: e - s), lambda n: n > 0)
 
 
 def visible_pairs(tok_rows: DataFrame, key: Sequence[str] = ("block_idx",)) -> DataFrame:

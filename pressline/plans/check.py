@@ -13,6 +13,7 @@ import sys
 import time
 
 import duckdb
+import pandas as pd
 
 from pressline.sources.tables import TABLES
 
@@ -25,9 +26,11 @@ def duck(sf_dir: str):
 
 
 def _norm(v, exact: bool):
+    if v is None or v is pd.NA or v is pd.NaT:
+        return None
     if isinstance(v, float):
         if math.isnan(v):
-            return "nan"
+            return None
         if exact:
             return repr(v)
         return float(f"{v:.9g}")
