@@ -1,3 +1,102 @@
-"""Registered queries."""
+"""Registered queries: Structured Streaming variants.
+
+Each query stages its input (a table written as files in key order under
+the shared checkpoint folder), runs the streaming query to completion with
+``availableNow`` and returns the sink table. The packer's result is the
+batch split (K2) with the same budgets, so its oracle is the batch SQL.
+"""
 
 from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pressline.plans.fixtures import SQL_RUN_LOG
+from pressline.plans.registry import register, with_ctes
+from pressline.session import scratch_path
+from pressline.sources.tables import table
+from pressline.streaming import monitor, packer
+
+V, T = 50_000, 200_000
+N_FILES = 8
+DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+SQL_STREAM_SPLIT = f"""
+WITH c AS (SELECT doc_id, CAST(octet_length(encode(text)) + 2 AS BIGINT) AS n FROM documents),
+o AS (SELECT doc_id, n, CAST(coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM c),
+b AS (SELECT min(start + n) AS vend FROM o WHERE start + n >= {V}),
+s AS (
+  SELECT o.doc_id, o.n, o.start,
+         CAST(greatest(0, least(o.n, {V} - o.start)) AS BIGINT) AS val_take,
+         CAST(CASE WHEN b.vend IS NOT NULL AND o.start >= b.vend THEN greatest(0, least(o.n, {T} - (o.start - b.vend))) ELSE 0 END AS BIGINT) AS train_take,
+         CAST(CASE WHEN o.start + o.n = b.vend AND greatest(0, least(o.n, {V} - o.start)) < o.n
+                   THEN o.n - greatest(0, least(o.n, {V} - o.start)) ELSE 0 END AS BIGINT) AS lost
+  FROM o, b
+)
+SELECT doc_id, n, start, val_take, train_take, lost FROM s WHERE val_take > 0 OR train_take > 0 OR lost > 0"""
+
+
+def _stage_docs(spark: SparkSession, sf: str) -> str:
+    src = scratch_path(spark, f"stream-src-{uuid.uuid4().hex[:12]}")
+    packer.write_ordered_files(table(spark, sf, "documents"), src, N_FILES)
+    return src
+
+
+def _result(spark: SparkSession, out: str) -> DataFrame:
+    r = spark.read.parquet(out)
+    return r.filter((F.col("val_take") > 0) | (F.col("train_take") > 0) | (F.col("lost") > 0)).select(
+        "doc_id", "n", "start", "val_take", "train_take", "lost")
+
+
+@register("stream_pack", sql=SQL_STREAM_SPLIT)
+def stream_pack(spark: SparkSession, sf: str) -> DataFrame:
+    """Incremental split of the document stream (one file per trigger)."""
+    out, _, _ = packer.run_stream_pack(spark, _stage_docs(spark, sf), DOC_SCHEMA, V, T)
+    return _result(spark, out)
+
+
+@register("stream_take", rows_only="micro-batch boundaries depend on the file layout")
+def stream_take(spark: SparkSession, sf: str) -> DataFrame:
+    """The stream stops doing work once the training budget is met;
+    later micro-batches are drained as no-ops. One row per micro-batch."""
+    _, state, _ = packer.run_stream_pack(spark, _stage_docs(spark, sf), DOC_SCHEMA, V, T)
+    return packer.stream_state(spark, state).select("batch_id", "total", "vend", "train_written", "done")
+
+
+@register("stream_resume", sql=SQL_STREAM_SPLIT)
+def stream_resume(spark: SparkSession, sf: str) -> DataFrame:
+    """The packer runs over the first part of the corpus and stops; more
+    files arrive and a new run on the same checkpoint and state continues
+    without re-reading. The final output equals one uninterrupted run."""
+    docs = table(spark, sf, "documents")
+    cut = docs.select(F.percentile_approx("doc_id", 0.3)).first()[0]
+    src = scratch_path(spark, f"stream-src-{uuid.uuid4().hex[:12]}")
+    packer.write_ordered_files(docs.filter(F.col("doc_id") <= cut), src, N_FILES // 2)
+    out, _, work = packer.run_stream_pack(spark, src, DOC_SCHEMA, V, T)
+    packer.write_ordered_files(docs.filter(F.col("doc_id") > cut), src, N_FILES // 2, first_index=N_FILES // 2)
+    packer.run_stream_pack(spark, src, DOC_SCHEMA, V, T, work=work)
+    return _result(spark, out)
+
+
+@register("stream_run_monitor", sql=with_ctes(SQL_RUN_LOG, """
+e(run, step, ema) AS (
+  SELECT run, step, loss FROM run_log WHERE step = 1
+  UNION ALL
+  SELECT r.run, r.step, 0.1 * r.loss + 0.9 * e.ema FROM e JOIN run_log r ON r.run = e.run AND r.step = e.step + 1
+)""", body="""
+SELECT run, step, round(ema, 6) AS ema FROM e""").replace("WITH ", "WITH RECURSIVE ", 1))
+def stream_run_monitor(spark: SparkSession, sf: str) -> DataFrame:
+    """EMA of the loss per run over the event stream (state per run)."""
+    src = scratch_path(spark, f"stream-ev-{uuid.uuid4().hex[:12]}")
+    packer.write_ordered_files(table(spark, sf, "events"), src, N_FILES, order="event_id")
+    work = scratch_path(spark, f"stream-mon-{uuid.uuid4().hex[:12]}")
+    s = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+    q = (monitor.ema_monitor(monitor.events_as_log(s)).writeStream.format("parquet")
+         .option("path", f"{work}/out").option("checkpointLocation", f"{work}/ckpt")
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    r = spark.read.parquet(f"{work}/out")
+    return r.select("run", "step", F.round("ema", 6).alias("ema"))
