@@ -145,7 +145,10 @@ def ema(df: DataFrame, by: Sequence[str], step: str, value: str, out: str,
     if not 0.0 < alpha <= 1.0:
         raise ValueError("alpha must be in (0, 1]")
     cap = int(600.0 / -math.log(d)) if d > 0 else 1 << 20
-    B = max(1, min(bucket_rows or (1 << 16), cap))
+    # at least enough rows that d^B < 1e-17: the history dropped beyond two
+    # buckets then weighs less than d^(2B) ~ 1e-35 of the result
+    least = int(math.ceil(40.0 / -math.log(d))) if d > 0 else 1
+    B = max(least, min(bucket_rows or (1 << 16), cap))
     ln_d = math.log(d) if d > 0 else None
     s0 = F.col(step) - 1
     b = F.floor(s0 / B).cast("long")
