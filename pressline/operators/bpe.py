@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 from pressline.functions.bytes_ import byte_ids, byte_to_char, byte_to_id
 from pressline.functions.fixed import N_SPECIAL, SPECIAL_TOKENS
 from pressline.functions.text import pretokenize_with_specials, special_map
-from pressline.session import materialize
+from pressline.session import materialize, materialize_table
 
 PAIR_SHIFT = 1 << 32
 TOP_K = 256
@@ -103,6 +104,77 @@ def apply_merges(sym: Column, merge_map: Column) -> Column:
                        .otherwise(acc["out"]))
 
 
+def apply_disjoint_merges(sym: Column, merge_map: Column) -> Column:
+    """The same rewrite in O(n) for a batch whose pairs share no symbol and
+    contain no (a, a) pair: then two matches can never overlap, so position
+    i emits the merged id when (i, i+1) matches, nothing when (i-1, i)
+    matched, and its own symbol otherwise."""
+    n = F.size(sym)
+
+    def hit(i):
+        return F.when((i >= 1) & (i < n),
+                      F.try_element_at(merge_map, F.element_at(sym, i).cast("long") * F.lit(PAIR_SHIFT)
+                                       + F.element_at(sym, i + 1).cast("long")))
+
+    out = F.transform(F.sequence(F.lit(1), n), lambda i: F.coalesce(
+        hit(i), F.when(hit(i - 1).isNotNull(), F.lit(-1)), F.element_at(sym, i)))
+    return F.filter(out, lambda x: x >= 0)
+
+
+def _partial_pair_counts(batches):
+    """mapInPandas body: weighted counts of adjacent pairs within one
+    partition (numpy), emitted as ``key = left * 2^32 + right``; Spark then
+    sums the partial counts by key (a small shuffle)."""
+    for pdf in batches:
+        keys, weights = [], []
+        for f, sym in zip(pdf["freq"].to_numpy(), pdf["sym"]):
+            a = np.asarray(sym, dtype=np.int64)
+            if a.size > 1:
+                keys.append(a[:-1] * PAIR_SHIFT + a[1:])
+                weights.append(np.full(a.size - 1, f, dtype=np.int64))
+        if not keys:
+            continue
+        k = np.concatenate(keys)
+        uniq, inv = np.unique(k, return_inverse=True)
+        cnt = np.bincount(inv, weights=np.concatenate(weights)).astype(np.int64)
+        yield pd.DataFrame({"key": uniq, "cnt": cnt})
+
+
+def _pair_counts(words: DataFrame, engine: str) -> DataFrame:
+    if engine == "native":
+        pairs = words.select("freq", F.explode(_pairs(F.col("sym"))).alias("p"))
+        return pairs.groupBy(F.col("p.l").alias("l"), F.col("p.r").alias("r")).agg(F.sum("freq").alias("cnt"))
+    part = words.mapInPandas(_partial_pair_counts, "key long, cnt long")
+    tot = part.groupBy("key").agg(F.sum("cnt").alias("cnt"))
+    return tot.select(F.shiftright("key", 32).cast("int").alias("l"),
+                      (F.col("key") % F.lit(PAIR_SHIFT)).cast("int").alias("r"), "cnt")
+
+
+def _merge_udf(batch: list[tuple[int, int, int]]):
+    """pandas UDF applying one round's merges left to right (also correct for
+    an (a, a) pair: a merged position is consumed)."""
+    table = {(a, b): n for a, b, n in batch}
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def merge(syms: pd.Series) -> pd.Series:
+        out = []
+        for sym in syms:
+            res, i, n = [], 0, len(sym)
+            while i < n:
+                if i + 1 < n:
+                    m = table.get((sym[i], sym[i + 1]))
+                    if m is not None:
+                        res.append(m)
+                        i += 2
+                        continue
+                res.append(sym[i])
+                i += 1
+            out.append(res)
+        return pd.Series(out)
+
+    return merge
+
+
 def _accept(top: list, model: BpeModel, budget: int) -> list[tuple[int, int, int]]:
     """Merges of one round: the longest prefix of the ranking whose pairs are
     pairwise symbol-disjoint. A pair created by these merges, (x, ab), has a
@@ -138,48 +210,53 @@ def _accept(top: list, model: BpeModel, budget: int) -> list[tuple[int, int, int
     return out
 
 
-def train_bpe(hist: DataFrame, vocab_size: int, checkpoint_every: int = 8,
-              max_rounds: int | None = None) -> BpeModel:
+def _parallelism(df: DataFrame) -> int:
+    """Tasks per round: the cluster's default parallelism (the word table is
+    small after the histogram; spread it over every core)."""
+    return max(1, df.sparkSession.sparkContext.defaultParallelism)
+
+
+def train_bpe(hist: DataFrame, vocab_size: int,
+              max_rounds: int | None = None, engine: str = "native") -> BpeModel:
     """Learn merges until the vocabulary has ``vocab_size`` entries (specials,
-    256-symbol alphabet, then merges in learning order) or no pair is left."""
+    256-symbol alphabet, then merges in learning order) or no pair is left.
+
+    ``engine="native"`` (default) counts pairs and rewrites the words with
+    Spark higher-order functions; ``engine="arrow"`` counts pairs per
+    partition with numpy and rewrites words in an Arrow-batched pandas UDF.
+    Both give the same merges.
+    """
     model = BpeModel.base()
     words = hist.select(F.col("freq").cast("long").alias("freq"), byte_ids(F.col("word")).alias("sym"))
-    words = materialize(words.filter(F.size("sym") > 1))
-    prev = None
+    words = materialize_table(words.filter(F.size("sym") > 1).repartition(_parallelism(words)), "bpe-words")
     rounds = 0
     while len(model.tokens) < vocab_size and (max_rounds is None or rounds < max_rounds):
-        pairs = words.select("freq", F.explode(_pairs(F.col("sym"))).alias("p"))
-        counts = pairs.groupBy(F.col("p.l").alias("l"), F.col("p.r").alias("r")).agg(F.sum("freq").alias("cnt"))
+        counts = _pair_counts(words, engine)
         # this job also fills the cache of ``words``
         top = counts.orderBy(F.col("cnt").desc(), F.col("l").asc(), F.col("r").asc()).limit(TOP_K).collect()
-        if prev is not None:
-            prev.unpersist()
-            prev = None
         if not top:
             break
         batch = _accept(top, model, vocab_size - len(model.tokens))
         if not batch:
             break
+        # a one-pair batch of equal symbols or a reused id needs the sequential pass
+        single = len(batch) == 1 and (batch[0][0] == batch[0][1] or batch[0][2] < len(model.tokens))
         for left, right, new in batch:
             if new == len(model.tokens):
                 model.tokens.append(model.tokens[left] + model.tokens[right])
             model.merges.append((left, right, new))
         mm = F.create_map(*[x for a, b, n in batch for x in (F.lit(a * PAIR_SHIFT + b), F.lit(n))])
-        nxt = words.withColumn("sym", apply_merges(F.col("sym"), mm)).filter(F.size("sym") > 1)
-        rounds += 1
-        if rounds % checkpoint_every == 0:
-            # reliable lineage cut in the shared checkpoint folder
-            nxt = materialize(nxt)
-            if words.is_cached:
-                words.unpersist()
+        if engine == "native":
+            rewrite = apply_merges if single else apply_disjoint_merges
+            new_sym = rewrite(F.col("sym"), mm)
         else:
-            # executor-local cache between cuts; a lost executor recomputes
-            # from the last reliable checkpoint
-            nxt = nxt.persist()
-            prev = words if words.is_cached else None
-        words = nxt
-    if words.is_cached:
-        words.unpersist()
+            new_sym = _merge_udf(batch)(F.col("sym"))
+        nxt = words.withColumn("sym", new_sym).filter(F.size("sym") > 1)
+        rounds += 1
+        # each round's words become a Parquet table in the shared checkpoint
+        # folder: lineage stays one round deep and a lost executor costs
+        # nothing but a re-read
+        words = materialize_table(nxt.repartition(_parallelism(nxt)), "bpe-words")
     model.rounds = rounds
     return model
 
@@ -219,42 +296,43 @@ def _encoder(model: BpeModel):
     return enc
 
 
-def encode_words(words: DataFrame, model: BpeModel, word: str = "word") -> DataFrame:
-    """Encode distinct words with an Arrow-batched pandas UDF (the merge ranks
-    travel with the function: bounded by the vocabulary size)."""
+ENCODE_CACHE_WORDS = 200_000
+
+
+def encode_word_arrays(words: Column, model: BpeModel) -> Column:
+    """ids of a document from its word array: an Arrow-batched pandas UDF
+    applies the merge ranks word by word, with a bounded per-worker cache of
+    encoded words (Zipf: most occurrences are cache hits). The merge table
+    travels with the function and is bounded by the vocabulary size."""
     enc = _encoder(model)
+    cache: dict[str, list[int]] = {}
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode_udf(s: pd.Series) -> pd.Series:
-        cache: dict[str, list[int]] = {}
+    def encode_udf(docs: pd.Series) -> pd.Series:
         out = []
-        for w in s:
-            r = cache.get(w)
-            if r is None:
-                r = enc(w)
-                cache[w] = r
-            out.append(r)
+        for ws in docs:
+            ids: list[int] = []
+            for w in ws:
+                r = cache.get(w)
+                if r is None:
+                    r = enc(w)
+                    if len(cache) < ENCODE_CACHE_WORDS:
+                        cache[w] = r
+                ids.extend(r)
+            out.append(ids)
         return pd.Series(out)
 
-    return words.withColumn("ids", encode_udf(F.col(word)))
+    return encode_udf(words)
 
 
 def bpe_encode(docs: DataFrame, model: BpeModel, key: str = "doc_id", text: str = "text",
                bod: bool = True, eod: bool = True) -> DataFrame:
-    """Documents -> ids. Distinct words are encoded once and joined back
-    (AQE splits hot-word partitions of the join); the ids are reassembled
-    per document in word order and the markers added."""
-    occ = words_of(docs, text, keep=(key,))
-    distinct = occ.select("word").distinct()
-    table = encode_words(distinct, model)
-    j = occ.join(table, "word")
-    doc_ids = j.groupBy(key).agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("wpos", "ids"))), lambda x: x["ids"])).alias("ids"))
-    # documents with no words still get their markers
-    doc_ids = docs.select(key).join(doc_ids, key, "left").withColumn(
-        "ids", F.coalesce(F.col("ids"), F.array().cast("array<int>")))
-    parts = ([F.array(F.lit(1))] if bod else []) + [F.col("ids")] + ([F.array(F.lit(2))] if eod else [])
-    return doc_ids.withColumn("ids", F.concat(*parts))
+    """Documents -> ids, map-only: the JVM pre-tokenizer (the same one the
+    histogram used) splits the text, one Python pass per Arrow batch applies
+    the merges, and the markers are added natively. Nothing is shuffled."""
+    ids = encode_word_arrays(pretokenize_with_specials(F.col(text)), model)
+    parts = ([F.array(F.lit(1))] if bod else []) + [ids] + ([F.array(F.lit(2))] if eod else [])
+    return docs.select(key, F.concat(*parts).alias("ids"))
 
 
 def bpe_decode(ids_df: DataFrame, model: BpeModel, spark: SparkSession, key: str = "doc_id",

@@ -71,3 +71,15 @@ def materialize(df):
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize_table(df, name: str):
+    """Cut lineage by writing ``df`` as a Parquet table under the shared
+    checkpoint folder and reading it back (columnar, compressed, readable by
+    any executor; cheaper than a serialized RDD checkpoint for wide rows)."""
+    import uuid
+
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
