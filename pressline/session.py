@@ -51,6 +51,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder on a cluster")
+        # local runs and tests only: a scratch folder on this machine
         conf = tempfile.mkdtemp(prefix="pressline-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
