@@ -167,12 +167,18 @@ def make_blocks(pieces: DataFrame, L: int | Column, ids: str = "ids", start: str
     e = F.col(start) + F.col(take)
     lo = F.greatest(F.lit(0), F.ceil(s / Lc) - 1)
     hi = F.least(F.floor((e - 1) / Lc), F.col("total_blocks") - 1)
-    p = p.filter(hi >= lo).withColumn("block_idx", F.explode(F.sequence(lo.cast("long"), hi.cast("long"))))
-    bs = F.col("block_idx") * Lc
-    from_pos = F.greatest(s, bs)
-    to_pos = F.least(e, bs + Lc + 1)
-    p = p.select(*by, "block_idx", from_pos.alias("_from"),
-                 F.slice(ids, (from_pos - s + 1).cast("int"), (to_pos - from_pos).cast("int")).alias("_part"))
+    # one slice per overlapped block, built inside the row and exploded as
+    # small structs: the document's id array is never copied per block
+    def piece(b):
+        bs = b * Lc
+        frm = F.greatest(s, bs)
+        to = F.least(e, bs + Lc + 1)
+        return F.struct(b.alias("block_idx"), frm.alias("_from"),
+                        F.slice(ids, (frm - s + 1).cast("int"), (to - frm).cast("int")).alias("_part"))
+
+    p = p.filter(hi >= lo).select(*by, F.explode(F.transform(
+        F.sequence(lo.cast("long"), hi.cast("long")), piece)).alias("_pc"))
+    p = p.select(*by, "_pc.block_idx", "_pc._from", "_pc._part")
     blocks = p.groupBy(*by, "block_idx").agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_from", "_part"))),
                               lambda x: x["_part"])).alias("tokens"))
