@@ -84,7 +84,7 @@ def greedy_match(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("argmax_token", sql=with_ctes(SQL_LSM, body="""
-SELECT doc, arg_max(am, pos) AS next_id FROM lsm GROUP BY doc"""))
+SELECT doc, CAST(arg_max(am, pos) AS BIGINT) AS next_id FROM lsm GROUP BY doc"""))
 def argmax_token(spark: SparkSession, sf: str) -> DataFrame:
     """Next id = argmax of the last position's logits (lowest id on ties)."""
     return _lsm(spark, sf).groupBy("doc").agg(F.max_by("am", "pos").alias("next_id"))
