@@ -18,6 +18,11 @@ import pandas as pd
 from pressline.sources.tables import TABLES
 
 
+_SPARK_TYPES = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "DoubleType()": "DOUBLE",
+                "StringType()": "VARCHAR", "BooleanType()": "BOOLEAN", "FloatType()": "FLOAT",
+                "TimestampNTZType()": "TIMESTAMP", "TimestampType()": "TIMESTAMP WITH TIME ZONE"}
+
+
 def duck(sf_dir: str):
     con = duckdb.connect()
     for t in TABLES:
@@ -66,6 +71,12 @@ def compare(spark, sf_dir: str, names: list[str] | None = None, verbose: bool =
             rec["spark_rows"] = len(sp)
             rec["spark_sec"] = round(time.time() - t0, 2)
             if name in ORACLE:
+                types = {f.name: _SPARK_TYPES.get(repr(f.dataType), repr(f.dataType)) for f in sdf.schema.fields}
+                duck_types = {r[0]: r[1] for r in con.execute("DESCRIBE " + ORACLE[name]).fetchall()}
+                rec["types_match"] = types == duck_types
+                if not rec["types_match"]:
+                    rec["types"] = {c: (types.get(c), duck_types.get(c)) for c in set(types) | set(duck_types)
+                                    if types.get(c) != duck_types.get(c)}
                 dp = con.execute(ORACLE[name]).fetchdf()
                 rec["oracle_rows"] = len(dp)
                 sc, sr = _rows(sp, False)
@@ -86,7 +97,7 @@ def compare(spark, sf_dir: str, names: list[str] | None = None, verbose: bool =
         rec["sec"] = round(time.time() - t0, 2)
         results[name] = rec
         if verbose:
-            ok = rec.get("values_match")
+            ok = rec.get("values_match") and rec.get("types_match", True)
             flag = "OK " if ok else ("ROW" if rec.get("oracle") else "ERR" if "error" in rec else "BAD")
             if ok and not rec.get("exact_match"):
                 flag = "OK~"
