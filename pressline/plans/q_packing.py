@@ -10,6 +10,7 @@ from pressline.functions.fixed import EOD_ID
 from pressline.operators import packing as K
 from pressline.plans.fixtures import SQL_STAGE, stage_cfg, stage_corpus
 from pressline.plans.registry import register, with_ctes
+from pressline.session import materialize_table
 from pressline.sources.tables import table
 
 BYTE_ID = byte_id_sql("b")
@@ -44,15 +45,26 @@ blk AS (
 )"""
 
 
+def _lengths(spark: SparkSession, sf: str) -> DataFrame:
+    """(stage, doc_id, n) for every stage document, computed in one pass over
+    the corpus and written as a small table: budgets, offsets and the split
+    all derive from it instead of re-reading the texts."""
+    return materialize_table(stage_corpus(spark, sf), "stage-lengths")
+
+
 def _split(spark: SparkSession, sf: str, with_text: bool = False) -> DataFrame:
-    corpus = stage_corpus(spark, sf, with_text=with_text)
+    corpus = _lengths(spark, sf)
     cfg = stage_cfg(corpus)
     off = K.token_offsets(corpus)
     return K.split_by_budget(off, cfg).join(F.broadcast(cfg.select("stage", "seq_len")), "stage")
 
 
 def _pieces(spark: SparkSession, sf: str) -> DataFrame:
-    p = K.split_pieces(_split(spark, sf, with_text=True))
+    """Split pieces with their ids: only the pieces (not the whole corpus
+    through the offset shuffle) are joined back to the texts by doc_id."""
+    p = K.split_pieces(_split(spark, sf))
+    texts = table(spark, sf, "documents").select("doc_id", "text")
+    p = p.join(texts, "doc_id")
     return p.withColumn("ids", F.slice(K.byte_doc_ids(F.col("text")), 1, F.col("take").cast("int"))).drop("text")
 
 
