@@ -12,16 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pressline.session import materialize_table
 
 #: bytes of text that the numpy code handles at once; a longer text is handled alone
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+
+
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def importable(spark: SparkSession) -> None:
     """Lets Python workers on this machine import the package from where the
-    driver has it, whatever folder they start in (a cluster installs it)."""
+    driver has it, whatever folder they start in (a cluster installs it), and
+    bounds the Arrow batches of long texts unless the session sets a size."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
+    if spark.conf.get(_BATCH_BYTES) == "67108864b":  # untouched: whole texts need smaller Arrow batches
+        spark.conf.set(_BATCH_BYTES, "8m")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

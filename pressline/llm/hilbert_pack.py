@@ -11,7 +11,9 @@ sequences. Texts never move; the ids move once.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, spans_of, text_bytes
+from .textbatch import per_text, word_hashes, words
 
 SEQUENCE, END_ID = 4096, 2
 DIMS, BITS, BUCKETS = 4, 12, 256
 #: words whose ids a worker remembers; others are encoded when they are met
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 VOCABULARY = "word_bpe_49k.json"
 _MARK = "\x01"
 
@@ -38,13 +41,19 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+_VISIBLE = re.compile(rb"[!-~]{1,64}")
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+
+
 class WordEncoder:
     """Ids of whole texts, word by word.
 
     The vocabulary's pattern drops white space and no token spans it, so a
-    text's ids are those of its words in order. The frequent words of a corpus
-    are encoded once per worker; the others of a chunk go through the library
-    in one call, with a marker between them whose id no other text gives."""
+    text's ids are those of its words in order. The words of a chunk are told
+    apart by 64-bit hashes; those met before are looked up in sorted arrays
+    that a worker keeps (REMEMBERED words, some 30 bytes each), the others go
+    through the library, with a marker between them whose id no other text
+    gives."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -52,50 +61,91 @@ class WordEncoder:
         self.tok = Tokenizer.from_file(path)
         self.mark = self.tok.encode(_MARK, add_special_tokens=False).ids[0]
         self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[bytes, bytes] = {}
-
-    def _alone(self, word: str) -> bytes:
-        return np.array(self.tok.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        plain = [w for w in words if b"\x01" not in w]
-        out = {w: self._alone(w.decode()) for w in words if b"\x01" in w}
-        for i in range(0, len(plain), 2000):
-            part = plain[i:i + 2000]
-            text = f" {_MARK} ".join([w.decode() for w in part])
-            ids = np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind)
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
-            if len(ends) != len(part):  # never seen; the words one by one are right in any case
-                out.update((w, self._alone(w.decode())) for w in part)
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # sorted hashes, ends, ids
+        added = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+        self.added = re.compile(b"|".join(map(re.escape, added)) or rb"(?!)", re.I)
+        probe = [b"Don't", b"it's3.14,", b"(A-b_c)", b"we'Ll'x''d", b"a1b22", b"~!@#", b"\"Quoted\"."]
+        self.plain = all(self._ascii(w) == self._alone(w) for w in probe)
+
+    def _ascii(self, word: bytes) -> list[int]:
+        """Ids of a word of visible ASCII: the library's model on each piece of
+        the vocabulary's pattern, without its bookkeeping of offsets. Used only
+        if it gives the library's own ids for the probes."""
+        return [t.id for p in _PIECES.findall(word.decode().lower()) for t in self.tok.model.tokenize(p)]
+
+    def _alone(self, word: bytes) -> list[int]:
+        return self.tok.encode(word.decode(), add_special_tokens=False).ids
+
+    def _library(self, words: list[bytes]) -> list:
+        """The ids of each word."""
+        out: list = [None] * len(words)
+        if self.plain:
+            for i, w in enumerate(words):
+                if _VISIBLE.fullmatch(w) and not self.added.search(w):
+                    out[i] = self._ascii(w)
+        plain = [i for i, w in enumerate(words) if out[i] is None and b"\x01" not in w]
+        for k in range(0, len(plain), 64):
+            part = plain[k:k + 64]
+            text = f" {_MARK} ".join([words[i].decode() for i in part])
+            ids = self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
+            ends = [k for k, x in enumerate(ids) if x == self.mark]
+            if len(ends) != len(part) - 1:  # never seen; the words one by one are right in any case
                 continue
-            size, raw, at = self.kind.itemsize, ids.tobytes(), 0
-            for w, e in zip(part, ends.tolist(), strict=True):
-                out[w] = raw[at * size:e * size]
+            at = 0
+            for i, e in zip(part, [*ends, len(ids)], strict=True):
+                out[i] = ids[at:e]
                 at = e + 1
-        return out
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        missing = set().union(*words).difference(self.known) if words else set()
-        table = self.known
-        if missing:
-            new = self._learn(list(missing))
-            if len(self.known) + len(new) <= REMEMBERED:
-                self.known.update(new)
-            else:
-                table = _Both(self.known, new)
-        return [b"".join(map(table.__getitem__, w)) for w in words]
-
-
-class _Both(dict):
-    """The words of one chunk, then the remembered ones."""
-
-    def __init__(self, known: dict, new: dict):
-        super().__init__(new)
-        self.known = known
-
-    def __missing__(self, word: bytes) -> bytes:
-        return self.known[word]
+        return [self._alone(w) if x is None else x for w, x in zip(words, out, strict=True)]
+
+    def _remember(self, level: tuple) -> None:
+        self.levels.append(level)
+        if len(self.levels) > 6:
+            h = np.concatenate([x[0] for x in self.levels])
+            count = np.concatenate([np.diff(x[1], prepend=0) for x in self.levels])
+            ids, order = np.concatenate([x[2] for x in self.levels]), np.argsort(h)
+            begin = (np.cumsum(count) - count)[order]
+            self.levels = [(h[order], np.cumsum(count[order]), ids[_ranges(begin, count[order])])]
+
+    def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a chunk of texts end to end, and the number of each text's."""
+        starts, ends, first = words(buf, off)
+        hashes, at, inverse = np.unique(word_hashes(buf, starts, ends, False), return_index=True, return_inverse=True)
+        count, begin, flats, base = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64), [], 0
+        for h, end, ids in self.levels:
+            todo = np.flatnonzero(count < 0)
+            place = np.minimum(np.searchsorted(h, hashes[todo]), len(h) - 1)
+            hit = h[place] == hashes[todo]
+            todo, place = todo[hit], place[hit]
+            count[todo] = end[place] - np.where(place, end[place - 1], 0)
+            begin[todo] = base + end[place] - count[todo]
+            flats.append(ids)
+            base += len(ids)
+        new = np.flatnonzero(count < 0)
+        if len(new):
+            got = self._library([buf[a:e].tobytes() for a, e in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)])
+            count[new] = list(map(len, got))
+            end, ids = np.cumsum(count[new]), np.fromiter(chain.from_iterable(got), self.kind)
+            begin[new] = base + end - count[new]
+            flats.append(ids)
+            if sum(len(x[0]) for x in self.levels) + len(new) <= REMEMBERED:
+                self._remember((hashes[new], end, ids))
+        if not len(starts):
+            return np.zeros(0, self.kind), np.zeros(len(off) - 1, np.int64)
+        each = count[inverse]
+        # the levels are read in place: gathered per level, not joined into one array
+        out, where = np.empty(int(each.sum()), self.kind), np.cumsum(each) - each
+        lo = 0
+        for ids in flats:
+            mine = np.flatnonzero((begin[inverse] >= lo) & (begin[inverse] < lo + len(ids)) & (each > 0))
+            out[_ranges(where[mine], each[mine])] = ids[_ranges(begin[inverse[mine]] - lo, each[mine])]
+            lo += len(ids)
+        return out, per_text(each, first)
+
+
+def _ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... (count[0] of them), begin[1], ..."""
+    end = np.cumsum(count)
+    return np.arange(int(end[-1]) if len(end) else 0) + np.repeat(begin - end + count, count)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -140,7 +190,7 @@ def curve_keys(ids: np.ndarray, count: np.ndarray) -> np.ndarray:
     sign = np.where(h >> np.uint64(63), 1.0, -1.0)
     cell = (h >> np.uint64(40)).astype(np.int64) % BUCKETS
     doc = np.repeat(np.arange(len(count)), count)
-    v = np.bincount(doc * BUCKETS + cell, weights=sign, minlength=len(count) * BUCKETS).reshape(-1, BUCKETS)
+    v = np.bincount(doc * BUCKETS + cell, weights=sign, minlength=len(count) * BUCKETS).astype(float).reshape(-1, BUCKETS)
     v /= np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-12)
     plane = np.random.default_rng(7).standard_normal((BUCKETS, DIMS))
     unit = 1 / (1 + np.exp(-1.702 * (v @ plane)))
@@ -157,13 +207,11 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
         for b in batches:
             buf, off = text_bytes(b.column(1))
             for i, j in spans_of(off):
-                raw = buf[off[i]:off[j]].tobytes()
-                cuts = (off[i:j + 1] - off[i]).tolist()
-                got = [x + end for x in enc.encode([raw[a:e] for a, e in zip(cuts[:-1], cuts[1:], strict=True)])]
-                n = np.fromiter(map(len, got), np.int64, len(got)) // size
-                curve = curve_keys(np.frombuffer(b"".join(got), enc.kind), n)
+                ids, n = enc.encode(buf[off[i]:off[j]], off[i:j + 1] - off[i])
+                raw, cuts = ids.tobytes(), np.append(0, np.cumsum(n) * size).tolist()
+                got = [raw[a:e] + end for a, e in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), pa.array(curve), pa.array(n), pa.array(got, pa.binary()),
+                    [b.column(0).slice(i, j - i), pa.array(curve_keys(ids, n)), pa.array(n + 1), pa.array(got, pa.binary()),
                      pa.array(np.full(len(got), size, np.int32))], names=[key, "curve", "n", "ids", "width"])
 
     kind = docs.schema[key].dataType.simpleString()

@@ -36,7 +36,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
         p = np.full(max(n, 1 << 16), base, U64)
         p[0] = 1
         have = np.cumprod(p)
-        if n <= 8 << 20:
+        if n <= 2 << 20:
             _POWERS[int(base)] = have
     return have[:n]
 

@@ -4,9 +4,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pressline.llm import hilbert_pack as hp
+from pressline.llm.common import text_bytes
 
 from .conftest import SF001
 
@@ -54,9 +56,11 @@ def test_word_encoder_equals_library(tok, monkeypatch):
     for limit in (0, 3, 400_000):
         monkeypatch.setattr(hp, "REMEMBERED", limit)
         enc = hp.WordEncoder(hp.tokenizer_path())
-        for _ in range(2):
-            got = enc.encode([t.encode() for t in texts])
-            assert [np.frombuffer(g, enc.kind).tolist() for g in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+        for _ in range(9):
+            ids, n = enc.encode(*text_bytes(pa.array(texts)))
+            want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+            assert n.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+            texts = [" ".join(reversed(t.split(" "))) for t in texts] + [f"new{limit} words{len(t)}" for t in texts]
 
 
 def test_hilbert_curve_visits_neighbours():
