@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op1_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat_collapse
+
+    return chat_collapse.collapse(table(spark, sf_dir, "conversations"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import simhash
 
@@ -25,6 +31,16 @@ def op3_hilbert_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_pack.pack(table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+    from .classlm import train_mask
+
+    docs = table(spark, sf_dir, "documents")
+    train = train_mask("doc_id", 3, 1)
+    found = langid.identify(docs, langid.fit(docs.where(train)))
+    return found.select("doc_id", (~train).alias("held_out"), "lang_pred", "score")
+
+
 def op5_wfq_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import wfq_mix
 
@@ -44,11 +60,44 @@ def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "text", "removed_sentences", "removed_chars")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_hilbert_pack, op5_wfq_mix, op6_repetition, op7_sentence_spans)}
+def op8_lineblock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lineblock
+
+    return lineblock.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import classlm
+
+    return classlm.score(table(spark, sf_dir, "documents"), classlm.train_mask("doc_id", 5, 1))
+
+
+def op10_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import postings
+
+    return postings.search(table(spark, sf_dir, "embeddings"), F.pmod("id", F.lit(50)) == 0)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_chat_collapse, op2_simhash, op3_hilbert_pack, op4_langid, op5_wfq_mix, op6_repetition, op7_sentence_spans,
+    op8_lineblock, op9_class_lm, op10_posting_lists)}
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 ORACLE = {
+    "op1_chat_collapse": """
+WITH r AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n FROM r),
+t AS (SELECT *, length(role) || ':' || role || length(text) || ':' || text AS k,
+             '<|im_start|>' || replace(role, '<|im_', '< |im_') || chr(10) || replace(text, '<|im_', '< |im_') || '<|im_end|>' || chr(10) AS line FROM o),
+p AS (SELECT conv_id, n, string_agg(k, '') OVER w AS prefix, string_agg(line, '') OVER w AS text,
+             count(*) OVER (PARTITION BY conv_id) AS n_turns FROM t
+      WINDOW w AS (PARTITION BY conv_id ORDER BY n ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT prefix, min(conv_id) AS conv_id, count(*) AS copies, any_value(n_turns) AS n_turns, any_value(text) AS text
+      FROM p WHERE n = n_turns GROUP BY prefix)
+SELECT conv_id, n_turns, copies, text FROM f WHERE prefix NOT IN (SELECT prefix FROM p WHERE n < n_turns)
+""",
     "op5_wfq_mix": rf"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORDS}'))::BIGINT AS size,
                   md5(coalesce(doc_id::VARCHAR, '')) AS ord FROM documents),

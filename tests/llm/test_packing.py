@@ -56,11 +56,11 @@ def test_word_encoder_equals_library(tok, monkeypatch):
     for limit in (0, 3, 400_000):
         monkeypatch.setattr(hp, "REMEMBERED", limit)
         enc = hp.WordEncoder(hp.tokenizer_path())
-        for _ in range(9):
+        for k in range(9):
             ids, n = enc.encode(*text_bytes(pa.array(texts)))
             want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
             assert n.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
-            texts = [" ".join(reversed(t.split(" "))) for t in texts] + [f"new{limit} words{len(t)}" for t in texts]
+            texts = [" ".join(reversed(t.split(" "))) for t in texts[:7]] + [f"new{limit} words{k}"]
 
 
 def test_hilbert_curve_visits_neighbours():
