@@ -4,8 +4,9 @@ Centroids come from balanced bisection of a bounded sample. Every distinct
 vector goes to its nearest list and, near a boundary, to further ones; a query
 searches the centroids through a neighbour graph in memory and reads the lists
 within a distance ratio of the nearest. Copies are one entry with their least
-ids, which is all that any result can hold of them. Long lists and lists that
-many queries read are dealt to several tasks by salts.
+ids, which is all that any result can hold of them. Neighbouring lists share
+a shelf, the unit of work; long shelves and shelves that many queries read are
+dealt to several tasks by salts.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ SAMPLE = 20_000
 LIST_SIZE, MAX_LISTS = 100, 1024
 REPLICAS, REPLICA_RATIO, SEARCH_RATIO = 4, 1.4, 1.5
 DEGREE, ENTRIES = 16, 8
-#: entries and queries of a list that one task holds, about
-BLOCK = 4096
+#: neighbouring lists stand on one shelf, so that a query goes to a task once for all of them
+SHELVES = 32
+#: entries and queries of a shelf that one task holds, about
+BLOCK = 8192
 
 
 def _rows(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -160,45 +163,68 @@ def search(vectors: DataFrame, queries, k: int = 5, key: str = "vec_id", vector:
                                                   pa.array(near[row, col].astype(np.int32))], names=["rep", "v", "list"])
 
     def ask(batches):
+        shelf_of = np.arange(len(centroids)) * SHELVES // len(centroids)
         for b in batches:
             for i in range(0, b.num_rows, 64):
                 part = b.slice(i, 64)
-                got = [graph.value.search(q, SEARCH_RATIO) for q in unit(_matrix(part.column(1)))]
-                row = np.repeat(np.arange(len(got)), [len(g) for g in got])
+                row, shelf, wanted = [], [], []
+                for r, q in enumerate(unit(_matrix(part.column(1)))):
+                    got = graph.value.search(q, SEARCH_RATIO)
+                    for s in np.unique(shelf_of[got]).tolist():
+                        row.append(r)
+                        shelf.append(s)
+                        wanted.append(got[shelf_of[got] == s].astype(np.int32))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)),
-                                                  pa.array(np.concatenate(got).astype(np.int32))], names=["rep", "v", "list"])
-
-    schema = f"rep {kind}, v binary, list int"
-    posted = cut(classes.select("rep", "v").mapInArrow(place, schema), "postings")
-    asking = cut(probes.mapInArrow(ask, schema), "probes")
-    # salts: a list is cut into blocks of about BLOCK entries, its queries likewise
-    p = posted.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("p_blocks"))
-    a = asking.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q_blocks"))
-    blocks = cut(p.join(a, "list"), "blocks")
+                                                  pa.array(shelf, pa.int32()), pa.array(wanted, pa.list_(pa.int32()))],
+                                                 names=["rep", "v", "shelf", "lists"])
+
+    posted = cut(classes.select("rep", "v").mapInArrow(place, f"rep {kind}, v binary, list int"), "postings")
+    posted = posted.withColumn("shelf", F.floor(F.col("list") * SHELVES / len(centroids)).cast("int"))
+    asking = cut(probes.mapInArrow(ask, f"rep {kind}, v binary, shelf int, lists array<int>"), "probes")
+    # salts: a shelf is cut into blocks of about BLOCK entries, its queries likewise
+    p = posted.groupBy("shelf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("p_blocks"))
+    a = asking.groupBy("shelf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q_blocks"))
+    blocks = cut(p.join(a, "shelf"), "blocks")
     deal = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = posted.join(blocks, "list").select("list", deal("p_blocks").alias("pb"), every("q_blocks").alias("qb"), "rep", "v")
-    right = asking.join(blocks, "list").select("list", every("p_blocks").alias("pb"), deal("q_blocks").alias("qb"), "rep", "v")
+    left = posted.join(blocks, "shelf").select("shelf", deal("p_blocks").alias("pb"), every("q_blocks").alias("qb"), "rep", "v", "list")
+    right = asking.join(blocks, "shelf").select("shelf", every("p_blocks").alias("pb"), deal("q_blocks").alias("qb"), "rep", "v", "lists")
     out_type = f"query {kind}, rep {kind}, score double"
-
-    def meet(lists_: pa.Table, asked_: pa.Table) -> pa.Table:
-        x, ids = _matrix(lists_.column("v").combine_chunks()), lists_.column("rep").combine_chunks()
-        q, qids = _matrix(asked_.column("v").combine_chunks()) if asked_.num_rows else x[:0], asked_.column("rep").combine_chunks()
-        xu, cols = unit(x) if len(x) else x, [[], [], []]
-        for i in range(0, len(q) if len(x) else 0, 256):
-            near = unit(q[i:i + 256]) @ xu.T
-            n = min(k + 3, len(x))
-            best = np.argpartition(-near, n - 1, 1)[:, :n]
-            row = np.repeat(np.arange(len(near)), n)
-            best = best.ravel()
-            cols[0].append(qids.take(pa.array(row + i)))
-            cols[1].append(ids.take(pa.array(best)))
-            cols[2].append(_cosine(q[i:i + 256][row], x[best]))
-        if not cols[0]:
+    most = k + 1
+
+    def meet(entries: pa.Table, asked_: pa.Table) -> pa.Table:
+        ids, qids = entries.column("rep").combine_chunks(), asked_.column("rep").combine_chunks()
+        rows, cands, scores = [], [], []
+        if len(ids) and len(qids):
+            # a vector may stand in several lists of the shelf: one row with all of them
+            raw = entries.column("rep").to_numpy()
+            _, one, entry = np.unique(raw, return_index=True, return_inverse=True)
+            x = _matrix(entries.column("v").combine_chunks().take(pa.array(one)))
+            lists_ = entries.column("list").to_numpy()
+            number = {v: n for n, v in enumerate(np.unique(lists_).tolist())}
+            holds = np.zeros((len(one), len(number)), np.float32)
+            holds[entry, [number[v] for v in lists_.tolist()]] = 1
+            xu, q = unit(x), _matrix(asked_.column("v").combine_chunks())
+            wanted = asked_.column("lists").to_pylist()
+            for i in range(0, len(q), 256):
+                reads = np.zeros((len(q[i:i + 256]), len(number)), np.float32)
+                for r, w in enumerate(wanted[i:i + 256]):
+                    reads[r, [number[v] for v in w if v in number]] = 1
+                near = np.where(reads @ holds.T > 0, unit(q[i:i + 256]) @ xu.T, -np.inf)
+                n = min(most + 2, len(x))
+                best = np.argpartition(-near, n - 1, 1)[:, :n]
+                row = np.repeat(np.arange(len(near)), n)
+                best = best.ravel()
+                read = np.isfinite(near[row, best])
+                rows.append(row[read] + i)
+                cands.append(best[read])
+                scores.append(_cosine(q[rows[-1]], x[cands[-1]]))
+        if not rows:
             return pa.table({"query": qids.slice(0, 0), "rep": ids.slice(0, 0), "score": pa.array([], pa.float64())})
-        return pa.table({"query": pa.concat_arrays(cols[0]), "rep": pa.concat_arrays(cols[1]), "score": pa.array(np.concatenate(cols[2]))})
+        return pa.table({"query": qids.take(pa.array(np.concatenate(rows))), "rep": ids.take(pa.array(one[np.concatenate(cands)])),
+                         "score": pa.array(np.concatenate(scores))})
 
-    group = ["list", "pb", "qb"]
+    group = ["shelf", "pb", "qb"]
     met = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(meet, out_type)
     met = met.groupBy("query", "rep").agg(F.max("score").alias("score"))
     near = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
