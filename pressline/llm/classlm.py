@@ -59,6 +59,22 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return raw.groupBy("h").agg(F.first("ending").alias("ending"), F.sum("n").alias("n"))
 
 
+def frequent_words(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent words and their counts, HEAD at most: all whose count
+    reaches a threshold that a histogram in steps of an eighth power of two
+    gives, so that nothing is sorted and little comes to the driver."""
+    step = F.floor(F.log2("n") * 8)
+    total, least = 0, None
+    for at, n in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):
+        if total + n > HEAD:
+            break
+        total, least = total + n, at
+    if least is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    top = counts.where(step >= least).select("h", "n").toArrow()
+    return top.column("h").to_numpy(), top.column("n").to_numpy()
+
+
 class Units:
     """Unit numbers of words: frequent ones, endings, and last the end of a text."""
 
@@ -199,12 +215,11 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     counts = cut(word_counts(learn, text), "word-counts")
     total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
     n_train, vocabulary = (total or 0) + texts, distinct + (texts > 0)
-    top = counts.orderBy(F.desc("n"), "h").limit(HEAD).select("h", "n").toPandas()
-    head, head_n = top.h.to_numpy(np.int64), top.n.to_numpy(np.int64)
-    units = Units(head[:FREQUENT])
-    cells = unit_bigrams(learn, units, text).toPandas()
+    head, head_n = frequent_words(counts)
+    units = Units(head[np.lexsort((head, -head_n))][:FREQUENT])
+    cells = unit_bigrams(learn, units, text).toArrow()
     bigrams = np.zeros(units.n * units.n)
-    bigrams[cells.cell.to_numpy(np.int64)] = cells.n
+    bigrams[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
     bigrams = bigrams.reshape(units.n, units.n)
     # distinct words per unit: one per frequent word, the others by ending
     kinds = np.zeros(units.n)
