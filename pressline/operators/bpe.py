@@ -217,7 +217,7 @@ def _parallelism(df: DataFrame) -> int:
 
 
 def train_bpe(hist: DataFrame, vocab_size: int,
-              max_rounds: int | None = None, engine: str = "native") -> BpeModel:
+              engine: str = "native") -> BpeModel:
     """Learn merges until the vocabulary has ``vocab_size`` entries (specials,
     256-symbol alphabet, then merges in learning order) or no pair is left.
 
@@ -230,7 +230,7 @@ def train_bpe(hist: DataFrame, vocab_size: int,
     words = hist.select(F.col("freq").cast("long").alias("freq"), byte_ids(F.col("word")).alias("sym"))
     words = materialize_table(words.filter(F.size("sym") > 1).repartition(_parallelism(words)), "bpe-words")
     rounds = 0
-    while len(model.tokens) < vocab_size and (max_rounds is None or rounds < max_rounds):
+    while len(model.tokens) < vocab_size:
         counts = _pair_counts(words, engine)
         # this job also fills the cache of ``words``
         top = counts.orderBy(F.col("cnt").desc(), F.col("l").asc(), F.col("r").asc()).limit(TOP_K).collect()
@@ -371,7 +371,9 @@ def load_model(spark: SparkSession, root: str, vocab_size: int, samples: int) ->
     try:
         vocab = spark.read.parquet(f"{path}/vocab").orderBy("id").collect()
         merges = spark.read.parquet(f"{path}/merges").orderBy("rank").collect()
-    except Exception:  # missing path
+    except AnalysisException as e:  # an unreadable model is an error, not an absent one
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     return BpeModel(tokens=[r["token"] for r in vocab],
                     merges=[(r["left_id"], r["right_id"], r["new_id"]) for r in merges])

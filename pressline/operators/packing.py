@@ -88,12 +88,12 @@ def split_by_budget(offsets: DataFrame, budgets: DataFrame, by: Sequence[str] =
     b = budgets.select(*by,
                        F.coalesce(F.col("val_target"), F.lit(0)).cast("long").alias("_V"),
                        F.coalesce(F.col("train_target"), F.lit(0)).cast("long").alias("_T"))
-    t = offsets.join(F.broadcast(b), on=by, how="inner")
+    t = offsets.join(b, on=by, how="inner")
     end = F.col(start) + F.col(n)
     # end of the document that completes validation (one row per group)
     boundary = (t.filter((F.col("_V") > 0) & (end >= F.col("_V")))
                  .groupBy(*by).agg(F.min(end).alias("_vend")))
-    t = t.join(F.broadcast(boundary), on=by, how="left")
+    t = t.join(boundary, on=by, how="left")
     # V > 0 and never reached -> no training at all
     vend = F.when(F.col("_V") == 0, F.lit(0)).otherwise(F.col("_vend"))
     val_take = F.when(F.col("_V") > 0,
@@ -162,7 +162,7 @@ def make_blocks(pieces: DataFrame, L: int | Column, ids: str = "ids", start: str
     Lc = F.lit(L) if isinstance(L, int) else L
     lens = stream_lengths(pieces, take, by).withColumn(
         "total_blocks", F.floor((F.col("stream_len") - 1) / Lc).cast("long"))
-    p = pieces.join(F.broadcast(lens), on=by, how="inner")
+    p = pieces.join(lens, on=by, how="inner")
     s = F.col(start)
     e = F.col(start) + F.col(take)
     lo = F.greatest(F.lit(0), F.ceil(s / Lc) - 1)

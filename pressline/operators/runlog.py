@@ -37,7 +37,7 @@ def moving_average(log: DataFrame, by: Sequence[str] = ("run",), step: str = "st
     by = list(by)
     n = log.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     n = n.withColumn("_w", smoothing_window(F.col("_n")))
-    t = log.join(F.broadcast(n), on=by).filter((F.col("_n") > 1) & (F.col("_n") >= F.col("_w")))
+    t = log.join(n, on=by).filter((F.col("_n") > 1) & (F.col("_n") >= F.col("_w")))
     sizes = sorted(r[0] for r in n.filter((F.col("_n") > 1) & (F.col("_n") >= F.col("_w")))
                    .select("_w").distinct().collect())
     if not sizes:
@@ -83,7 +83,7 @@ def throughput_eta(log: DataFrame, targets: dict[str, int], by: Sequence[str] =
     ``log`` needs ``stage``, ``stage_step`` and ``stage_tokens``."""
     by = list(by)
     first = log.groupBy(*by, "stage").agg(F.min(ts).alias("_t0"))
-    t = log.join(F.broadcast(first), on=[*by, "stage"])
+    t = log.join(first, on=[*by, "stage"])
     elapsed = (_micros(F.col(ts)) - _micros(F.col("_t0"))) / F.lit(1e6)
     done = F.when(F.col("stage") == "initial_stage", F.col("stage_step")).otherwise(F.col("stage_tokens"))
     target = F.when(F.col("stage") == "initial_stage", F.lit(targets["initial_stage"])) \
@@ -116,7 +116,7 @@ def stage_markers(log: DataFrame, warmup_steps: int, by: Sequence[str] = ("run",
     marks = tr.select(*by, label.alias("label"), F.col("entry_step").alias("step"))
     runs = log.groupBy(*by).agg(F.min(step).alias("_lo"), F.max(step).alias("_hi"))
     warm = runs.select(*by, F.lit("warmup end").alias("label"), F.lit(warmup_steps).cast("long").alias("step"))
-    allm = marks.unionByName(warm).join(F.broadcast(runs), on=by)
+    allm = marks.unionByName(warm).join(runs, on=by)
     return allm.filter((F.col("step") != 0) & F.col("step").between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
 
 
@@ -129,7 +129,7 @@ def tick_union(log: DataFrame, every: int, by: Sequence[str] = ("run",), step: s
     tr = transitions(log, by, step).filter(F.col("stage").isin("lc_stage", "annealing_stage", "complete"))
     explicit = tr.select(*by, F.col("entry_step").alias("tick")).filter(F.col("tick").isNotNull())
     runs = log.groupBy(*by).agg(F.min(step).alias("_lo"), F.max(step).alias("_hi"))
-    u = auto.union(explicit).distinct().join(F.broadcast(runs), on=by)
+    u = auto.union(explicit).distinct().join(runs, on=by)
     return u.filter(F.col("tick").between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi").orderBy(*by, "tick")
 
 

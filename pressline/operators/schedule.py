@@ -99,7 +99,7 @@ def stage_progress(log: DataFrame, by: Sequence[str] = ("run",), step: str = "st
     stage) start table -- one small aggregate joined back, no run-wide window."""
     by = list(by)
     starts = log.groupBy(*by, "stage").agg(F.min(step).alias("_s0"))
-    t = log.join(F.broadcast(starts), on=[*by, "stage"])
+    t = log.join(starts, on=[*by, "stage"])
     t = t.withColumn("stage_step", F.col(step) - F.col("_s0") + 1).drop("_s0")
     tps = tokens_per_step if tokens_per_step is not None else F.lit(256)
     return t.withColumn("stage_tokens", (F.col("stage_step") * tps).cast("long"))

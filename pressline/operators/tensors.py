@@ -60,17 +60,33 @@ def shape_compat(tensors: DataFrame, first_chpt: Column) -> DataFrame:
 
 
 def average_checkpoints(tensors: DataFrame, dtype: str = "dtype") -> DataFrame:
-    """A2: element-wise mean of float tensors over the given checkpoints, cast
+    """A2: element-wise mean of float tensors over the given checkpoints, rounded
     back to the tensor's dtype; non-float tensors come from the first
-    checkpoint. Output one row per element ``(key, dtype, i, value)``."""
+    checkpoint. Output one row per element ``(key, dtype, i, value)``. A key
+    that is not in every checkpoint, or whose shapes differ, is an error when
+    the plan runs."""
+    n = tensors.select(F.count_distinct("chpt")).scalar()
+    fits = (F.col("_n") == n) & F.col("_lo").eqNullSafe(F.col("_hi"))
+    misfit = F.raise_error(F.concat(F.lit("checkpoints differ in tensor "), F.col("key"))).cast("double")
+    check = [F.count(F.lit(1)).alias("_n"), F.min("shape").alias("_lo"), F.max("shape").alias("_hi")]
     is_float = F.col(dtype).isin(*FLOAT_DTYPES)
-    el = tensors.select("chpt", "key", dtype, F.posexplode("values").alias("i", "v"))
-    fl = (el.filter(is_float).groupBy("key", dtype, "i").agg(F.avg("v").alias("_avg"))
-          .withColumn("value", F.when(F.col(dtype) == "float32", F.col("_avg").cast("float").cast("double"))
-                      .otherwise(F.col("_avg"))).drop("_avg"))
-    nf = (el.filter(~is_float).groupBy("key", dtype, "i")
-          .agg(F.min_by("v", "chpt").alias("value")))
-    return fl.unionByName(nf)
+    el = tensors.select("chpt", "key", dtype, "shape", F.posexplode("values").alias("i", "v"))
+    fl = el.filter(is_float).groupBy("key", dtype, "i").agg(F.avg("v").alias("_v"), *check)
+    nf = el.filter(~is_float).groupBy("key", dtype, "i").agg(F.min_by("v", "chpt").alias("_v"), *check)
+    fl = fl.withColumn("_v", round_to_dtype(F.col("_v"), F.col(dtype)))
+    return fl.unionByName(nf).select("key", dtype, "i", F.when(fits, F.col("_v")).otherwise(misfit).alias("value"))
+
+
+def round_to_dtype(v: Column, dtype: Column) -> Column:
+    """The nearest value (ties to even) of a float dtype, as a double."""
+    def nearest(bits: int, least: int, most: float) -> Column:
+        step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.abs(v))) - bits, F.lit(least)))
+        r = F.when(v == 0, v).otherwise(F.rint(v / step) * step)
+        return F.when(F.abs(r) > most, F.signum(v) * F.lit(float("inf"))).otherwise(r)
+
+    return (F.when(dtype == "float32", v.cast("float").cast("double"))
+            .when(dtype == "float16", nearest(10, -24, 65504.0))
+            .when(dtype == "bfloat16", nearest(7, -133, 3.3895313892515355e38)).otherwise(v))
 
 
 def param_count(tensors: DataFrame, by: list[str]) -> DataFrame:

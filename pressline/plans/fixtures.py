@@ -111,7 +111,7 @@ def run_log(spark: SparkSession, sf: str) -> DataFrame:
         F.col("event_type").alias("run"), "event_id", "ts", F.col("value").alias("loss"))
     ev = row_index(ev, "event_id", "step", by=["run"])
     n = ev.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
-    ev = ev.join(F.broadcast(n), "run")
+    ev = ev.join(n, "run")
     stage = (F.when(F.col("step") * 10 <= F.col("n") * 6, F.lit("initial_stage"))
              .when(F.col("step") * 10 <= F.col("n") * 9, F.lit("lc_stage"))
              .otherwise(F.lit("annealing_stage")))

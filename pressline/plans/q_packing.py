@@ -56,7 +56,7 @@ def _split(spark: SparkSession, sf: str, with_text: bool = False) -> DataFrame:
     corpus = _lengths(spark, sf)
     cfg = stage_cfg(corpus)
     off = K.token_offsets(corpus)
-    return K.split_by_budget(off, cfg).join(F.broadcast(cfg.select("stage", "seq_len")), "stage")
+    return K.split_by_budget(off, cfg).join(cfg.select("stage", "seq_len"), "stage")
 
 
 def _pieces(spark: SparkSession, sf: str) -> DataFrame:

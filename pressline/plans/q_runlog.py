@@ -156,7 +156,7 @@ def val_clip(spark: SparkSession, sf: str) -> DataFrame:
     """Validation points inside the plotted range (the last 1 000 updates)."""
     v = val_log(spark, sf)
     hi = run_log(spark, sf).groupBy("run").agg(F.max("step").alias("hi"))
-    t = v.join(F.broadcast(hi), "run").filter(F.col("step").between(F.col("hi") - 999, F.col("hi")))
+    t = v.join(hi, "run").filter(F.col("step").between(F.col("hi") - 999, F.col("hi")))
     return t.select("run", "step", F.round("loss", 9).alias("loss"))
 
 

@@ -27,11 +27,11 @@ def micro_log(spark: SparkSession, sf: str) -> DataFrame:
     rl = rl.withColumn("_iseq", ini["seq_len"]).withColumn("_ig", ini["global_tokens"])
     g_inh = (rl.filter(F.col("stage") == "initial_stage").groupBy("run")
              .agg(F.max_by("_ig", "step").alias("_ginh")))
-    rl = rl.join(F.broadcast(g_inh), "run", "left")
+    rl = rl.join(g_inh, "run", "left")
     rl = rl.withColumn("_lcseq", C.longctx_seq_len(before, P["lc_tokens"], LC_START, LC_END))
     last_lc = (rl.filter(F.col("stage") == "lc_stage").groupBy("run")
                .agg(F.max_by("_lcseq", "step").alias("_aseq")))
-    rl = rl.join(F.broadcast(last_lc), "run", "left")
+    rl = rl.join(last_lc, "run", "left")
     seq = (F.when(F.col("stage") == "initial_stage", F.col("_iseq"))
            .when(F.col("stage") == "lc_stage", F.col("_lcseq")).otherwise(F.col("_aseq")))
     glob = F.when(F.col("stage") == "initial_stage", F.col("_ig")).otherwise(F.col("_ginh"))
@@ -176,10 +176,10 @@ def accum_steps(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("safe_batch", sql=with_ctes(SQL_MICRO, body="""
 SELECT run, step, CAST(greatest(1, trunc(CAST(A * 8 AS DOUBLE) * 0.85)) AS INTEGER) AS safe_micro
-FROM microA WHERE step % 50 = 0"""))
+FROM microA"""))
 def safe_batch(spark: SparkSession, sf: str) -> DataFrame:
     """C14: ``max(1, int(x * 0.85))`` applied to 8 A (a probed batch size)."""
-    m = micro_log(spark, sf).filter(F.col("step") % 50 == 0)
+    m = micro_log(spark, sf)
     return m.select("run", "step", C.safe_batch(F.col("A") * 8).alias("safe_micro"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +45,7 @@ FROM (SELECT stage, split, CAST(count(*) AS BIGINT) AS pieces, CAST(sum(take) AS
 JOIN (SELECT stage, split, CAST(sum(id) AS BIGINT) AS id_sum FROM tok GROUP BY stage, split) t USING (stage, split)"""))
 def token_sink_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Write the split pieces partitioned by (stage, split), read them back."""
-    path = scratch_path(spark, f"tokens-{abs(hash(sf))}")
+    path = scratch_path(spark, f"tokens-{uuid.uuid4().hex[:12]}")
     sinks.write_tokens(_pieces(spark, sf), path)
     back = spark.read.parquet(path)
     return back.groupBy("stage", "split").agg(
@@ -57,8 +59,8 @@ WHERE stage = 'initial_stage' AND split = 'train' AND pstart < 50000 AND pstart
 def token_source(spark: SparkSession, sf: str) -> DataFrame:
     """Random access by token position: the stored pieces overlapping
     positions [10 000, 50 000) of the initial training stream (partition
-    pruning on stage/split, pushed-down range on pstart)."""
-    path = scratch_path(spark, f"tokens-src-{abs(hash(sf))}")
+    pruning on stage/split, pushed-down range on pstart and pend)."""
+    path = scratch_path(spark, f"tokens-src-{uuid.uuid4().hex[:12]}")
     sinks.write_tokens(_pieces(spark, sf), path)
     return sinks.read_tokens(spark, path, "initial_stage", "train", 10_000, 50_000).select("doc_id", "pstart", "take")
 

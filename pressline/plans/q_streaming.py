@@ -19,29 +19,40 @@ from pressline.session import scratch_path
 from pressline.sources.tables import table
 from pressline.streaming import monitor, packer
 
-V, T = 50_000, 200_000
-N_FILES = 8
+VAL_SHARE, TRAIN_SHARE = 50, 5   # budgets: a fiftieth and a fifth of the corpus tokens
+FILE_DOCS = 50_000               # documents of a staged file, about; eight files at least
 DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 SQL_STREAM_SPLIT = f"""
-WITH c AS (SELECT doc_id, CAST(octet_length(encode(text)) + 2 AS BIGINT) AS n FROM documents),
+WITH bud AS (SELECT sum(octet_length(encode(text)) + 2)::BIGINT // {VAL_SHARE} AS v, sum(octet_length(encode(text)) + 2)::BIGINT // {TRAIN_SHARE} AS t FROM documents),
+c AS (SELECT doc_id, CAST(octet_length(encode(text)) + 2 AS BIGINT) AS n FROM documents),
 o AS (SELECT doc_id, n, CAST(coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM c),
-b AS (SELECT min(start + n) AS vend FROM o WHERE start + n >= {V}),
+b AS (SELECT min(start + n) AS vend FROM o WHERE start + n >= (SELECT v FROM bud)),
 s AS (
   SELECT o.doc_id, o.n, o.start,
-         CAST(greatest(0, least(o.n, {V} - o.start)) AS BIGINT) AS val_take,
-         CAST(CASE WHEN b.vend IS NOT NULL AND o.start >= b.vend THEN greatest(0, least(o.n, {T} - (o.start - b.vend))) ELSE 0 END AS BIGINT) AS train_take,
-         CAST(CASE WHEN o.start + o.n = b.vend AND greatest(0, least(o.n, {V} - o.start)) < o.n
-                   THEN o.n - greatest(0, least(o.n, {V} - o.start)) ELSE 0 END AS BIGINT) AS lost
-  FROM o, b
+         CAST(greatest(0, least(o.n, bud.v - o.start)) AS BIGINT) AS val_take,
+         CAST(CASE WHEN b.vend IS NOT NULL AND o.start >= b.vend THEN greatest(0, least(o.n, bud.t - (o.start - b.vend))) ELSE 0 END AS BIGINT) AS train_take,
+         CAST(CASE WHEN o.start + o.n = b.vend AND greatest(0, least(o.n, bud.v - o.start)) < o.n
+                   THEN o.n - greatest(0, least(o.n, bud.v - o.start)) ELSE 0 END AS BIGINT) AS lost
+  FROM o, b, bud
 )
 SELECT doc_id, n, start, val_take, train_take, lost FROM s WHERE val_take > 0 OR train_take > 0 OR lost > 0"""
 
 
+def _budgets(spark: SparkSession, sf: str) -> tuple[int, int]:
+    n = table(spark, sf, "documents").agg(F.sum(F.octet_length("text").cast("long") + 2)).first()[0] or 0
+    return n // VAL_SHARE, n // TRAIN_SHARE
+
+
+def _n_files(df: DataFrame) -> int:
+    return max(8, df.count() // FILE_DOCS)
+
+
 def _stage_docs(spark: SparkSession, sf: str) -> str:
     src = scratch_path(spark, f"stream-src-{uuid.uuid4().hex[:12]}")
-    packer.write_ordered_files(table(spark, sf, "documents"), src, N_FILES)
+    docs = table(spark, sf, "documents")
+    packer.write_ordered_files(docs, src, _n_files(docs))
     return src
 
 
@@ -54,7 +65,7 @@ def _result(spark: SparkSession, out: str) -> DataFrame:
 @register("stream_pack", sql=SQL_STREAM_SPLIT)
 def stream_pack(spark: SparkSession, sf: str) -> DataFrame:
     """Incremental split of the document stream (one file per trigger)."""
-    out, _, _ = packer.run_stream_pack(spark, _stage_docs(spark, sf), DOC_SCHEMA, V, T)
+    out, _, _ = packer.run_stream_pack(spark, _stage_docs(spark, sf), DOC_SCHEMA, *_budgets(spark, sf))
     return _result(spark, out)
 
 
@@ -62,7 +73,7 @@ def stream_pack(spark: SparkSession, sf: str) -> DataFrame:
 def stream_take(spark: SparkSession, sf: str) -> DataFrame:
     """The stream stops doing work once the training budget is met;
     later micro-batches are drained as no-ops. One row per micro-batch."""
-    _, state, _ = packer.run_stream_pack(spark, _stage_docs(spark, sf), DOC_SCHEMA, V, T)
+    _, state, _ = packer.run_stream_pack(spark, _stage_docs(spark, sf), DOC_SCHEMA, *_budgets(spark, sf))
     return packer.stream_state(spark, state).select("batch_id", "total", "vend", "train_written", "done")
 
 
@@ -74,10 +85,11 @@ def stream_resume(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     cut = docs.select(F.percentile_approx("doc_id", 0.3)).first()[0]
     src = scratch_path(spark, f"stream-src-{uuid.uuid4().hex[:12]}")
-    packer.write_ordered_files(docs.filter(F.col("doc_id") <= cut), src, N_FILES // 2)
-    out, _, work = packer.run_stream_pack(spark, src, DOC_SCHEMA, V, T)
-    packer.write_ordered_files(docs.filter(F.col("doc_id") > cut), src, N_FILES // 2, first_index=N_FILES // 2)
-    packer.run_stream_pack(spark, src, DOC_SCHEMA, V, T, work=work)
+    n, budgets = _n_files(docs) // 2, _budgets(spark, sf)
+    packer.write_ordered_files(docs.filter(F.col("doc_id") <= cut), src, n)
+    out, _, work = packer.run_stream_pack(spark, src, DOC_SCHEMA, *budgets)
+    packer.write_ordered_files(docs.filter(F.col("doc_id") > cut), src, n, first_index=n)
+    packer.run_stream_pack(spark, src, DOC_SCHEMA, *budgets, work=work)
     return _result(spark, out)
 
 
@@ -91,7 +103,8 @@ SELECT run, step, round(ema, 6) AS ema FROM e""").replace("WITH ", "WITH RECURSI
 def stream_run_monitor(spark: SparkSession, sf: str) -> DataFrame:
     """EMA of the loss per run over the event stream (state per run)."""
     src = scratch_path(spark, f"stream-ev-{uuid.uuid4().hex[:12]}")
-    packer.write_ordered_files(table(spark, sf, "events"), src, N_FILES, order="event_id")
+    events = table(spark, sf, "events")
+    packer.write_ordered_files(events, src, _n_files(events), order="event_id")
     work = scratch_path(spark, f"stream-mon-{uuid.uuid4().hex[:12]}")
     s = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
     q = (monitor.ema_monitor(monitor.events_as_log(s)).writeStream.format("parquet")

@@ -57,7 +57,7 @@ FROM el GROUP BY key, dtype, i"""))
 def average_checkpoints(spark: SparkSession, sf: str) -> DataFrame:
     """A2: element-wise average over the eligible checkpoints."""
     el = A.eligible_for_average(catalog(spark, sf)).select("chpt")
-    t = tensors(spark, sf).join(F.broadcast(el), "chpt", "left_semi")
+    t = tensors(spark, sf).join(el, "chpt", "left_semi")
     return A.average_checkpoints(t).select("key", "dtype", F.col("i").cast("int"), "value")
 
 

@@ -27,11 +27,11 @@ def stage_sidecar(split: DataFrame, cfg: DataFrame, vocab_size: int) -> DataFram
 def write_tokens(pieces: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Store split pieces partitioned by (stage, split).
 
-    Rows are ``(doc_id, pstart, take, ids ARRAY<INT>)``; files are sorted by
+    Rows are ``(doc_id, pstart, pend, take, ids ARRAY<INT>)``; files are sorted by
     ``pstart`` inside each partition so Parquet min/max statistics let a
     position-range read skip row groups (the random access of a memory map).
     """
-    (pieces.select("stage", "split", "doc_id", "pstart", "take", "ids")
+    (pieces.select("stage", "split", "doc_id", "pstart", (F.col("pstart") + F.col("take")).alias("pend"), "take", "ids")
      .repartition("stage", "split", F.floor(F.col("pstart") / F.lit(1 << 24)))
      .sortWithinPartitions("pstart")
      .write.mode(mode).partitionBy("stage", "split").parquet(path))
@@ -40,13 +40,13 @@ def write_tokens(pieces: DataFrame, path: str, mode: str = "overwrite") -> None:
 def read_tokens(spark, path: str, stage: str, split: str, lo: int | None = None,
                 hi: int | None = None) -> DataFrame:
     """Read a stored stream; partition pruning on (stage, split) and a
-    pushed-down range on ``pstart`` select only the pieces overlapping
+    pushed-down ranges on ``pstart`` and ``pend`` select only the pieces overlapping
     ``[lo, hi)``."""
     df = spark.read.parquet(path).filter((F.col("stage") == stage) & (F.col("split") == split))
     if hi is not None:
         df = df.filter(F.col("pstart") < F.lit(hi))
     if lo is not None:
-        df = df.filter(F.col("pstart") + F.col("take") > F.lit(lo))
+        df = df.filter(F.col("pend") > F.lit(lo))
     return df
 
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,7 +59,9 @@ def _read_state(spark: SparkSession, state_path: str, batch_id: int):
     try:
         st = spark.read.schema(STATE_SCHEMA).parquet(f"{state_path}/*").filter(F.col("batch_id") < batch_id)
         row = st.orderBy(F.col("batch_id").desc()).limit(1).collect()
-    except Exception:  # no state yet
+    except AnalysisException as e:  # no state yet; any other storage error must stop the stream
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         row = []
     if not row:
         return 0, None, 0, False
