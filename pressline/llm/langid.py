@@ -88,9 +88,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Filters:
     of those the GRAMS_PER_LANGUAGE most frequent are kept, so what comes to
     the driver is bounded by the number of languages."""
     docs = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    sizes = docs.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = docs.groupBy("lang").count().collect()  # a row per language
+    size = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, r["count"])])[F.col("lang")] if sizes else F.lit(0)
     dice = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = docs.join(sizes, "lang").where(dice * F.col("n") < TEXTS_PER_LANGUAGE).select("text", "lang")
+    sample = docs.where(dice * size < TEXTS_PER_LANGUAGE)
 
     def run(batches):
         for b in batches:
