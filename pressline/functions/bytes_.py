@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,19 +69,32 @@ def _lut(values: list[int]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def _per_byte(text: Column, values: list[int]) -> Column:
+    """ARRAY<INT> with ``values[b]`` for every UTF-8 byte b of ``text``: one
+    table lookup over the buffer of an Arrow batch. Null stays null."""
+    lut = np.array(values, np.int32)
+
+    @F.arrow_udf("array<int>")
+    def lookup(col: pa.Array) -> pa.Array:
+        if not len(col):
+            return pa.array([], pa.list_(pa.int32()))
+        whole = col.fill_null("").cast(pa.large_string())
+        _, offsets, data = whole.buffers()
+        off = np.frombuffer(offsets, np.int64)[whole.offset:whole.offset + len(whole) + 1]
+        raw = np.frombuffer(data, np.uint8)[off[0]:off[-1]] if off[-1] > off[0] else np.zeros(0, np.uint8)
+        return pa.ListArray.from_arrays(pa.array((off - off[0]).astype(np.int32)), pa.array(lut[raw]), mask=col.is_null())
+
+    return lookup(text)
+
+
 def utf8_bytes(text: Column) -> Column:
-    """ARRAY<INT> of the UTF-8 bytes of ``text`` (native: hex + regexp)."""
-    hx = F.hex(F.encode(text, "UTF-8"))
-    return F.transform(
-        F.regexp_extract_all(hx, F.lit("(..)"), 1),
-        lambda h: F.conv(h, 16, 10).cast("int"),
-    )
+    """ARRAY<INT> of the UTF-8 bytes of ``text``."""
+    return _per_byte(text, list(range(256)))
 
 
 def byte_ids(text: Column) -> Column:
     """Byte-level token ids (no merges) for ``text``."""
-    lut = _lut(byte_to_id())
-    return F.transform(utf8_bytes(text), lambda b: F.element_at(lut, b + 1))
+    return _per_byte(text, byte_to_id())
 
 
 def ids_to_text(ids: Column) -> Column:

@@ -13,6 +13,7 @@ entries) and the top-k candidate list of a round.
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -271,28 +272,29 @@ def _encoder(model: BpeModel):
     specials = {tok: i for _, tok, i in SPECIAL_TOKENS}
 
     def enc(word: str) -> list[int]:
+        """Merges by rank, then from the left, from a heap over a linked list:
+        n log n steps however long the word."""
         if word in specials:
             return [specials[word]]
         ids = [lut[b] for b in word.encode("utf-8")]
-        while len(ids) > 1:
-            best = None
-            for i in range(len(ids) - 1):
-                rk = ranks.get((ids[i], ids[i + 1]))
-                if rk is not None and (best is None or rk[0] < best[0]):
-                    best = (rk[0], ids[i], ids[i + 1], rk[1])
-            if best is None:
-                break
-            _, a, b, new = best
-            out, j = [], 0
-            while j < len(ids):
-                if j + 1 < len(ids) and ids[j] == a and ids[j + 1] == b:
-                    out.append(new)
-                    j += 2
-                else:
-                    out.append(ids[j])
-                    j += 1
-            ids = out
-        return ids
+        n = len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(*ranks[p], i, *p) for i, p in enumerate(zip(ids, ids[1:])) if p in ranks]
+        heapq.heapify(heap)
+        while heap:
+            _, new, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] != a or j >= n or ids[j] != b:  # one of the two was merged before
+                continue
+            ids[i], ids[j], after[i] = new, -1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for k in (before[i], i):
+                if k >= 0 and after[k] < n:
+                    p = ids[k], ids[after[k]]
+                    if p in ranks:
+                        heapq.heappush(heap, (*ranks[p], k, *p))
+        return [x for x in ids if x >= 0]
 
     return enc
 

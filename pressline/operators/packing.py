@@ -189,10 +189,6 @@ def make_blocks(pieces: DataFrame, L: int | Column, ids: str = "ids", start: str
     return blocks
 
 
-def block_of_position(pos: Column, L: int) -> Column:
-    return F.floor(pos / L)
-
-
 def resume_skip(blocks: DataFrame, tokens_seen: int, L: int) -> DataFrame:
     """K7: skip ``tokens_seen div L`` blocks (current L)."""
     return blocks.filter(F.col("block_idx") >= F.lit(tokens_seen // L))

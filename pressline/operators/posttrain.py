@@ -61,9 +61,9 @@ def rank_pairs(ranked: DataFrame, by: Sequence[str], rank: str, item: str) -> Da
     return a.join(b, by).filter(F.col("rank_a") < F.col("rank_b"))
 
 
-def seeded_order(key: Column, seed: int) -> Column:
-    """A reproducible shuffle key (hash of the row key and a seed)."""
-    return F.xxhash64(key, F.lit(seed))
+def seeded_order(seed: int, *key: Column) -> Column:
+    """A reproducible shuffle key (MD5 of a seed and the row key)."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in key]))
 
 
 def data_mix(df: DataFrame, weight: Column, key: Column, seed: int = 0) -> DataFrame:
@@ -72,7 +72,7 @@ def data_mix(df: DataFrame, weight: Column, key: Column, seed: int = 0) -> DataF
     reproducible, no sampling of the driver."""
     whole = F.floor(weight).cast("int")
     frac = weight - whole
-    u = (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)).cast("double") / float(1 << 30))
+    u = F.conv(F.substring(seeded_order(seed, key), 1, 7), 16, 10).cast("double") / float(1 << 28)
     n = whole + F.when(u < frac, 1).otherwise(0)
     return df.withColumn("_n", n).filter(F.col("_n") > 0).withColumn(
         "copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")

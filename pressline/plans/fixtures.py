@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pressline.functions.fixed import STAGES
 from pressline.operators.ordered import row_index
 from pressline.operators.packing import byte_doc_len
-from pressline.session import materialize
+from pressline.session import materialize, materialize_table
 from pressline.sources.tables import table
 
 # per-stage sequence length used by the packing fixtures (overfit profile)
@@ -25,21 +25,23 @@ TOKENS_PER_STEP = 256
 # ------------------------------------------------------------------ documents
 
 
-def doc_len(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
-    return d.select("doc_id", byte_doc_len(F.col("text")).alias("n"))
-
-
-def stage_corpus(spark: SparkSession, sf: str, with_text: bool = False) -> DataFrame:
+def stage_corpus(spark: SparkSession, sf: str) -> DataFrame:
     """initial = all documents; lc = long documents; annealing = documents
-    labelled high quality (left semi join)."""
-    d = table(spark, sf, "documents")
-    lab = table(spark, sf, "labels").filter(F.col("quality") == 1).select("doc_id")
-    cols = ["doc_id", byte_doc_len(F.col("text")).alias("n")] + (["text"] if with_text else [])
-    init = d.select(F.lit("initial_stage").alias("stage"), *cols)
-    lc = d.filter(F.col("n_chars") >= LC_MIN_CHARS).select(F.lit("lc_stage").alias("stage"), *cols)
-    ann = d.join(lab, "doc_id", "left_semi").select(F.lit("annealing_stage").alias("stage"), *cols)
-    return init.unionByName(lc).unionByName(ann)
+    labelled high quality. One scan of the texts: a document's length is taken
+    in the scan and its row repeated for the stages it belongs to."""
+    d = table(spark, sf, "documents").select("doc_id", "n_chars", byte_doc_len(F.col("text")).alias("n"))
+    good = table(spark, sf, "labels").filter(F.col("quality") == 1).select("doc_id").distinct().withColumn("_good", F.lit(True))
+    stages = F.array_compact(F.array(
+        F.lit("initial_stage"),
+        F.when(F.col("n_chars") >= LC_MIN_CHARS, F.lit("lc_stage")),
+        F.when(F.col("_good"), F.lit("annealing_stage"))))
+    return d.join(good, "doc_id", "left").select(F.explode(stages).alias("stage"), "doc_id", "n")
+
+
+def stage_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    """(stage, doc_id, n) written as a small table: budgets, offsets and the
+    split all derive from it instead of re-reading the texts."""
+    return materialize_table(stage_corpus(spark, sf), "stage-lengths")
 
 
 def stage_cfg(corpus: DataFrame) -> DataFrame:

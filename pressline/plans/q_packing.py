@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pressline.functions.bytes_ import byte_id_sql
 from pressline.functions.fixed import EOD_ID
 from pressline.operators import packing as K
-from pressline.plans.fixtures import SQL_STAGE, stage_cfg, stage_corpus
+from pressline.plans.fixtures import SQL_STAGE, stage_cfg, stage_corpus, stage_lengths
 from pressline.plans.registry import register, with_ctes
 from pressline.session import materialize_table
 from pressline.sources.tables import table
@@ -45,15 +45,8 @@ blk AS (
 )"""
 
 
-def _lengths(spark: SparkSession, sf: str) -> DataFrame:
-    """(stage, doc_id, n) for every stage document, computed in one pass over
-    the corpus and written as a small table: budgets, offsets and the split
-    all derive from it instead of re-reading the texts."""
-    return materialize_table(stage_corpus(spark, sf), "stage-lengths")
-
-
-def _split(spark: SparkSession, sf: str, with_text: bool = False) -> DataFrame:
-    corpus = _lengths(spark, sf)
+def _split(spark: SparkSession, sf: str) -> DataFrame:
+    corpus = stage_lengths(spark, sf)
     cfg = stage_cfg(corpus)
     off = K.token_offsets(corpus)
     return K.split_by_budget(off, cfg).join(cfg.select("stage", "seq_len"), "stage")
@@ -137,7 +130,7 @@ def stage_meta(spark: SparkSession, sf: str) -> DataFrame:
     """Per-stage sidecar (targets and written counts); byte-level vocab = 260."""
     from pressline.sources.sinks import stage_sidecar
 
-    corpus = stage_corpus(spark, sf)
+    corpus = stage_lengths(spark, sf)
     cfg = stage_cfg(corpus)
     sp = K.split_by_budget(K.token_offsets(corpus), cfg)
     return stage_sidecar(sp, cfg, vocab_size=260)
@@ -149,7 +142,7 @@ def stage_meta(spark: SparkSession, sf: str) -> DataFrame:
 @register("token_offsets", sql=with_ctes(SQL_STAGE, body="""
 SELECT stage, doc_id, n, start FROM offsets"""))
 def token_offsets_q(spark: SparkSession, sf: str) -> DataFrame:
-    return K.token_offsets(stage_corpus(spark, sf)).select("stage", "doc_id", "n", "start")
+    return K.token_offsets(stage_lengths(spark, sf)).select("stage", "doc_id", "n", "start")
 
 
 @register("split_by_budget", sql=with_ctes(SQL_STAGE, body="""
@@ -162,9 +155,8 @@ def split_by_budget_q(spark: SparkSession, sf: str) -> DataFrame:
 SELECT doc_id, start, n FROM offsets WHERE stage = 'initial_stage' AND start < 100000"""))
 def budget_stop(spark: SparkSession, sf: str) -> DataFrame:
     """K3: documents read before an initial-stage budget of 100 000 tokens."""
-    d = table(spark, sf, "documents")
-    r = K.budget_prefix(d.select("doc_id", "text"), K.byte_doc_len(F.col("text")), 100_000)
-    return r.select("doc_id", F.col("_start").alias("start"), K.byte_doc_len(F.col("text")).alias("n"))
+    d = table(spark, sf, "documents").select("doc_id", K.byte_doc_len(F.col("text")).alias("n"))
+    return K.budget_prefix(d, F.col("n"), 100_000).select("doc_id", F.col("_start").alias("start"), "n")
 
 
 # ------------------------------------------------------------------ P2-P5, P13

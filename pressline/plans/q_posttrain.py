@@ -76,12 +76,15 @@ def rank_triple(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("prompt", "rank_a", "rank_b", "preferred", "other")
 
 
-@register("concat_responses", rows_only="seeded hash order (engine-specific hash)")
+@register("concat_responses", sql="""
+SELECT conv_id, CAST(count(*) AS INTEGER) AS n_responses,
+       string_agg(text, chr(10) || '---' || chr(10) ORDER BY md5('42|' || conv_id || '|' || turn), text) AS responses
+FROM conversations WHERE role = 'assistant' GROUP BY conv_id""")
 def concat_responses(spark: SparkSession, sf: str) -> DataFrame:
     """Each conversation's assistant responses in one row, in a seeded
     reproducible shuffled order."""
     c = table(spark, sf, "conversations").filter(F.col("role") == "assistant")
-    c = c.withColumn("_o", D.seeded_order(F.struct("conv_id", "turn"), 42))
+    c = c.withColumn("_o", D.seeded_order(42, F.col("conv_id"), F.col("turn")))
     g = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("_o", "text"))).alias("r"))
     return g.select("conv_id", F.size("r").alias("n_responses"),
                     F.array_join(F.transform("r", lambda x: x["text"]), "\n---\n").alias("responses"))
@@ -102,7 +105,11 @@ def loss_mask(spark: SparkSession, sf: str) -> DataFrame:
                                     F.sum(sup).cast("long").alias("supervised_tokens"))
 
 
-@register("data_mix", rows_only="seeded hash for fractional weights (engine-specific hash)")
+@register("data_mix", sql="""
+WITH w AS (SELECT doc_id, source, CASE WHEN source IN ('src0', 'src1', 'src2', 'src3', 'src4', 'src5') THEN 1.3::DOUBLE ELSE 0.7::DOUBLE END AS w,
+                  CAST('0x' || substr(md5('7|' || doc_id), 1, 7) AS BIGINT) / 268435456.0::DOUBLE AS u FROM documents),
+n AS (SELECT doc_id, source, floor(w) + CASE WHEN u < w - floor(w) THEN 1 ELSE 0 END AS n FROM w)
+SELECT source, CAST(sum(n) AS BIGINT) AS rows, count(DISTINCT doc_id) AS docs FROM n WHERE n > 0 GROUP BY source""")
 def data_mix(spark: SparkSession, sf: str) -> DataFrame:
     """Upsample sources src0-src5 by 1.3 and downsample the rest to 0.7."""
     d = table(spark, sf, "documents").select("doc_id", "source")
@@ -143,7 +150,9 @@ def needle_cases(spark: SparkSession, sf: str) -> DataFrame:
     needle = F.concat(F.lit(" NEEDLE-"), F.col("doc_id").cast("string"), F.lit(" "))
     t = D.needle_cases(d, needle, [0.0, 0.25, 0.5, 0.75, 1.0], [1000, 2000, 4000])
     hit = F.when(F.instr("haystack", F.col("needle")) == F.col("insert_at") + 1, 1.0).otherwise(0.0)
-    return t.cube("depth", "len").agg(F.count(F.lit(1)).alias("cases"), F.round(F.avg(hit), 9).alias("recall"))
+    # the texts end here: the cube repeats its input rows
+    t = t.select("depth", "len", hit.alias("hit"))
+    return t.cube("depth", "len").agg(F.count(F.lit(1)).alias("cases"), F.round(F.avg("hit"), 9).alias("recall"))
 
 
 @register("rolling_logprob", sql=with_ctes(SQL_LOGITS, """

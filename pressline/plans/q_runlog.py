@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from pressline.operators import evalops as E
 from pressline.operators import runlog as M
-from pressline.operators.schedule import stage_progress
 from pressline.plans.fixtures import SQL_LOGITS, SQL_RUN_LOG, SQL_VAL_LOG, logits, run_log, val_log
 from pressline.plans.q_schedule import P, SQL_LR, SQL_MICRO, _lr, micro_log
 from pressline.plans.registry import register, with_ctes
@@ -184,6 +183,3 @@ def log_line(spark: SparkSession, sf: str) -> DataFrame:
     m = _lr(micro_log(spark, sf))
     return m.select("run", "step", M.log_line(F.col("ts"), F.col("step"), F.col("tokens_processed"),
                                               F.col("lr"), F.col("loss"), 9).alias("line"))
-
-
-_ = stage_progress

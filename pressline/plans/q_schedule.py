@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressline.functions.fixed import PROFILES
 from pressline.operators import schedule as C
 from pressline.plans.fixtures import SQL_RUN_LOG, run_log
 from pressline.plans.registry import register, with_ctes
@@ -276,6 +275,3 @@ def flush_partial(spark: SparkSession, sf: str) -> DataFrame:
     """The partial group closed at each stage's end, loss scaled by A / taken."""
     u = C.accumulate(micro_log(spark, sf)).filter("flushed")
     return u.select("run", "stage", "last_step", F.col("taken").cast("long"), "A", F.round("loss", 9).alias("loss"))
-
-
-_ = PROFILES

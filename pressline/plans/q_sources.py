@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressline.functions.fixed import OVERFIT_OVERRIDES, SPECIAL_TOKENS
+from pressline.functions.fixed import OVERFIT_OVERRIDES
 from pressline.functions.text import segments, special_map
-from pressline.plans.fixtures import SQL_STAGE, stage_cfg, stage_corpus
+from pressline.plans.fixtures import SQL_STAGE, stage_cfg, stage_lengths
 from pressline.plans.q_packing import SQL_TOKENS, _pieces
 from pressline.plans.registry import register, with_ctes
 from pressline.session import scratch_path
@@ -73,7 +73,7 @@ SELECT stage, j AS json, CAST(json_extract(j, '$.val_target') AS BIGINT) AS val_
 FROM js"""))
 def config_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Stage configs dumped to JSON and validated back with an explicit schema (FAILFAST)."""
-    cfg = stage_cfg(stage_corpus(spark, sf))
+    cfg = stage_cfg(stage_lengths(spark, sf))
     j = cfg.select("stage", F.to_json(F.struct("stage", "val_target", "train_target", "seq_len")).alias("json"))
     schema = "stage string, val_target bigint, train_target bigint, seq_len int"
     p = j.withColumn("p", F.from_json("json", schema, {"mode": "FAILFAST"}))
@@ -124,7 +124,7 @@ FROM base b LEFT JOIN ovr o USING (stage, key)"""))
 def profile_override(spark: SparkSession, sf: str) -> DataFrame:
     """The small-profile overrides applied on top of the data-derived
     stage configuration (long form, left join, coalesce)."""
-    cfg = stage_cfg(stage_corpus(spark, sf))
+    cfg = stage_cfg(stage_lengths(spark, sf))
     base = cfg.select("stage", F.explode(F.array(
         F.struct(F.lit("train_target").alias("key"), F.col("train_target").cast("long").alias("value")),
         F.struct(F.lit("val_target").alias("key"), F.col("val_target").cast("long").alias("value")),
@@ -134,6 +134,3 @@ def profile_override(spark: SparkSession, sf: str) -> DataFrame:
     t = base.join(F.broadcast(ovr), ["stage", "key"], "left")
     return t.select("stage", "key", F.coalesce("ovalue", "value").alias("value"),
                     F.col("ovalue").isNotNull().alias("overridden"))
-
-
-_ = SPECIAL_TOKENS

@@ -69,12 +69,15 @@ def stream_pack(spark: SparkSession, sf: str) -> DataFrame:
     return _result(spark, out)
 
 
-@register("stream_take", rows_only="micro-batch boundaries depend on the file layout")
+@register("stream_take", sql=SQL_STREAM_SPLIT.rsplit("SELECT doc_id, n, start", 1)[0] + """
+SELECT (SELECT vend FROM b) AS vend, CAST(sum(train_take) AS BIGINT) AS train_written,
+       sum(train_take) >= (SELECT t FROM bud) AS done FROM s""")
 def stream_take(spark: SparkSession, sf: str) -> DataFrame:
     """The stream stops doing work once the training budget is met;
-    later micro-batches are drained as no-ops. One row per micro-batch."""
+    later micro-batches are drained as no-ops. The carried state at the end."""
     _, state, _ = packer.run_stream_pack(spark, _stage_docs(spark, sf), DOC_SCHEMA, *_budgets(spark, sf))
-    return packer.stream_state(spark, state).select("batch_id", "total", "vend", "train_written", "done")
+    last = F.max_by(F.struct("vend", "train_written", "done"), "batch_id").alias("s")
+    return packer.stream_state(spark, state).agg(last).select("s.vend", "s.train_written", "s.done")
 
 
 @register("stream_resume", sql=SQL_STREAM_SPLIT)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pressline.functions import text as TX
 from pressline.functions.bytes_ import byte_id_sql, byte_ids, ids_to_text, utf8_bytes
 from pressline.functions.bytes_ import byte_to_char, byte_to_id
+from pressline.functions.fixed import SPECIAL_TOKENS
 from pressline.operators import bpe
 from pressline.operators.packing import byte_doc_len
 from pressline.plans.fixtures import SQL_RUN_LOG, run_log
@@ -19,6 +20,7 @@ from pressline.session import scratch_path
 from pressline.sources.tables import head_sample, table
 
 WHOLE_CORPUS = 0         # the store key of a tokenizer trained on every document
+SPECIAL_ALT_RE2 = "|".join(t.replace("|", "[|]") for _, t, _ in SPECIAL_TOKENS)
 VOCAB = 300              # specials + 256 alphabet + 40 merges
 
 
@@ -62,7 +64,23 @@ def byte_encode(spark: SparkSession, sf: str) -> DataFrame:
     return d.groupBy("id").agg(F.count(F.lit(1)).alias("occurrences"), F.countDistinct("doc_id").alias("docs"))
 
 
-@register("pretokenize", rows_only="Java regex with lookahead (not expressible in RE2)")
+# RE2 has no lookahead: a mark goes before the last blank of a run that a word
+# follows, so that the run ends there; the words are then taken around the marks
+_BLANK = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_MARK = r"\x{e000}"
+
+
+def _pretoken_sql(text: str) -> str:
+    """DuckDB list of the pre-tokens of ``text``."""
+    marked = rf"regexp_replace({text}, '([{_BLANK}])([{_BLANK}][^{_BLANK}])', '\1' || chr(57344) || '\2', 'g')"
+    return (rf"regexp_extract_all({marked}, '''s|''t|''re|''ve|''m|''ll|''d| ?\p{{L}}+| ?\p{{N}}+"
+            rf"| ?[^{_BLANK}\p{{L}}\p{{N}}{_MARK}]+|[{_BLANK}]+')")
+
+
+@register("pretokenize", sql=f"""
+SELECT doc_id, CAST(length(text) AS INTEGER) AS n_chars, CAST(len(w) AS INTEGER) AS n_words,
+       CAST(length(array_to_string(w, '')) AS INTEGER) AS covered_chars
+FROM (SELECT doc_id, text, {_pretoken_sql('text')} AS w FROM documents)""")
 def pretokenize(spark: SparkSession, sf: str) -> DataFrame:
     """Words per document and their total length (must equal the text length)."""
     d = table(spark, sf, "documents")
@@ -84,7 +102,11 @@ def special_audit(spark: SparkSession, sf: str) -> DataFrame:
                                  F.count(F.lit(1)).alias("docs"))
 
 
-@register("word_histogram", rows_only="pre-token regex needs lookahead")
+@register("word_histogram", sql=f"""
+SELECT word, CAST(count(*) AS BIGINT) AS freq FROM (
+  SELECT unnest({_pretoken_sql('part')}) AS word FROM (
+    SELECT unnest(regexp_split_to_array(text, '{SPECIAL_ALT_RE2}')) AS part FROM documents))
+GROUP BY word""")
 def word_histogram(spark: SparkSession, sf: str) -> DataFrame:
     """T5: distinct words of the whole corpus and their counts."""
     return bpe.word_histogram(table(spark, sf, "documents"))

@@ -67,3 +67,18 @@ def test_store_roundtrip(spark, trained, tmp_path):
     back = bpe.load_model(spark, str(tmp_path), len(model.tokens), 60)
     assert back.tokens == model.tokens and back.merges == model.merges
     assert bpe.load_model(spark, str(tmp_path), len(model.tokens) + 1, 60) is None
+
+
+def test_encoder_takes_merges_by_rank_from_the_left(trained):
+    import random
+    import time
+
+    _, _, model, lib = trained
+    enc, rng = bpe._encoder(model), random.Random(5)
+    for _ in range(300):
+        word = "".join(rng.choice("etahnsi") for _ in range(rng.randint(1, 40)))
+        assert enc(word) == lib.encode(word).ids
+    t0 = time.time()
+    long = "".join(rng.choice("etahnsi") for _ in range(200_000))
+    assert len(enc(long)) < len(long)
+    assert time.time() - t0 < 10  # a heap, not a rescan of the word per merge

@@ -47,3 +47,31 @@ def test_tensor_average_uses_partial_aggregation(spark):
     load_all()
     p = _plan(QUERIES["average_checkpoints"](spark, SF001))
     assert "partial_avg" in p
+
+
+def test_stages_scan_the_texts_once(spark):
+    from pressline.plans.fixtures import stage_corpus
+
+    p = _plan(stage_corpus(spark, SF001))
+    assert p.count("documents.parquet") == 1
+    for line in p.splitlines():  # lengths only behind the scan
+        if "Exchange" in line:
+            assert "text" not in line
+
+
+def test_budget_stop_moves_no_text(spark):
+    load_all()
+    plan = QUERIES["budget_stop"](spark, SF001)._jdf.queryExecution().optimizedPlan().toString()
+    assert all("text#" not in line for line in plan.splitlines() if "Window" in line or "Join" in line or "Aggregate" in line)
+
+
+def test_byte_ids_of_null_empty_and_wide_text(spark):
+    from pressline.functions.bytes_ import byte_ids, byte_to_id, utf8_bytes
+
+    rows = [(0, None), (1, ""), (2, "aé€"), (3, "x" * 100_000)]
+    df = spark.createDataFrame(rows, "k int, text string").coalesce(1)
+    got = {r.k: r for r in df.select("k", byte_ids(F.col("text")).alias("i"), utf8_bytes(F.col("text")).alias("b")).collect()}
+    assert got[0].i is None and got[0].b is None and got[1].i == []
+    assert got[2].b == list("aé€".encode()) and got[2].i == [byte_to_id()[b] for b in "aé€".encode()]
+    assert len(got[3].i) == 100_000
+    assert df.where("k < 0").select(byte_ids(F.col("text"))).collect() == []
