@@ -329,29 +329,35 @@ def encode_word_arrays(words: Column, model: BpeModel) -> Column:
 
 
 def bpe_encode(docs: DataFrame, model: BpeModel, key: str = "doc_id", text: str = "text",
-               bod: bool = True, eod: bool = True) -> DataFrame:
+               bod: bool = True, eod: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """Documents -> ids, map-only: the JVM pre-tokenizer (the same one the
     histogram used) splits the text, one Python pass per Arrow batch applies
-    the merges, and the markers are added natively. Nothing is shuffled."""
-    ids = encode_word_arrays(pretokenize_with_specials(F.col(text)), model)
+    the merges, and the markers are added natively. Nothing is shuffled. A
+    null text counts as empty."""
+    ids = encode_word_arrays(pretokenize_with_specials(F.coalesce(F.col(text), F.lit(""))), model)
     parts = ([F.array(F.lit(1))] if bod else []) + [ids] + ([F.array(F.lit(2))] if eod else [])
-    return docs.select(key, F.concat(*parts).alias("ids"))
+    return docs.select(key, *keep, F.concat(*parts).alias("ids"))
+
+
+def token_table(docs: DataFrame, model: BpeModel, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The corpus as trained ids, ``(doc_id, *keep, ids, n)``: encoded once and
+    written, so that lengths, offsets, split, blocks and store read this table
+    and never the texts."""
+    return materialize_table(bpe_encode(docs, model, keep=keep).withColumn("n", F.size("ids").cast("long")), "corpus-tokens")
 
 
 def bpe_decode(ids_df: DataFrame, model: BpeModel, spark: SparkSession, key: str = "doc_id",
                ids: str = "ids") -> DataFrame:
-    """Ids -> text; special ids are skipped. Token strings come from a
-    broadcast join with the vocabulary (bounded by vocab_size); byte-level
-    characters map back to bytes with a 256-entry literal map."""
-    vocab = model.vocab_df(spark).filter(F.col("id") >= N_SPECIAL)
-    t = ids_df.select(key, F.posexplode(ids).alias("i", "id")).join(F.broadcast(vocab), "id")
-    s = t.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "token"))),
-                                                    lambda x: x["token"]), "").alias("_s"))
-    chars = byte_to_char()
-    inv = F.create_map(*[x for b in range(256) for x in (F.lit(chars[b]), F.lit(f"{b:02X}"))])
-    hexes = F.transform(F.split(F.col("_s"), ""), lambda c: F.element_at(inv, c))
-    out = s.withColumn("text", F.decode(F.unhex(F.array_join(hexes, "")), "UTF-8")).drop("_s")
-    return ids_df.select(key).join(out, key, "left").withColumn("text", F.coalesce(F.col("text"), F.lit("")))
+    """Ids -> text; special ids are skipped. Map-only: the bytes of every
+    token (bounded by vocab_size) travel with the function."""
+    back = {c: b for b, c in enumerate(byte_to_char())}
+    raw = [b"" if i < N_SPECIAL else bytes(back[c] for c in t) for i, t in enumerate(model.tokens)]
+
+    @F.pandas_udf(T.StringType())
+    def decode(rows: pd.Series) -> pd.Series:
+        return pd.Series([b"".join([raw[i] for i in r]).decode("utf-8", "replace") for r in rows], dtype=object)
+
+    return ids_df.select(key, decode(F.coalesce(F.col(ids), F.array().cast("array<int>"))).alias("text"))
 
 
 # ------------------------------------------------------------------ store

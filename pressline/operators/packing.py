@@ -113,13 +113,12 @@ def split_by_budget(offsets: DataFrame, budgets: DataFrame, by: Sequence[str] =
 def split_pieces(split: DataFrame, by: Sequence[str] = ("stage",)) -> DataFrame:
     """Explode a split result into one piece per (split, document) with a
     ``take`` count and a stream ``start`` for that split."""
-    val = (split.filter(F.col("val_take") > 0)
-           .withColumn("split", F.lit("val"))
-           .withColumn("pstart", F.col("val_start")).withColumn("take", F.col("val_take")))
-    train = (split.filter(F.col("train_take") > 0)
-             .withColumn("split", F.lit("train"))
-             .withColumn("pstart", F.col("train_start")).withColumn("take", F.col("train_take")))
-    return val.unionByName(train)
+    def piece(name: str) -> Column:
+        return F.when(F.col(f"{name}_take") > 0, F.struct(
+            F.lit(name).alias("split"), F.col(f"{name}_start").alias("pstart"), F.col(f"{name}_take").alias("take")))
+
+    both = F.array_compact(F.array(piece("val"), piece("train")))
+    return split.select("*", F.explode(both).alias("_piece")).select(*split.columns, "_piece.*")
 
 
 def budget_prefix(docs: DataFrame, est_len: Column, budget: int, order: str = "doc_id",
@@ -150,17 +149,18 @@ def stream_lengths(pieces: DataFrame, take: str = "take",
 
 def make_blocks(pieces: DataFrame, L: int | Column, ids: str = "ids", start: str = "pstart",
                 take: str = "take", by: Sequence[str] = ("stage", "split"),
-                with_xy: bool = True) -> DataFrame:
+                with_xy: bool = True, lens: DataFrame | None = None) -> DataFrame:
     """K5/K6: fixed windows of ``L + 1`` tokens at stride ``L``.
 
     Block ``b`` holds stream positions ``bL .. bL+L``; there are
     ``(len - 1) div L`` blocks and the rest is dropped. A piece ``[s, e)`` feeds
     blocks ``max(0, ceil(s/L) - 1) .. floor((e-1)/L)``. ``ids`` must already be
-    cut to ``take`` elements.
+    cut to ``take`` elements. ``lens`` gives the stream lengths where they are
+    known without the ids.
     """
     by = list(by)
     Lc = F.lit(L) if isinstance(L, int) else L
-    lens = stream_lengths(pieces, take, by).withColumn(
+    lens = (stream_lengths(pieces, take, by) if lens is None else lens).withColumn(
         "total_blocks", F.floor((F.col("stream_len") - 1) / Lc).cast("long"))
     p = pieces.join(lens, on=by, how="inner")
     s = F.col(start)

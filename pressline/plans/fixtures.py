@@ -29,13 +29,17 @@ def stage_corpus(spark: SparkSession, sf: str) -> DataFrame:
     """initial = all documents; lc = long documents; annealing = documents
     labelled high quality. One scan of the texts: a document's length is taken
     in the scan and its row repeated for the stages it belongs to."""
-    d = table(spark, sf, "documents").select("doc_id", "n_chars", byte_doc_len(F.col("text")).alias("n"))
+    return stage_rows(spark, sf, table(spark, sf, "documents").select("doc_id", "n_chars", byte_doc_len(F.col("text")).alias("n")))
+
+
+def stage_rows(spark: SparkSession, sf: str, lengths: DataFrame) -> DataFrame:
+    """(stage, doc_id, n) from one (doc_id, n_chars, n) row per document."""
     good = table(spark, sf, "labels").filter(F.col("quality") == 1).select("doc_id").distinct().withColumn("_good", F.lit(True))
     stages = F.array_compact(F.array(
         F.lit("initial_stage"),
         F.when(F.col("n_chars") >= LC_MIN_CHARS, F.lit("lc_stage")),
         F.when(F.col("_good"), F.lit("annealing_stage"))))
-    return d.join(good, "doc_id", "left").select(F.explode(stages).alias("stage"), "doc_id", "n")
+    return lengths.join(good, "doc_id", "left").select(F.explode(stages).alias("stage"), "doc_id", "n")
 
 
 def stage_lengths(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,13 +59,15 @@ def stage_cfg(corpus: DataFrame) -> DataFrame:
     )
 
 
-SQL_STAGE = f"""
+def sql_stage(docs: str = "documents", n: str = "CAST(octet_length(encode(text)) + 2 AS BIGINT)") -> str:
+    """Stages, budgets, offsets, split and pieces over a relation of documents whose length is ``n``."""
+    return f"""
 stage_corpus AS (
-  SELECT 'initial_stage' AS stage, doc_id, CAST(octet_length(encode(text)) + 2 AS BIGINT) AS n, text FROM documents
+  SELECT 'initial_stage' AS stage, doc_id, {n} AS n, text FROM {docs}
   UNION ALL
-  SELECT 'lc_stage', doc_id, CAST(octet_length(encode(text)) + 2 AS BIGINT), text FROM documents WHERE n_chars >= {LC_MIN_CHARS}
+  SELECT 'lc_stage', doc_id, {n}, text FROM {docs} WHERE n_chars >= {LC_MIN_CHARS}
   UNION ALL
-  SELECT 'annealing_stage', doc_id, CAST(octet_length(encode(text)) + 2 AS BIGINT), text FROM documents
+  SELECT 'annealing_stage', doc_id, {n}, text FROM {docs}
    WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)
 ),
 stage_cfg AS (
@@ -102,6 +108,9 @@ pieces AS (
 )"""
 
 
+SQL_STAGE = sql_stage()
+
+
 # ------------------------------------------------------------------ run log
 
 

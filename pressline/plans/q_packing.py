@@ -15,13 +15,15 @@ from pressline.sources.tables import table
 
 BYTE_ID = byte_id_sql("b")
 
-# DuckDB: token rows of every split piece (byte-level ids with markers)
-SQL_TOKENS = SQL_STAGE + f""",
+BYTE_DOC_IDS = f"""[1] || list_transform(regexp_extract_all(hex(encode(text)), '..'),
+                               lambda h: {BYTE_ID.replace('b', "CAST(('0x' || h) AS INTEGER)")}) || [2]"""
+
+
+def sql_tokens(stage: str, ids: str) -> str:
+    """DuckDB: token rows of every split piece and the blocks; ``ids`` is a document's id list."""
+    return stage + f""",
 piece_ids AS (
-  SELECT stage, split, seq_len, doc_id, pstart, take,
-         [1] || list_transform(regexp_extract_all(hex(encode(text)), '..'),
-                               lambda h: {BYTE_ID.replace('b', "CAST(('0x' || h) AS INTEGER)")}) || [2] AS ids
-  FROM pieces
+  SELECT stage, split, seq_len, doc_id, pstart, take, {ids} AS ids FROM pieces
 ),
 tok AS (
   SELECT stage, split, seq_len, pstart + i - 1 AS pos, id FROM (
@@ -45,25 +47,37 @@ blk AS (
 )"""
 
 
-def _split(spark: SparkSession, sf: str) -> DataFrame:
-    corpus = stage_lengths(spark, sf)
+SQL_TOKENS = sql_tokens(SQL_STAGE, BYTE_DOC_IDS)
+
+
+def _split(spark: SparkSession, sf: str, corpus: DataFrame | None = None) -> DataFrame:
+    corpus = stage_lengths(spark, sf) if corpus is None else corpus
     cfg = stage_cfg(corpus)
     off = K.token_offsets(corpus)
     return K.split_by_budget(off, cfg).join(cfg.select("stage", "seq_len"), "stage")
 
 
+STREAM = ("stage", "split", "seq_len")
+
+
+def _cut_pieces(pieces: DataFrame, ids: DataFrame) -> DataFrame:
+    """The split pieces with their ids. Only the pieces (not the whole corpus
+    through the offset shuffle) meet the ``(doc_id, ids)`` rows, as one row per
+    document that holds its few pieces (stages x splits), so ids move once."""
+    p = pieces.groupBy("doc_id").agg(F.collect_list(F.struct(*STREAM, "pstart", "take")).alias("_p"))
+    cut = F.transform("_p", lambda x: F.struct(x.alias("p"), F.slice("ids", 1, x["take"].cast("int")).alias("ids")))
+    return p.join(ids, "doc_id").select("doc_id", F.explode(cut).alias("_c")).select("doc_id", "_c.p.*", "_c.ids")
+
+
 def _pieces(spark: SparkSession, sf: str) -> DataFrame:
-    """Split pieces with their ids: only the pieces (not the whole corpus
-    through the offset shuffle) are joined back to the texts by doc_id."""
-    p = K.split_pieces(_split(spark, sf))
-    texts = table(spark, sf, "documents").select("doc_id", "text")
-    p = p.join(texts, "doc_id")
-    return p.withColumn("ids", F.slice(K.byte_doc_ids(F.col("text")), 1, F.col("take").cast("int"))).drop("text")
+    texts = table(spark, sf, "documents").select("doc_id", K.byte_doc_ids(F.col("text")).alias("ids"))
+    return _cut_pieces(K.split_pieces(_split(spark, sf)), texts)
 
 
 def _blocks(spark: SparkSession, sf: str) -> DataFrame:
-    p = _pieces(spark, sf)
-    return K.make_blocks(p, F.col("seq_len"), by=("stage", "split", "seq_len"))
+    p = K.split_pieces(_split(spark, sf))
+    texts = table(spark, sf, "documents").select("doc_id", K.byte_doc_ids(F.col("text")).alias("ids"))
+    return K.make_blocks(_cut_pieces(p, texts), F.col("seq_len"), by=STREAM, lens=K.stream_lengths(p, by=STREAM))
 
 
 def _weighted(arr) -> F.Column:

@@ -11,17 +11,15 @@ from pyspark.sql import functions as F
 from pressline.functions import text as TX
 from pressline.functions.bytes_ import byte_id_sql, byte_ids, ids_to_text, utf8_bytes
 from pressline.functions.bytes_ import byte_to_char, byte_to_id
-from pressline.functions.fixed import SPECIAL_TOKENS
 from pressline.operators import bpe
 from pressline.operators.packing import byte_doc_len
 from pressline.plans.fixtures import SQL_RUN_LOG, run_log
 from pressline.plans.registry import register, with_ctes
+from pressline.plans.sql_bpe import SPECIAL_ALT_RE2, SQL_ENCODED, SQL_MERGES, SQL_TRAIN, VOCAB, char_sql, pretoken_sql
 from pressline.session import scratch_path
 from pressline.sources.tables import head_sample, table
 
 WHOLE_CORPUS = 0         # the store key of a tokenizer trained on every document
-SPECIAL_ALT_RE2 = "|".join(t.replace("|", "[|]") for _, t, _ in SPECIAL_TOKENS)
-VOCAB = 300              # specials + 256 alphabet + 40 merges
 
 
 @lru_cache(maxsize=4)
@@ -29,12 +27,6 @@ def _model(spark: SparkSession, sf: str, vocab: int) -> bpe.BpeModel:
     return bpe.train_bpe(bpe.word_histogram(table(spark, sf, "documents").select("doc_id", "text")), vocab)
 
 
-def _char_sql(b: str) -> str:
-    return (f"CASE WHEN {b} BETWEEN 33 AND 126 OR {b} BETWEEN 161 AND 172 OR {b} >= 174 THEN chr({b}) "
-            f"WHEN {b} <= 32 THEN chr(256 + {b}) WHEN {b} BETWEEN 127 AND 160 THEN chr(256 + 33 + {b} - 127) "
-            f"ELSE chr(256 + 67) END")
-
-
 SQL_BYTES = """
 bytes AS (
   SELECT doc_id, lang, CAST(('0x' || h) AS INTEGER) AS b
@@ -43,7 +35,7 @@ bytes AS (
 
 
 @register("byte_alphabet", sql=with_ctes(SQL_BYTES, body=f"""
-SELECT b AS byte, {_char_sql('b')} AS char, {byte_id_sql('b')} AS id, CAST(count(*) AS BIGINT) AS occurrences
+SELECT b AS byte, {char_sql('b')} AS char, {byte_id_sql('b')} AS id, CAST(count(*) AS BIGINT) AS occurrences
 FROM bytes GROUP BY b"""))
 def byte_alphabet(spark: SparkSession, sf: str) -> DataFrame:
     """The byte -> printable char -> id alphabet, for every byte value that
@@ -64,23 +56,10 @@ def byte_encode(spark: SparkSession, sf: str) -> DataFrame:
     return d.groupBy("id").agg(F.count(F.lit(1)).alias("occurrences"), F.countDistinct("doc_id").alias("docs"))
 
 
-# RE2 has no lookahead: a mark goes before the last blank of a run that a word
-# follows, so that the run ends there; the words are then taken around the marks
-_BLANK = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-_MARK = r"\x{e000}"
-
-
-def _pretoken_sql(text: str) -> str:
-    """DuckDB list of the pre-tokens of ``text``."""
-    marked = rf"regexp_replace({text}, '([{_BLANK}])([{_BLANK}][^{_BLANK}])', '\1' || chr(57344) || '\2', 'g')"
-    return (rf"regexp_extract_all({marked}, '''s|''t|''re|''ve|''m|''ll|''d| ?\p{{L}}+| ?\p{{N}}+"
-            rf"| ?[^{_BLANK}\p{{L}}\p{{N}}{_MARK}]+|[{_BLANK}]+')")
-
-
 @register("pretokenize", sql=f"""
 SELECT doc_id, CAST(length(text) AS INTEGER) AS n_chars, CAST(len(w) AS INTEGER) AS n_words,
        CAST(length(array_to_string(w, '')) AS INTEGER) AS covered_chars
-FROM (SELECT doc_id, text, {_pretoken_sql('text')} AS w FROM documents)""")
+FROM (SELECT doc_id, text, {pretoken_sql('text')} AS w FROM documents)""")
 def pretokenize(spark: SparkSession, sf: str) -> DataFrame:
     """Words per document and their total length (must equal the text length)."""
     d = table(spark, sf, "documents")
@@ -104,7 +83,7 @@ def special_audit(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("word_histogram", sql=f"""
 SELECT word, CAST(count(*) AS BIGINT) AS freq FROM (
-  SELECT unnest({_pretoken_sql('part')}) AS word FROM (
+  SELECT unnest({pretoken_sql('part')}) AS word FROM (
     SELECT unnest(regexp_split_to_array(text, '{SPECIAL_ALT_RE2}')) AS part FROM documents))
 GROUP BY word""")
 def word_histogram(spark: SparkSession, sf: str) -> DataFrame:
@@ -121,13 +100,14 @@ def word_histogram_ws(spark: SparkSession, sf: str) -> DataFrame:
     return d.filter(F.col("word") != "").groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
 
 
-@register("bpe_train", rows_only="iterative training; checked against the public tokenizer library in tests")
+@register("bpe_train", sql=with_ctes(SQL_TRAIN, SQL_MERGES, body="SELECT * FROM merge_rows", recursive=True))
 def bpe_train(spark: SparkSession, sf: str) -> DataFrame:
-    """Merges learned on the tokenizer sample (vocab 300)."""
+    """Merges learned on the whole corpus (vocab 300)."""
     return _model(spark, sf, VOCAB).merges_df(spark)
 
 
-@register("bpe_encode", rows_only="needs the trained merges; checked against the public tokenizer library in tests")
+@register("bpe_encode", sql=with_ctes(SQL_TRAIN, SQL_ENCODED, body="""
+SELECT doc_id, CAST(len(text) AS INTEGER) AS n_ids, CAST(list_sum(text) AS BIGINT) AS id_sum FROM documents_tok""", recursive=True))
 def bpe_encode(spark: SparkSession, sf: str) -> DataFrame:
     """Every document encoded with the trained merges (+ BOD/EOD)."""
     m = _model(spark, sf, VOCAB)
@@ -187,7 +167,7 @@ def head_sample_q(spark: SparkSession, sf: str) -> DataFrame:
     return head_sample(d, 50)
 
 
-@register("tokenizer_store", rows_only="writes and reads the model store")
+@register("tokenizer_store", sql=with_ctes(SQL_TRAIN, SQL_MERGES, body="SELECT * FROM merge_rows", recursive=True))
 def tokenizer_store(spark: SparkSession, sf: str) -> DataFrame:
     """The stored merges of the trained tokenizer, one row each, read from
     the store under vocab=<V>/samples=<N> (0: the whole corpus)."""

@@ -35,10 +35,10 @@ def register(name: str, sql: str | None = None, rows_only: str | None = None):
     return deco
 
 
-def with_ctes(*ctes: str, body: str) -> str:
+def with_ctes(*ctes: str, body: str, recursive: bool = False) -> str:
     """``WITH cte1, cte2 ... body`` from CTE snippets."""
     parts = [c.strip().rstrip(",") for c in ctes if c.strip()]
-    return "WITH " + ",\n".join(parts) + "\n" + body.strip()
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n" + body.strip()
 
 
 def load_all() -> None:
@@ -53,5 +53,6 @@ def load_all() -> None:
         q_streaming,
         q_tensors,
         q_text,
+        q_trained,
         q_vectors,
     )

@@ -14,7 +14,7 @@ def stage_sidecar(split: DataFrame, cfg: DataFrame, vocab_size: int) -> DataFram
     written = split.groupBy("stage").agg(
         F.sum("train_take").cast("long").alias("total_train_written"),
         F.sum("val_take").cast("long").alias("total_val_written"))
-    t = written.join(F.broadcast(cfg.select("stage", "train_target", "val_target")), "stage")
+    t = written.join(cfg.select("stage", "train_target", "val_target"), "stage")
     t = t.select(
         "stage", F.lit(vocab_size).alias("vocab_size"),
         F.col("train_target").alias("train_tokens_target"), "total_train_written",
@@ -24,14 +24,22 @@ def stage_sidecar(split: DataFrame, cfg: DataFrame, vocab_size: int) -> DataFram
         "val_tokens_target", "total_val_written")))
 
 
-def write_tokens(pieces: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Store split pieces partitioned by (stage, split).
+def store_dtype(vocab_size: int) -> str:
+    return "uint16" if vocab_size <= 1 << 16 else "uint32"
+
+
+def write_tokens(pieces: DataFrame, path: str, mode: str = "overwrite", vocab_size: int = 1 << 32) -> None:
+    """Store split pieces partitioned by (stage, split). An id outside
+    ``[0, vocab_size)`` fails the write, as it would not fit the declared
+    ``store_dtype``.
 
     Rows are ``(doc_id, pstart, pend, take, ids ARRAY<INT>)``; files are sorted by
     ``pstart`` inside each partition so Parquet min/max statistics let a
     position-range read skip row groups (the random access of a memory map).
     """
-    (pieces.select("stage", "split", "doc_id", "pstart", (F.col("pstart") + F.col("take")).alias("pend"), "take", "ids")
+    outside = (F.array_max("ids") >= F.lit(vocab_size)) | (F.array_min("ids") < 0)
+    ids = F.when(outside, F.raise_error(F.lit(f"token id outside {store_dtype(vocab_size)} vocabulary of {vocab_size}"))).otherwise(F.col("ids"))
+    (pieces.select("stage", "split", "doc_id", "pstart", (F.col("pstart") + F.col("take")).alias("pend"), "take", ids.alias("ids"))
      .repartition("stage", "split", F.floor(F.col("pstart") / F.lit(1 << 24)))
      .sortWithinPartitions("pstart")
      .write.mode(mode).partitionBy("stage", "split").parquet(path))
