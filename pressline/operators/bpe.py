@@ -2,8 +2,8 @@
 
 Training runs on the distinct-word histogram, which is what makes it scale:
 after one shuffle of the corpus the data size is the number of distinct words.
-Each round is a Spark job: pair counts (explode + partial/final hash
-aggregate), a top-k of the ranking, and one native rewrite of the words.
+Each round is one Spark job: Arrow batches of words are merged and their pairs
+counted in numpy, the counts summed by pair, and the top of the ranking taken.
 Several merges are accepted per round when that is provably the same as
 accepting them one at a time (see ``_accept``).
 
@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,10 +27,11 @@ from pyspark.sql import types as T
 from pressline.functions.bytes_ import byte_ids, byte_to_char, byte_to_id
 from pressline.functions.fixed import N_SPECIAL, SPECIAL_TOKENS
 from pressline.functions.text import pretokenize_with_specials, special_map
-from pressline.session import materialize, materialize_table
+from pressline.session import materialize_table
 
 PAIR_SHIFT = 1 << 32
 TOP_K = 256
+WRITE_EVERY = 16          # rounds between two written word tables
 
 
 # ------------------------------------------------------------------ histogram
@@ -77,123 +78,91 @@ class BpeModel:
         return spark.createDataFrame(rows, "rank int, left_id int, right_id int, new_id int, left string, right string")
 
 
-def _pairs(sym: Column) -> Column:
-    """Adjacent (left, right) pairs of a symbol array (empty for one symbol)."""
-    n = F.size(sym)
-    return F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1),
-                                     lambda i: F.struct(F.element_at(sym, i).alias("l"),
-                                                        F.element_at(sym, i + 1).alias("r")))) \
-        .otherwise(F.array().cast("array<struct<l:int,r:int>>"))
-
-
-def apply_merges(sym: Column, merge_map: Column) -> Column:
-    """One left-to-right pass replacing each adjacent pair found in
-    ``merge_map`` (``left * 2^32 + right -> new id``). Correct for a batch of
-    symbol-disjoint merges."""
-    init = F.struct(F.array().cast("array<int>").alias("out"), F.lit(-1).alias("prev"))
-
-    def step(acc, x):
-        key = acc["prev"].cast("long") * F.lit(PAIR_SHIFT) + x.cast("long")
-        m = F.try_element_at(merge_map, key)
-        merged = (acc["prev"] >= 0) & m.isNotNull()
-        out = (F.when(merged, F.concat(acc["out"], F.array(m)))
-               .when(acc["prev"] >= 0, F.concat(acc["out"], F.array(acc["prev"])))
-               .otherwise(acc["out"]))
-        return F.struct(out.alias("out"), F.when(merged, F.lit(-1)).otherwise(x).alias("prev"))
-
-    return F.aggregate(sym, init, step,
-                       lambda acc: F.when(acc["prev"] >= 0, F.concat(acc["out"], F.array(acc["prev"])))
-                       .otherwise(acc["out"]))
-
-
-def apply_disjoint_merges(sym: Column, merge_map: Column) -> Column:
-    """The same rewrite in O(n) for a batch whose pairs share no symbol and
-    contain no (a, a) pair: then two matches can never overlap, so position
-    i emits the merged id when (i, i+1) matches, nothing when (i-1, i)
-    matched, and its own symbol otherwise."""
-    n = F.size(sym)
-
-    def hit(i):
-        return F.when((i >= 1) & (i < n),
-                      F.try_element_at(merge_map, F.element_at(sym, i).cast("long") * F.lit(PAIR_SHIFT)
-                                       + F.element_at(sym, i + 1).cast("long")))
-
-    out = F.transform(F.sequence(F.lit(1), n), lambda i: F.coalesce(
-        hit(i), F.when(hit(i - 1).isNotNull(), F.lit(-1)), F.element_at(sym, i)))
-    return F.filter(out, lambda x: x >= 0)
-
-
-def _partial_pair_counts(batches):
-    """mapInPandas body: weighted counts of adjacent pairs within one
-    partition (numpy), emitted as ``key = left * 2^32 + right``; Spark then
-    sums the partial counts by key (a small shuffle)."""
-    for pdf in batches:
-        keys, weights = [], []
-        for f, sym in zip(pdf["freq"].to_numpy(), pdf["sym"]):
-            a = np.asarray(sym, dtype=np.int64)
-            if a.size > 1:
-                keys.append(a[:-1] * PAIR_SHIFT + a[1:])
-                weights.append(np.full(a.size - 1, f, dtype=np.int64))
-        if not keys:
-            continue
-        k = np.concatenate(keys)
-        uniq, inv = np.unique(k, return_inverse=True)
-        cnt = np.bincount(inv, weights=np.concatenate(weights)).astype(np.int64)
-        yield pd.DataFrame({"key": uniq, "cnt": cnt})
-
-
-def _pair_counts(words: DataFrame, engine: str) -> DataFrame:
-    if engine == "native":
-        pairs = words.select("freq", F.explode(_pairs(F.col("sym"))).alias("p"))
-        return pairs.groupBy(F.col("p.l").alias("l"), F.col("p.r").alias("r")).agg(F.sum("freq").alias("cnt"))
-    part = words.mapInPandas(_partial_pair_counts, "key long, cnt long")
-    tot = part.groupBy("key").agg(F.sum("cnt").alias("cnt"))
-    return tot.select(F.shiftright("key", 32).cast("int").alias("l"),
-                      (F.col("key") % F.lit(PAIR_SHIFT)).cast("int").alias("r"), "cnt")
-
-
-def _merge_udf(batch: list[tuple[int, int, int]]):
-    """pandas UDF applying one round's merges left to right (also correct for
-    an (a, a) pair: a merged position is consumed)."""
-    table = {(a, b): n for a, b, n in batch}
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def merge(syms: pd.Series) -> pd.Series:
-        out = []
-        for sym in syms:
-            res, i, n = [], 0, len(sym)
-            while i < n:
-                if i + 1 < n:
-                    m = table.get((sym[i], sym[i + 1]))
-                    if m is not None:
-                        res.append(m)
-                        i += 2
-                        continue
-                res.append(sym[i])
-                i += 1
-            out.append(res)
-        return pd.Series(out)
-
-    return merge
+def _symbols(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All symbols of a batch of words laid end to end, and each one's word."""
+    col = b.column("sym")
+    n = col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return col.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(n)), n)
+
+
+def merge_symbols(sym: np.ndarray, word: np.ndarray, batch: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """One round's merges in all words at once. Matches overlap only in a run
+    of one pair of equal symbols; there every other one is taken, from the left."""
+    keys = np.array([a * PAIR_SHIFT + b for a, b, _ in batch], np.int64)
+    order = np.argsort(keys)
+    keys, new = keys[order], np.array([n for _, _, n in batch], np.int64)[order]
+    pair = sym[:-1] * PAIR_SHIFT + sym[1:]
+    k = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
+    at = np.flatnonzero((keys[k] == pair) & (word[:-1] == word[1:]))
+    if len(batch) == 1 and batch[0][0] == batch[0][1] and len(at):
+        first = np.flatnonzero(np.append(True, np.diff(at) != 1))
+        run = np.repeat(first, np.diff(np.append(first, len(at))))
+        at = at[(np.arange(len(at)) - run) % 2 == 0]
+    sym = sym.copy()
+    sym[at] = new[k[at]]
+    stay = np.ones(len(sym), bool)
+    stay[at + 1] = False
+    return sym[stay], word[stay]
+
+
+def _merged(b: pa.RecordBatch, rounds: list) -> tuple[np.ndarray, np.ndarray]:
+    sym, word = _symbols(b)
+    for batch in rounds:
+        if len(sym) > 1:
+            sym, word = merge_symbols(sym, word, batch)
+    return sym, word
+
+
+def merge_words(words: DataFrame, rounds: list) -> DataFrame:
+    """The word table after some rounds of merges, without the finished words."""
+    def run(batches):
+        for b in batches:
+            sym, word = _merged(b, rounds)
+            n = np.bincount(word, minlength=b.num_rows)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(sym.astype(np.int32)))
+            open_ = pa.array(n > 1)
+            yield pa.RecordBatch.from_arrays([b.column("freq").filter(open_), lists.filter(open_)], names=["freq", "sym"])
+
+    return words.mapInArrow(run, "freq long, sym array<int>")
+
+
+def pair_counts(words: DataFrame, rounds: list) -> DataFrame:
+    """(l, r, cnt): adjacent pairs of the words after ``rounds``, counted per
+    batch, so that the shuffle carries one row per pair and task."""
+    def run(batches):
+        for b in batches:
+            sym, word = _merged(b, rounds)
+            pair = (sym[:-1] * PAIR_SHIFT + sym[1:])[word[:-1] == word[1:]]
+            weight = b.column("freq").to_numpy()[word[:-1][word[:-1] == word[1:]]]
+            if len(pair):
+                order = np.argsort(pair, kind="stable")
+                first = np.flatnonzero(np.append(True, np.diff(pair[order]) != 0))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(pair[order][first]), pa.array(np.add.reduceat(weight[order], first))], names=["key", "cnt"])
+
+    tot = words.mapInArrow(run, "key long, cnt long").groupBy("key").agg(F.sum("cnt").alias("cnt"))
+    return tot.select(F.shiftright("key", 32).cast("int").alias("l"), (F.col("key") % F.lit(PAIR_SHIFT)).cast("int").alias("r"), "cnt")
 
 
 def _accept(top: list, model: BpeModel, budget: int) -> list[tuple[int, int, int]]:
-    """Merges of one round: the longest prefix of the ranking whose pairs are
-    pairwise symbol-disjoint. A pair created by these merges, (x, ab), has a
-    count no larger than (x, a), which is not in the prefix, and on equal
-    counts its new (largest) id loses the tie, so nothing created in the
-    round could have been chosen before the accepted pairs. The batch also
-    ends at a pair of equal symbols (overlapping occurrences) and before a
-    pair whose string already exists (its id is reused, not new)."""
+    """Merges of one round: the longest prefix of the ranking in which no
+    pair's left symbol is another's right one, so that no two matches overlap.
+    A pair created by these merges, (x, ab), (ab, y) or (ab, cd), has a count
+    no larger than (x, a), (b, y) or (b, c), none of which can be in the
+    prefix, and on equal counts its new (largest) id loses the tie: nothing
+    created in the round could have been chosen before the accepted pairs. The
+    batch also ends at a pair of equal symbols (overlapping occurrences) and
+    before a pair whose string already exists (its id is reused, not new)."""
     known = {t: i for i, t in enumerate(model.tokens)}
-    used: set[int] = set()
+    lefts: set[int] = set()
+    rights: set[int] = set()
     out: list[tuple[int, int, int]] = []
     next_id = len(model.tokens)
     for row in top:
         left, right = int(row["l"]), int(row["r"])
         if budget <= 0:
             break
-        if out and (left in used or right in used):
+        if left in rights or right in lefts:
             break
         s = model.tokens[left] + model.tokens[right]
         if left == right or s in known:
@@ -208,7 +177,8 @@ def _accept(top: list, model: BpeModel, budget: int) -> list[tuple[int, int, int
         known[s] = next_id
         next_id += 1
         budget -= 1
-        used.update((left, right))
+        lefts.add(left)
+        rights.add(right)
     return out
 
 
@@ -218,48 +188,32 @@ def _parallelism(df: DataFrame) -> int:
     return max(1, df.sparkSession.sparkContext.defaultParallelism)
 
 
-def train_bpe(hist: DataFrame, vocab_size: int,
-              engine: str = "native") -> BpeModel:
+def train_bpe(hist: DataFrame, vocab_size: int) -> BpeModel:
     """Learn merges until the vocabulary has ``vocab_size`` entries (specials,
     256-symbol alphabet, then merges in learning order) or no pair is left.
 
-    ``engine="native"`` (default) counts pairs and rewrites the words with
-    Spark higher-order functions; ``engine="arrow"`` counts pairs per
-    partition with numpy and rewrites words in an Arrow-batched pandas UDF.
-    Both give the same merges.
-    """
+    A round is one job: it reads the word table, applies the rounds since that
+    table was written and counts the pairs. Every ``WRITE_EVERY`` rounds the
+    merged words are written as the next table in the shared checkpoint folder,
+    so lineage and the work repeated per round stay bounded and a lost executor
+    costs a re-read."""
     model = BpeModel.base()
     words = hist.select(F.col("freq").cast("long").alias("freq"), byte_ids(F.col("word")).alias("sym"))
     words = materialize_table(words.filter(F.size("sym") > 1).repartition(_parallelism(words)), "bpe-words")
-    rounds = 0
+    pending: list = []
     while len(model.tokens) < vocab_size:
-        counts = _pair_counts(words, engine)
-        # this job also fills the cache of ``words``
-        top = counts.orderBy(F.col("cnt").desc(), F.col("l").asc(), F.col("r").asc()).limit(TOP_K).collect()
-        if not top:
-            break
+        top = pair_counts(words, pending).orderBy(F.col("cnt").desc(), F.col("l").asc(), F.col("r").asc()).limit(TOP_K).collect()
         batch = _accept(top, model, vocab_size - len(model.tokens))
         if not batch:
             break
-        # a one-pair batch of equal symbols or a reused id needs the sequential pass
-        single = len(batch) == 1 and (batch[0][0] == batch[0][1] or batch[0][2] < len(model.tokens))
         for left, right, new in batch:
             if new == len(model.tokens):
                 model.tokens.append(model.tokens[left] + model.tokens[right])
             model.merges.append((left, right, new))
-        mm = F.create_map(*[x for a, b, n in batch for x in (F.lit(a * PAIR_SHIFT + b), F.lit(n))])
-        if engine == "native":
-            rewrite = apply_merges if single else apply_disjoint_merges
-            new_sym = rewrite(F.col("sym"), mm)
-        else:
-            new_sym = _merge_udf(batch)(F.col("sym"))
-        nxt = words.withColumn("sym", new_sym).filter(F.size("sym") > 1)
-        rounds += 1
-        # each round's words become a Parquet table in the shared checkpoint
-        # folder: lineage stays one round deep and a lost executor costs
-        # nothing but a re-read
-        words = materialize_table(nxt.repartition(_parallelism(nxt)), "bpe-words")
-    model.rounds = rounds
+        pending.append(batch)
+        model.rounds += 1
+        if len(pending) == WRITE_EVERY:
+            words, pending = materialize_table(merge_words(words, pending), "bpe-words"), []
     return model
 
 

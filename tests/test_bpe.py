@@ -82,3 +82,58 @@ def test_encoder_takes_merges_by_rank_from_the_left(trained):
     long = "".join(rng.choice("etahnsi") for _ in range(200_000))
     assert len(enc(long)) < len(long)
     assert time.time() - t0 < 10  # a heap, not a rescan of the word per merge
+
+
+def _one_at_a_time(hist, vocab):
+    """Plain training, a merge per step: the pairs chosen, as ids."""
+    from pressline.functions.bytes_ import byte_to_id
+
+    lut, words, out = byte_to_id(), [], []
+    for w, f in hist.items():
+        words.append(([lut[b] for b in w.encode()], f))
+    for new in range(260, vocab):
+        counts = {}
+        for sym, f in words:
+            for p in zip(sym, sym[1:]):
+                counts[p] = counts.get(p, 0) + f
+        if not counts:
+            break
+        a, b = min(counts, key=lambda p: (-counts[p], p))
+        out.append((a, b))
+        for sym, _ in words:
+            i = 0
+            while i < len(sym) - 1:
+                if sym[i] == a and sym[i + 1] == b:
+                    sym[i:i + 2] = [new]
+                i += 1
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_rounds_of_merges_equal_one_at_a_time(spark, seed, monkeypatch):
+    import random
+
+    monkeypatch.setattr(bpe, "WRITE_EVERY", 3)  # words are written again within the run
+    rng = random.Random(seed)
+    hist = {"".join(rng.choice("abcde"[:2 + seed]) for _ in range(rng.randint(1, 9))): rng.randint(1, 30) for _ in range(60)}
+    df = spark.createDataFrame(list(hist.items()), "word string, freq long")
+    model = bpe.train_bpe(df, 272)
+    new = [(a, b) for a, b, n in model.merges]
+    # a string that two pairs spell has one id here; compare up to the first such pair
+    unique = next((k for k, (_, _, n) in enumerate(model.merges) if n != 260 + k), len(new))
+    assert new[:unique] == _one_at_a_time(hist, 272)[:unique] and unique > 3
+
+
+def test_runs_of_one_symbol_merge_from_the_left(spark):
+    df = spark.createDataFrame([("aaaaa", 3), ("aaaa", 2), ("aa", 1)], "word string, freq long")
+    model = bpe.train_bpe(df, 263)
+    a = model.merges[0][0]
+    assert model.merges == [(a, a, 260), (260, 260, 261), (261, a, 262)]
+
+
+def test_empty_histogram_and_null_texts(spark):
+    model = bpe.train_bpe(spark.createDataFrame([], "word string, freq long"), 300)
+    assert not model.merges
+    df = spark.createDataFrame([(0, None), (1, "a")], "doc_id long, text string")
+    assert {r["doc_id"]: r["ids"] for r in bpe.bpe_encode(df, model).collect()}[0] == [1, 2]
+    assert {r["doc_id"]: r["text"] for r in bpe.bpe_decode(bpe.bpe_encode(df, model), model, spark).collect()} == {0: "", 1: "a"}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pressline.operators import bpe
 from pressline.operators.tensors import average_checkpoints, round_to_dtype
 from pressline.plans import q_sources
+from pressline.sources import sinks
 from pressline.streaming.packer import _read_state
 
 from .conftest import SF001
@@ -63,3 +64,11 @@ def test_training_reads_the_whole_corpus(spark):
     hist = bpe.word_histogram(spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text"))
     plan = hist._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrdered" not in plan and "Limit" not in plan
+
+
+def test_token_store_rejects_ids_outside_its_vocabulary(spark, tmp_path):
+    rows = spark.createDataFrame([("s", "val", 1, 0, 2, [1, 300])], "stage string, split string, doc_id long, pstart long, take long, ids array<int>")
+    sinks.write_tokens(rows, f"{tmp_path}/ok", vocab_size=301)
+    assert [r["pend"] for r in sinks.read_tokens(spark, f"{tmp_path}/ok", "s", "val", 1).collect()] == [2]
+    with pytest.raises(Exception, match="outside uint16 vocabulary of 300"):
+        sinks.write_tokens(rows, f"{tmp_path}/bad", vocab_size=300)
