@@ -194,24 +194,18 @@ def resume_skip(blocks: DataFrame, tokens_seen: int, L: int) -> DataFrame:
     return blocks.filter(F.col("block_idx") >= F.lit(tokens_seen // L))
 
 
-def epoch_wrap(spark, total_blocks: Column, n_fetch: int, tokens_seen: int, L: int,
-               wrap: bool = True) -> DataFrame:
-    """K8/K9: the block index served at fetch ``i`` = ``(i + skip) mod total``.
-
-    ``total_blocks`` is a scalar column (e.g. ``meta.select(...).scalar()``),
-    so no join is needed. Training wraps and flags ``epoch_mark`` where the
-    wrapped index goes backwards; validation (``wrap=False``) ends instead.
-    """
-    skip = tokens_seen // L
-    t = spark.range(n_fetch).withColumnRenamed("id", "fetch_i").withColumn("_tb", total_blocks)
-    absolute = F.col("fetch_i") + F.lit(skip)
-    if not wrap:
-        return (t.filter(F.col("fetch_i") < F.col("_tb"))
-                 .select("fetch_i", F.col("fetch_i").alias("block_idx"), F.lit(False).alias("epoch_mark")))
-    t = t.withColumn("block_idx", F.pmod(absolute, F.col("_tb")))
-    prev = F.pmod(absolute - 1, F.col("_tb"))
-    return t.select("fetch_i", "block_idx",
-                    ((F.col("fetch_i") > 0) & (F.col("block_idx") < prev)).alias("epoch_mark"))
+def epoch_wrap(blocks: DataFrame, total_blocks: Column, epochs: int, tokens_seen: int, L: int) -> DataFrame:
+    """K8/K9: the fetches that serve the rows of ``blocks`` (one stream's blocks
+    by ``block_idx``) ``epochs`` times over, from the block where ``tokens_seen``
+    tokens end: fetch ``i`` serves block ``(i + skip) mod total``. ``epoch_mark``
+    flags a fetch at which the index went backwards. Every block names its own
+    fetches, so nothing is joined or shuffled."""
+    start = F.pmod(F.lit(tokens_seen // L), F.col("_tb"))
+    t = blocks.withColumn("_tb", total_blocks).withColumn("_e", F.explode(F.sequence(F.lit(0), F.lit(epochs))))
+    t = t.withColumn("fetch_i", F.col("_e") * F.col("_tb") + F.col("block_idx") - start)
+    t = t.filter((F.col("fetch_i") >= 0) & (F.col("fetch_i") < F.col("_tb") * epochs))
+    mark = (F.col("fetch_i") > 0) & (F.col("block_idx") == 0) & (F.col("_tb") > 1)
+    return t.withColumn("epoch_mark", mark).drop("_tb", "_e")
 
 
 # ---------------------------------------------------------------- segments and visibility

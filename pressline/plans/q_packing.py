@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pressline.functions.bytes_ import byte_id_sql
 from pressline.functions.fixed import EOD_ID
 from pressline.operators import packing as K
-from pressline.plans.fixtures import SQL_STAGE, stage_cfg, stage_corpus, stage_lengths
+from pressline.plans.fixtures import SQL_STAGE, STAGE_SEQ_LEN, stage_cfg, stage_corpus, stage_lengths
 from pressline.plans.registry import register, with_ctes
 from pressline.session import materialize_table
 from pressline.sources.tables import table
@@ -281,36 +281,41 @@ def resume_skip(spark: SparkSession, sf: str) -> DataFrame:
     return b.select("stage", "split", "block_idx", F.element_at("x", 1).alias("x_first"))
 
 
-def _total_blocks_scalar(spark: SparkSession, sf: str) -> F.Column:
-    sp = _split(spark, sf).filter(F.col("stage") == "initial_stage")
-    return sp.select(F.expr("(sum(train_take) - 1) div max(seq_len)")).scalar()
-
-
 SQL_WRAP = """
-tb AS (SELECT CAST((sum(train_take) - 1) // max(seq_len) AS BIGINT) AS total_blocks
-       FROM split WHERE stage = 'initial_stage'),
+tb AS (SELECT total_blocks AS total, 6 % total_blocks AS skip FROM stream WHERE stage = 'initial_stage' AND split = 'train'),
+served AS (SELECT block_idx, max(id) FILTER (WHERE idx = 0) AS x_first FROM blk
+           WHERE stage = 'initial_stage' AND split = 'train' GROUP BY block_idx),
 wrap AS (
-  SELECT f.fetch_i, (f.fetch_i + 6) % tb.total_blocks AS block_idx,
-         f.fetch_i > 0 AND (f.fetch_i + 6) % tb.total_blocks < (f.fetch_i + 5) % tb.total_blocks AS epoch_mark
-  FROM tb, (SELECT range AS fetch_i FROM range(0, 25000)) f
-)"""
+  SELECT CAST(e * total + block_idx - skip AS BIGINT) AS fetch_i, block_idx, x_first
+  FROM served, tb, (SELECT range AS e FROM range(0, 3))
+  WHERE e * total + block_idx - skip BETWEEN 0 AND 2 * total - 1
+),
+marked AS (SELECT *, coalesce(block_idx < lag(block_idx) OVER (ORDER BY fetch_i), false) AS epoch_mark FROM wrap)"""
+
+
+def _fetches(spark: SparkSession, sf: str) -> DataFrame:
+    """Two epochs over the initial-stage training blocks, resumed after 6 * L tokens."""
+    L = STAGE_SEQ_LEN["initial_stage"]
+    p = K.split_pieces(_split(spark, sf).filter(F.col("stage") == "initial_stage")).filter(F.col("split") == "train")
+    texts = table(spark, sf, "documents").select("doc_id", K.byte_doc_ids(F.col("text")).alias("ids"))
+    lens = K.stream_lengths(p, by=STREAM)
+    b = K.make_blocks(_cut_pieces(p, texts), F.col("seq_len"), by=STREAM, lens=lens)
+    total = lens.select(F.expr(f"(stream_len - 1) div {L}")).scalar()
+    return K.epoch_wrap(b.select("block_idx", F.element_at("x", 1).alias("x_first")), total, 2, 6 * L, L)
 
 
-@register("epoch_wrap", sql=with_ctes(SQL_STAGE, SQL_WRAP, body="""
-SELECT fetch_i, block_idx, epoch_mark FROM wrap"""))
+@register("epoch_wrap", sql=with_ctes(SQL_TOKENS, SQL_WRAP, body="""
+SELECT fetch_i, block_idx, epoch_mark, x_first FROM marked"""))
 def epoch_wrap(spark: SparkSession, sf: str) -> DataFrame:
-    """K8: 25 000 fetches over the initial-stage training blocks, resumed after
-    ``6 * L`` tokens (skip = 6 blocks), wrapping at the end."""
-    L = 128
-    return K.epoch_wrap(spark, _total_blocks_scalar(spark, sf), 25_000, 6 * L, L)
+    """K8: which block every fetch serves, with its first token, over two epochs."""
+    return _fetches(spark, sf).select("fetch_i", "block_idx", "epoch_mark", "x_first")
 
 
-@register("epoch_marks", sql=with_ctes(SQL_STAGE, SQL_WRAP, body="""
-SELECT fetch_i, block_idx FROM wrap WHERE epoch_mark"""))
+@register("epoch_marks", sql=with_ctes(SQL_TOKENS, SQL_WRAP, body="""
+SELECT fetch_i, block_idx FROM marked WHERE epoch_mark"""))
 def epoch_marks(spark: SparkSession, sf: str) -> DataFrame:
-    L = 128
-    w = K.epoch_wrap(spark, _total_blocks_scalar(spark, sf), 25_000, 6 * L, L)
-    return w.filter("epoch_mark").select("fetch_i", "block_idx")
+    """K9: the fetches at which an epoch starts over."""
+    return _fetches(spark, sf).filter("epoch_mark").select("fetch_i", "block_idx")
 
 
 @register("micro_batches", sql=with_ctes(SQL_TOKENS, body="""

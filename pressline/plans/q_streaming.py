@@ -73,8 +73,7 @@ def stream_pack(spark: SparkSession, sf: str) -> DataFrame:
 SELECT (SELECT vend FROM b) AS vend, CAST(sum(train_take) AS BIGINT) AS train_written,
        sum(train_take) >= (SELECT t FROM bud) AS done FROM s""")
 def stream_take(spark: SparkSession, sf: str) -> DataFrame:
-    """The stream stops doing work once the training budget is met;
-    later micro-batches are drained as no-ops. The carried state at the end."""
+    """The stream stops once the training budget is met. The carried state at the end."""
     _, state, _ = packer.run_stream_pack(spark, _stage_docs(spark, sf), DOC_SCHEMA, *_budgets(spark, sf))
     last = F.max_by(F.struct("vend", "train_written", "done"), "batch_id").alias("s")
     return packer.stream_state(spark, state).agg(last).select("s.vend", "s.train_written", "s.done")
@@ -91,7 +90,7 @@ def stream_resume(spark: SparkSession, sf: str) -> DataFrame:
     n, budgets = _n_files(docs) // 2, _budgets(spark, sf)
     packer.write_ordered_files(docs.filter(F.col("doc_id") <= cut), src, n)
     out, _, work = packer.run_stream_pack(spark, src, DOC_SCHEMA, *budgets)
-    packer.write_ordered_files(docs.filter(F.col("doc_id") > cut), src, n, first_index=n)
+    packer.write_ordered_files(docs.filter(F.col("doc_id") > cut), src, n)
     packer.run_stream_pack(spark, src, DOC_SCHEMA, *budgets, work=work)
     return _result(spark, out)
 

@@ -15,9 +15,10 @@ below produces.
 
 from __future__ import annotations
 
+import threading
 import uuid
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,31 +29,27 @@ from pressline.session import scratch_path
 STATE_SCHEMA = "batch_id long, total long, vend long, train_written long, done boolean"
 
 
-def write_ordered_files(docs: DataFrame, path: str, n_files: int, order: str = "doc_id",
-                        first_index: int = 0) -> None:
-    """Stage a table as ``n_files`` parquet files in ``path``, each a
+class BudgetMet(Exception):
+    """Ends the stream: thrown by the first batch after the budgets are written.
+    ``stop()`` from outside would interrupt a batch in the middle."""
+
+
+def write_ordered_files(docs: DataFrame, path: str, n_files: int, order: str = "doc_id") -> None:
+    """Append a table to ``path`` as about ``n_files`` Parquet files, each a
     contiguous ``order`` range, so that a file-source stream replays them in
-    key order. The file source orders files by modification time, so the
-    copies are stamped with increasing times; ``first_index`` continues a
-    folder that already holds earlier files (a stream that grows)."""
-    staging = f"{path.rstrip('/')}_staging_{uuid.uuid4().hex[:8]}"
-    (docs.repartitionByRange(n_files, order).sortWithinPartitions(order)
-     .write.mode("overwrite").parquet(staging))
+    key order: the source goes by modification time, and the ranges are written
+    one after another, each by a task of its own from the table partitioned by
+    range. ``order`` is an integer column without nulls."""
     spark = docs.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    Path = jvm.org.apache.hadoop.fs.Path
-    sroot = Path(staging)
-    fs = sroot.getFileSystem(conf)
-    fs.mkdirs(Path(path))
-    parts = sorted(st.getPath().toString() for st in fs.listStatus(sroot)
-                   if st.getPath().getName().startswith("part-"))
-    base = 1_000_000_000_000
-    for i, name in enumerate(parts):
-        k = first_index + i
-        dst = Path(f"{path.rstrip('/')}/part-{k:05d}.parquet")
-        jvm.org.apache.hadoop.fs.FileUtil.copy(fs, Path(name), fs, dst, False, conf)
-        fs.setTimes(dst, base + k * 1000, -1)
+    cuts = docs.select(F.percentile_approx(order, [i / n_files for i in range(1, n_files)], 100 * n_files)).first()[0] or []
+    part = F.lit(0)
+    for c in sorted(set(cuts)):
+        part = part + (F.col(order) > F.lit(c)).cast("int")
+    staged = scratch_path(spark, f"stream-ranges-{uuid.uuid4().hex[:12]}")
+    docs.withColumn("_range", part).repartition(n_files, "_range").write.partitionBy("_range").parquet(staged)
+    ranges = spark.read.parquet(staged)
+    for i in range(len(set(cuts)) + 1):
+        ranges.filter(F.col("_range") == i).drop("_range").coalesce(1).sortWithinPartitions(order).write.mode("append").parquet(path)
 
 
 def _read_state(spark: SparkSession, state_path: str, batch_id: int):
@@ -69,16 +66,16 @@ def _read_state(spark: SparkSession, state_path: str, batch_id: int):
     return r["total"], r["vend"], r["train_written"], bool(r["done"])
 
 
-def make_batch_fn(out_path: str, state_path: str, V: int, T: int):
-    """The ``foreachBatch`` body for a stream with val/train budgets V and T."""
+def make_batch_fn(out_path: str, state_path: str, V: int, T: int, met: threading.Event):
+    """The ``foreachBatch`` body for a stream with val/train budgets V and T;
+    a batch that finds both written sets ``met`` and ends the query."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         total, vend, train_written, done = _read_state(spark, state_path, batch_id)
-        if done:  # X2: budget met earlier, the stream is drained without work
-            spark.createDataFrame([(batch_id, total, vend, train_written, True)], STATE_SCHEMA) \
-                .write.mode("overwrite").parquet(f"{state_path}/b_{batch_id}")
-            return
+        if done:  # X2: the budget was met earlier, later batches hold nothing to do
+            met.set()
+            raise BudgetMet
         d = batch.select("doc_id", byte_doc_len(F.col("text")).alias("n"))
         d = prefix_sums(d, "doc_id", {"start": F.col("n")}).withColumn("start", F.col("start") + F.lit(total))
         d = d.persist()
@@ -116,16 +113,22 @@ def make_batch_fn(out_path: str, state_path: str, V: int, T: int):
 
 def run_stream_pack(spark: SparkSession, src: str, schema: str, V: int, T: int,
                     files_per_trigger: int = 1, work: str | None = None) -> tuple[str, str, str]:
-    """Run the packer over every file now in ``src`` (``availableNow``).
+    """Run the packer over the files now in ``src`` (``availableNow``), and stop
+    it as soon as its budgets are met (X2): files beyond are not read.
     Calling it again with the same ``work`` folder resumes from the query
     checkpoint and the carried state: only files added since are read.
     Returns (output path, state path, work folder)."""
     work = work or scratch_path(spark, f"stream-pack-{uuid.uuid4().hex[:12]}")
     out_path, state_path, ckpt = f"{work}/out", f"{work}/state", f"{work}/checkpoint"
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(src))
-    q = (stream.writeStream.foreachBatch(make_batch_fn(out_path, state_path, V, T))
+    met = threading.Event()
+    q = (stream.writeStream.foreachBatch(make_batch_fn(out_path, state_path, V, T, met))
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination()
+    try:
+        q.awaitTermination()
+    except StreamingQueryException:
+        if not met.is_set():
+            raise
     return out_path, state_path, work
 
 

@@ -43,8 +43,11 @@ def test_blocks_and_resume(spark):
     assert b[2]["x"] == list(range(16, 24)) and b[2]["y"] == list(range(17, 25))
     expected = {0: [0, 1, 2, 0, 1], 6: [0, 1, 2, 0, 1], 8: [1, 2, 0, 1, 2], 16: [2, 0, 1, 2, 0], 24: [0, 1, 2, 0, 1]}
     for seen, idx in expected.items():
-        w = K.epoch_wrap(spark, F.lit(3).cast("long"), 5, seen, 8).orderBy("fetch_i").collect()
-        assert [r["block_idx"] for r in w] == idx
+        blocks = spark.range(3).withColumnRenamed("id", "block_idx")
+        w = K.epoch_wrap(blocks, F.lit(3).cast("long"), 2, seen, 8).orderBy("fetch_i").collect()
+        assert [r["block_idx"] for r in w] == idx + idx[2:3]
+        assert [r["fetch_i"] for r in w] == list(range(6))
+        assert [r["fetch_i"] for r in w if r["epoch_mark"]] == [i for i in range(1, 6) if w[i]["block_idx"] == 0]
 
 
 def test_split_quirk(spark):
