@@ -91,6 +91,21 @@ def test_page_parts():
     assert lineblock.main_text("<p>x</p>" * 3) == "x\nx\nx"
 
 
+def test_page_marks_and_names_do_not_decide_alone():
+    text = "This is a paragraph of the article with enough words in it to stand out from the rest, number {}."
+    want = "\n".join(text.format(i) for i in range(4))
+    body = "".join(f"<p>{text.format(i)}</p>" for i in range(4))
+    gap = "<nav>x</nav>" * 3
+    teaser = "<article><h3>A related story</h3><p>that is told elsewhere.</p></article>"
+    assert lineblock.main_text(f"<body><div>{body}</div>{gap}{teaser}</body>").startswith(want)
+    assert lineblock.main_text(f"<div>Menu</div>{gap}<article>{body}</article><div>More of this site</div>") == want
+    assert lineblock.main_text(f"<article><p>{text.format(0)}</p>{gap}<p>x</p></article>") == text.format(0)  # a dive inside
+    for wrapper in ("class='has-sidebar no-comments'", "class='comments'", "id=banner"):
+        assert lineblock.main_text(f"<div {wrapper}>{body}</div>") == want
+    assert lineblock.main_text(f"<form>{body}<div class='ad'>Buy now</div></form>") == want
+    assert lineblock.main_text(f"<div class='menu'><div class='related'>{body}</div><p>x</p></div>") == want + "\nx"
+
+
 def test_pages_odd_rows(spark):
     rows = [(1, None, None, "x"), (1, None, None, "x"), (None, "u", "", "x"), (2, "u", "<p>" + "long text " * 50_000, "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
