@@ -1,11 +1,15 @@
 """Brown class-based n-gram scoring.
 
-P(word | words before) = P(class | class before) * P(word | class). Classes
-come from exchange clustering of units: the FREQUENT most frequent words are a
-unit each, the other words are pooled by their last three bytes. What grows
-with the corpus is counted by Spark over all training texts: word counts and
-the bigrams of units. The clustering itself works on the bigram table, whose
-size is fixed by the number of units.
+P(word | words before) = P(class | class before) * P(word | class). Every word
+that occurs LEAST times or more has a class of its own, rarer ones that of
+their last three bytes. Classes come from exchange clustering. It starts from
+the FREQUENT most frequent words and the endings, exchanged one by one on a
+bigram table of fixed size. In each of ROUNDS sweeps, Spark counts the classes
+on both sides of every word in all training texts; each word moves to the
+class that suits its counts best, all at once, and the frequent words and
+endings are exchanged anew. The classes under which the class bigrams are most
+likely are taken. Nothing grows with the corpus but word counts, the (word,
+neighbour class) counts, and a broadcast of 9 bytes per word with a class.
 
 Counts of the words are needed for every token. The HEAD most frequent are a
 broadcast of fixed size; all others, of any number, are joined by hash: each
@@ -25,8 +29,12 @@ from .common import cut, spans_of, text_bytes
 from .textbatch import byte_codes, mix, per_text, word_hashes, words
 
 FREQUENT, ENDINGS, CLASSES = 512, 512, 64
+LEAST = 5
+ROUNDS = 2
 HEAD = 1 << 18
 SWEEPS = 8
+#: neighbours gathered by a task before they are counted
+GATHER = 1 << 21
 PRIOR = 10.0
 
 
@@ -76,18 +84,32 @@ def frequent_words(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Units:
-    """Unit numbers of words: frequent ones, endings, and last the end of a text."""
+    """Unit numbers of words: frequent ones, endings, the end of a text, and the
+    classes of the other ``words`` (sorted hashes)."""
 
-    def __init__(self, frequent: np.ndarray):
+    def __init__(self, frequent: np.ndarray, words: np.ndarray | None = None, classes: np.ndarray | None = None):
         self.frequent = np.sort(frequent)
-        self.n = FREQUENT + ENDINGS + 1
-        self.end = self.n - 1
-
-    def of(self, h: np.ndarray, ending: np.ndarray) -> np.ndarray:
-        if not len(self.frequent):
-            return FREQUENT + ending
-        at = np.minimum(np.searchsorted(self.frequent, h), len(self.frequent) - 1)
-        return np.where(self.frequent[at] == h, at, FREQUENT + ending)
+        self.words = np.zeros(0, np.int64) if words is None else words
+        self.classes = np.zeros(0, np.uint8) if classes is None else classes
+        self.end = FREQUENT + ENDINGS
+        self.n = self.end + 1 + CLASSES
+
+    def place(self, h: np.ndarray) -> np.ndarray:
+        """The place among the words, -1 for none."""
+        if not len(self.words):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        return np.where(self.words[at] == h, at, -1)
+
+    def of(self, h: np.ndarray, ending: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
+        u = self.end - ENDINGS + ending
+        if len(self.words):
+            place = self.place(h) if place is None else place
+            u = np.where(place >= 0, self.end + 1 + self.classes[place].astype(np.int64), u)
+        if len(self.frequent):
+            at = np.minimum(np.searchsorted(self.frequent, h), len(self.frequent) - 1)
+            u = np.where(self.frequent[at] == h, at, u)
+        return u
 
     def sequence(self, u: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All tokens with an end behind each text, and the token's place of each end."""
@@ -100,42 +122,107 @@ class Units:
         return out, ends
 
 
-def unit_bigrams(docs: DataFrame, units: Units, text: str = "text") -> DataFrame:
-    """(cell, n): pairs of neighbouring units as before * units + unit, an end
-    before each text; pre-aggregated per task in a table of fixed size."""
-    shared = docs.sparkSession.sparkContext.broadcast(units)
+def unit_bigrams(docs: DataFrame, units: Units, text: str = "text", classes: np.ndarray | None = None) -> DataFrame:
+    """(word, cell, n): with word -1, pairs of neighbouring units as before *
+    units + unit, an end before each text; pre-aggregated per task in a table of
+    fixed size. With ``classes`` of the units, for each word's place also how
+    often a class stands before it (cell = class) and behind (CLASSES + class)."""
+    shared = docs.sparkSession.sparkContext.broadcast((units, classes))
+
+    def counted(keys):
+        key, n = np.unique(np.concatenate(keys), return_counts=True)
+        for k in range(0, len(key), 100_000):
+            word, cell = np.divmod(key[k:k + 100_000], 2 * CLASSES)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(cell), pa.array(n[k:k + 100_000])], names=["word", "cell", "n"])
 
     def run(batches):
-        u, total = shared.value, None
+        (u, g), total, keys = shared.value, None, []
         for _, _, _, (h, ending, first) in _chunks(batches, 0):
-            seq, _ = u.sequence(u.of(h, ending), first)
-            if len(seq):  # the token before a text's first is the end of the one above
-                n = np.bincount(np.append(u.end, seq[:-1]) * u.n + seq, minlength=u.n * u.n).astype(np.int32)
-                total = n.astype(np.int64) if total is None else total + n
+            place = u.place(h)
+            seq, ends = u.sequence(u.of(h, ending, place), first)
+            if not len(seq):
+                continue
+            # the token before a text's first is the end of the one above
+            n = np.bincount(np.append(u.end, seq[:-1]) * u.n + seq, minlength=u.n * u.n).astype(np.int32)
+            total = n.astype(np.int64) if total is None else total + n
+            if g is not None:
+                inner = np.ones(len(seq), bool)
+                inner[ends] = False
+                at = np.flatnonzero(inner)[place >= 0]
+                c, place = g[seq], place[place >= 0]
+                keys += [place * (2 * CLASSES) + np.append(g[u.end], c[:-1])[at], place * (2 * CLASSES) + CLASSES + c[at + 1]]
+                if sum(map(len, keys)) > GATHER:
+                    yield from counted(keys)
+                    keys = []
+        if keys:
+            yield from counted(keys)
         if total is not None:
             cell = np.flatnonzero(total)
             for k in range(0, len(cell), 100_000):
                 part = cell[k:k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["cell", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), -1)), pa.array(part), pa.array(total[part])], names=["word", "cell", "n"])
+
+    return docs.select(text).mapInArrow(run, "word long, cell long, n long").groupBy("word", "cell").agg(F.sum("n").alias("n"))
+
+
+def _table(cells: DataFrame, units: Units) -> np.ndarray:
+    got = cells.where("word = -1").select("cell", "n").toArrow()
+    out = np.zeros(units.n * units.n)
+    out[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    return out.reshape(units.n, units.n)
 
-    return docs.select(text).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+
+def best_classes(cells: DataFrame, old: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """The class of every word that suits its neighbours' classes best under
+    the class bigrams ``both``, less the word's own share in its old class."""
+    shared = cells.sparkSession.sparkContext.broadcast((old, both))
+
+    def run(batches):
+        g, n = shared.value
+        out, into = n.sum(1), n.sum(0)
+        fit = np.log(n + 0.5) - np.log(out + 0.5)[:, None] - np.log(into + 0.5)
+        for b in batches:
+            for k in range(0, b.num_rows, 1 << 13):
+                part = b.slice(k, 1 << 13)
+                word, many = part.column(0).to_numpy(), np.diff(part.column(1).offsets.to_numpy())
+                near = np.zeros((len(word), 2 * CLASSES))
+                near[np.repeat(np.arange(len(word)), many), part.column(1).flatten().to_numpy()] = part.column(2).flatten().to_numpy()
+                c, r = near[:, :CLASSES], near[:, CLASSES:]
+                was, size = g[word].astype(np.int64), r.sum(1)
+                gain = r @ fit.T + c @ fit
+                less = lambda a, x: np.log(np.maximum(a - x, 0) + 0.5)
+                gain[np.arange(len(word)), was] = (
+                    (r * (less(n[was], r) - np.log(into + 0.5))).sum(1) + (c * (less(n.T[was], c) - np.log(out + 0.5))).sum(1)
+                    - size * (less(out[was], size) + less(into[was], size)))
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(gain.argmax(1).astype(np.int16))], names=["word", "class"])
+
+    near = cells.where("word >= 0").groupBy("word").agg(F.collect_list(F.struct("cell", "n")).alias("near"))
+    got = near.select("word", "near.cell", "near.n").mapInArrow(run, "word long, class short").toArrow()
+    new = old.copy()
+    new[got.column("word").to_numpy()] = got.column("class").to_numpy()
+    return new
 
 
 def _f(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
+def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS, start: np.ndarray | None = None,
+             fixed: int = 0) -> np.ndarray:
     """Exchange clustering: the class of every unit.
 
-    ``bigrams[v, w]`` counts unit w behind v. Starting from units dealt out by
-    frequency, each unit in turn moves to the class that gives the corpus the
-    highest class bigram likelihood, until a sweep moves nothing."""
+    ``bigrams[v, w]`` counts unit w behind v. Starting from ``start``, or from
+    units dealt out by frequency, each unit but the last ``fixed`` in turn moves
+    to the class that gives the corpus the highest class bigram likelihood,
+    until a sweep moves nothing."""
     n = bigrams.astype(float)
     size = n.sum(0)
     order = np.argsort(-size, kind="stable")
     g = np.empty(len(n), np.int64)
     g[order] = np.arange(len(n)) % classes
+    if start is not None:
+        g = start.copy()
+    order = order[order < len(n) - fixed]
     hot = np.eye(classes)[g]
     right, left = n @ hot, (n.T @ hot)  # by the neighbour's class
     both = hot.T @ right
@@ -179,13 +266,44 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
     return g
 
 
+def likelihood(both: np.ndarray) -> float:
+    return float(_f(both).sum() - _f(both.sum(0)).sum() - _f(both.sum(1)).sum())
+
+
+def clusters(docs: DataFrame, frequent: np.ndarray, words: np.ndarray, ending: np.ndarray,
+             text: str = "text") -> tuple[Units, np.ndarray, np.ndarray]:
+    """The units, their classes and bigrams under the likeliest classes found;
+    ``words`` are the sorted hashes of the other words with a class."""
+    seed = Units(frequent)
+    g = exchange(_table(unit_bigrams(docs, seed, text), seed), fixed=CLASSES)
+    g[seed.end + 1:] = np.arange(CLASSES)
+    # every second word is dealt out by its hash, so that words of one ending can part
+    deal = mix(words.view(np.uint64))
+    start = np.where(deal >> np.uint64(63), (deal % np.uint64(CLASSES)).astype(np.int64), g[FREQUENT + ending])
+    units, best = Units(frequent, words, start.astype(np.uint8)), None
+    for k in range(ROUNDS + 1 if len(words) else 1):
+        more = k < ROUNDS and len(words) > 0
+        cells = unit_bigrams(docs, units, text, g if more else None)
+        if more:
+            cells = cut(cells, f"class-cells-{k}")
+        bigrams = _table(cells, units)
+        hot = np.eye(CLASSES)[g]
+        both = hot.T @ bigrams @ hot
+        if best is None or likelihood(both) > best[0]:
+            best = likelihood(both), units, g, bigrams
+        if more:
+            units = Units(frequent, words, best_classes(cells, units.classes, both))
+            g = exchange(bigrams, start=g, fixed=CLASSES)
+    return best[1:]
+
+
 class Model:
     """log10 tables: class transitions, what a class divides by, the head's counts."""
 
     def __init__(self, units: Units, classes: np.ndarray, bigrams: np.ndarray, kinds: np.ndarray, head: np.ndarray,
                  head_n: np.ndarray, texts: int):
         self.units, self.classes, self.texts = units, classes, texts
-        k = int(classes.max()) + 1
+        k = CLASSES
         hot = np.eye(k)[classes]
         n = hot.T @ bigrams @ hot
         prior = (n.sum(0) + 1) / (n.sum() + k)
@@ -216,19 +334,21 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
     n_train, vocabulary = (total or 0) + texts, distinct + (texts > 0)
     head, head_n = frequent_words(counts)
-    units = Units(head[np.lexsort((head, -head_n))][:FREQUENT])
-    cells = unit_bigrams(learn, units, text).toArrow()
-    bigrams = np.zeros(units.n * units.n)
-    bigrams[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
-    bigrams = bigrams.reshape(units.n, units.n)
-    # distinct words per unit: one per frequent word, the others by ending
+    frequent = head[np.lexsort((head, -head_n))][:FREQUENT]
+    often = spark.createDataFrame([(int(h),) for h in frequent], "h long")
+    others = counts.join(F.broadcast(often), "h", "left_anti")
+    own = others.where(F.col("n") >= LEAST).select("h", F.col("ending").cast("short").alias("ending")).toArrow()
+    own_h, own_ending = own.column("h").to_numpy(), own.column("ending").to_numpy()
+    order = np.argsort(own_h)
+    units, classes, bigrams = clusters(learn, frequent, own_h[order], own_ending[order].astype(np.int64), text)
+    # distinct words per unit: one per frequent word, the others by class or ending
     kinds = np.zeros(units.n)
     kinds[:len(units.frequent)] = 1
-    often = spark.createDataFrame([(int(h),) for h in units.frequent], "h long")
-    for ending, n in counts.join(F.broadcast(often), "h", "left_anti").groupBy("ending").count().collect():
+    for ending, n in others.where(F.col("n") < LEAST).groupBy("ending").count().collect():
         kinds[FREQUENT + ending] = n
     kinds[units.end] = texts > 0
-    model = spark.sparkContext.broadcast(Model(units, exchange(bigrams), bigrams, kinds, head, head_n, texts))
+    kinds[units.end + 1:] = np.bincount(units.classes, minlength=CLASSES)
+    model = spark.sparkContext.broadcast(Model(units, classes, bigrams, kinds, head, head_n, texts))
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):

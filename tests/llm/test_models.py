@@ -152,6 +152,19 @@ def test_exchange_finds_the_classes():
     assert len({(a, b) for a, b in zip(kind.tolist(), g.tolist(), strict=True)}) == 3
 
 
+def test_classes_beyond_the_most_frequent_words(spark, monkeypatch):
+    """Words of one ending that are not among the most frequent, one half always
+    behind the other half: the order tells."""
+    monkeypatch.setattr(classlm, "FREQUENT", 8)
+    rng = np.random.default_rng(3)
+    pick = lambda: " ".join(f"a{i}xyz b{j}xyz" for i, j in rng.integers(0, 300, (20, 2)))
+    rows = [(i, pick()) for i in range(600)]
+    rows += [(1000, "a1xyz b2xyz a3xyz b4xyz"), (1001, "b2xyz a1xyz b4xyz a3xyz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in classlm.score(docs, F.col("doc_id") < 1000).collect()}
+    assert abs(got[1000].base_score - got[1001].base_score) < 1e-9 and got[1000].score > got[1001].score + 0.5
+
+
 def test_model_is_a_distribution(spark):
     """Over all words of the training texts, one unseen word per class and the end."""
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c a b", "b c d", "x"])], "doc_id long, text string")
