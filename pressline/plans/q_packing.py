@@ -377,11 +377,9 @@ FROM seg q JOIN seg k ON q.block_idx = k.block_idx AND q.segment = k.segment AND
 GROUP BY q.block_idx"""))
 def visible_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Per annealing validation block, the (q, k) pairs a query may attend
-    to (same document, not in the future) -- an equi-join on (block, segment)."""
+    to (same document, not in the future), counted from the segment lengths."""
     b = _blocks(spark, sf).filter((F.col("stage") == "annealing_stage") & (F.col("split") == "val"))
-    rows = K.block_token_rows(b, "x", key=["block_idx"])
-    pairs = K.visible_pairs(rows, key=["block_idx"])
-    return pairs.groupBy("block_idx").agg(F.count(F.lit(1)).alias("visible"))
+    return K.mask_cost(b, "x", key=["block_idx"]).select("block_idx", F.col("visible_pairs").alias("visible"))
 
 
 @register("mask_cost", sql=with_ctes(SQL_TOKENS, """

@@ -17,6 +17,12 @@ def test_visible_pairs_is_an_equi_join(spark):
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
+def test_visible_pairs_emits_no_pairs(spark):
+    load_all()
+    p = _plan(QUERIES["visible_pairs"](spark, SF001))
+    assert "posexplode(x" not in p and "k#" not in p and "q#" not in p
+
+
 def test_offsets_window_is_partitioned_by_bucket(spark):
     from pressline.operators.ordered import prefix_sums
 
