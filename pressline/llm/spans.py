@@ -1,8 +1,9 @@
 """Substring dedup over sliding sentence spans.
 
 A text is cut into sentences; every run of consecutive sentences that is just
-long enough (RUN sentences or more, MIN_WORDS words or more, counted on from
-its first sentence) is hashed. Equal hashes are joined over the whole corpus;
+long enough (RUN sentences or more and MIN_WORDS words or more, or fewer
+sentences, two at least, of ENOUGH words or more, counted on from its first
+sentence) is hashed. Equal hashes are joined over the whole corpus;
 the run with the least (doc_id, sentence) stays, and the sentences under every
 other one are removed. The first of each hash is a pre-aggregated minimum and
 the join back may be split where a passage is in very many documents, so a
@@ -20,6 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RUN, MIN_WORDS = 3, 12
+#: two sentences of so many words are a run too
+ENOUGH = 16
+#: one word in so many ends a piece of a long sentence
+CUT = 4
 #: a sentence of more words is cut at commas, then at words chosen by their own hash
 LONG_SENTENCE = 24
 
@@ -52,7 +57,7 @@ def sentences(raw: bytes) -> list[bytes]:
             part = b""
             for w in _WORD.findall(c):
                 part += w
-                if xxhash.xxh32_intdigest(w.strip()) % 8 == 0:
+                if xxhash.xxh32_intdigest(w.strip().lower()) % CUT == 0:
                     out.append(part)
                     part = b""
             if part or not c.strip():
@@ -65,17 +70,21 @@ def sentences(raw: bytes) -> list[bytes]:
 def runs(raw: bytes) -> tuple[list[bytes], list[tuple[int, int, int]]]:
     """The sentences, and (first, behind last, hash) of every run. A run starts
     at every sentence with a word and takes the fewest sentences that reach
-    RUN and MIN_WORDS; from the end of a text or passage the same is done
-    backwards, so that its last sentences belong to a run too."""
+    RUN and MIN_WORDS, or two if they reach ENOUGH; from the end of a text or
+    passage the same is done backwards, so that its last sentences belong to a
+    run too."""
     parts = sentences(raw)
     norm = [b" ".join(p.lower().split()) for p in parts]
     real = [i for i, p in enumerate(norm) if p]
     size = np.cumsum([0, *(norm[i].count(b" ") + 1 for i in real)])
     m, found = len(real), set()
-    if m >= RUN:
+    if m >= 2:
         at = np.arange(m)
         end = np.maximum(np.searchsorted(size, size[:-1] + MIN_WORDS, "left"), at + RUN)
         begin = np.minimum(np.searchsorted(size, size[1:] - MIN_WORDS, "right") - 1, at + 1 - RUN)
+        two = np.flatnonzero(size[2:] - size[:-2] >= ENOUGH)
+        end[two] = two + 2
+        begin[two + 1] = two
         found = set(zip(at.tolist(), end.tolist(), strict=True)) | set(zip(begin.tolist(), (at + 1).tolist(), strict=True))
     words = [norm[i] for i in real]
     return parts, [(real[a], real[b - 1] + 1, xxhash.xxh3_64_intdigest(b" ".join(words[a:b])) - (1 << 63))

@@ -153,6 +153,23 @@ def test_shared_passage_goes_once(spark):
     assert "Passage" not in got[1] + got[2] and got[1].count("alone") == 60
 
 
+def test_short_shared_passages_go(spark):
+    """66 words from the tail of a sentence to the head of another, and 60 words
+    without punctuation in another case, between words of their own."""
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    passage = f"{words('tail', 9)}. {words('one', 24)}. {words('two', 24)}. {words('head', 9)}"
+    rows = [(d, f"{words(f'own{d}x', 9)} {passage} {words(f'own{d}y', 9)}.") for d in range(2)]
+    got = {r.doc_id: r.text for r in spans.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == rows[0][1] and "one5 " not in got[1] and "two5 " not in got[1] and "own1x3 " in got[1] and "own1y3 " in got[1]
+    hit = 0
+    for k in range(200):
+        plain = words(f"w{k}n", 51)
+        a, b = ({h for _, _, h in spans.runs(f"{words(f'{s}{k}u', 40)} {t} {words(f'{s}{k}v', 40)}".encode())[1]}
+                for s, t in (("left", plain), ("right", plain.upper())))
+        hit += bool(a & b)
+    assert hit >= 196
+
+
 def test_mix_equals_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF001}/documents.parquet')")
