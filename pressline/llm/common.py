@@ -35,6 +35,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free(names: list[str], *wanted: str) -> list[str]:
+    """The ``wanted`` names, each with as many underscores behind it as keep it
+    apart from ``names``, upper or lower case."""
+    taken, out = {n.lower() for n in names}, []
+    for w in wanted:
+        while w.lower() in taken:
+            w += "_"
+        taken.add(w.lower())
+        out.append(w)
+    return out
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` under the shared checkpoint folder and read it back, so
     that lost executors never recompute what stands above."""

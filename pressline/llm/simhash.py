@@ -21,7 +21,7 @@ from functools import partial
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, map_text
@@ -129,12 +129,12 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     best = found.groupBy("root").agg(F.min(order).alias("best"))
     if found.groupBy(key).count().where("count > 1").limit(1).count():
         # keys that repeat: rows are told apart by their fingerprint, then by the text
-        cols = docs.columns
-        marks = map_text(docs, lambda buf, off: {"_fp": fingerprints(buf, off)["fp"]}, "_fp long", tuple(cols), text)
-        chosen = marks.join(best.select(F.col("best.k").alias("_k"), F.col("best.fp").alias("_fp")).distinct(), "_fp")
-        chosen = chosen.where(F.col(key).eqNullSafe(F.col("_k")))
-        rank = Window.partitionBy(key, "_fp").orderBy(text, *[c for c in cols if c not in (key, text)])
-        return chosen.withColumn("_n", F.row_number().over(rank)).where("_n = 1").select(*cols)
+        rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
+        marks = map_text(rows, fingerprints, "fp long", ("row", "key"))
+        chosen = marks.join(best.select(F.col("best.k").alias("k"), F.col("best.fp").alias("fp")).distinct(), "fp")
+        chosen = chosen.where(F.col("key").eqNullSafe(F.col("k")))
+        least = F.struct(F.col("row").getField(text), F.to_json("row"))
+        return chosen.groupBy("key", "fp").agg(F.min_by("row", least).alias("row")).select("row.*")
     gone = found.join(best, "root").where(~(F.col(key).eqNullSafe(F.col("best.k")) & (F.col("fp") == F.col("best.fp"))))
-    gone = gone.select(F.col(key).alias("_gone"))
-    return docs.join(gone, docs[key].eqNullSafe(F.col("_gone")), "left_anti")
+    gone = gone.select(F.col(key).alias("gone"))
+    return docs.join(gone, docs[key].eqNullSafe(gone["gone"]), "left_anti")

@@ -20,6 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free
+
 RUN, MIN_WORDS = 3, 12
 #: two sentences of so many words are a run too
 ENOUGH = 16
@@ -96,30 +98,34 @@ def _texts(col: pa.Array) -> list[bytes]:
 
 
 def span_hashes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(h, key, pos): every run of every text, by its first sentence."""
+    """(h, key, same, pos): every run of every text, by its first sentence;
+    ``same`` is a hash of the text, for rows that share a key."""
     def run(batches):
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                got = [runs(t)[1] for t in _texts(part.column(1))]
+                got = [runs(t)[1] for t in _texts(part.column(2))]
                 n = np.fromiter(map(len, got), np.int64, len(got))
                 flat = np.array([(h, a << 32 | e) for g in got for a, e, h in g], np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(flat[:, 0]), part.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))),
-                     pa.array(flat[:, 1])], names=["h", key, "pos"])
+                    [pa.array(flat[:, 0]), *(part.column(k).take(pa.array(np.repeat(np.arange(len(n)), n))) for k in (0, 1)),
+                     pa.array(flat[:, 1])], names=["h", "key", "same", "pos"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"h long, `{key}` {kind}, pos long")
+    return docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("same"), text).mapInArrow(
+        run, f"h long, key {kind}, same long, pos long")
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, spans): per document the runs (hash, pos = first << 32 | behind
-    last) that stand earlier, at a lesser (key, pos), somewhere in ``docs``."""
+    """(key, same, spans): per document the runs (hash, pos = first << 32 |
+    behind last) that stand earlier, at a lesser (key, same, pos), somewhere in
+    ``docs``."""
     spans = span_hashes(docs, key, text)
-    first = (spans.groupBy("h").agg(F.min(F.struct(F.col(key).alias("k"), F.col("pos").alias("p"))).alias("first"),
-                                    F.count("*").alias("n")).where("n > 1").select("h", "first"))
-    again = spans.join(first, "h").where(~(F.col(key).eqNullSafe(F.col("first.k")) & (F.col("pos") == F.col("first.p"))))
-    return again.groupBy(key).agg(F.collect_set(F.struct("h", "pos")).alias("spans"))
+    place = F.struct(F.col("key").alias("k"), F.col("same").alias("s"), F.col("pos").alias("p"))
+    first = spans.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
+    again = spans.join(first, "h").where(~(F.col("key").eqNullSafe(F.col("first.k")) & (F.col("same") == F.col("first.s"))
+                                           & (F.col("pos") == F.col("first.p"))))
+    return again.groupBy("key", "same").agg(F.collect_set(F.struct("h", "pos")).alias("spans"))
 
 
 def _cut(raw: bytes, spans) -> tuple[bytes, int, int]:
@@ -143,13 +149,16 @@ def dedup_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     has one of these names is replaced.
 
     Every row stays, one whose whole text repeats with an empty text. Null
-    stays null. Rows that share a key are told apart by their text; exact
-    repeats of a row, whose runs have one key and place, are left alike. A
-    null key sorts before all others."""
+    stays null. Rows that share a key are told apart by their text and compared
+    like any others; exact repeats of a row, whose runs have one key, text and
+    place, are left alike. A null key sorts before all others."""
     docs = docs.drop("removed_sentences", "removed_chars")
     cols = docs.columns
-    marks = repeated_spans(docs, key, text).withColumnRenamed(key, "_key").withColumnRenamed("spans", "_spans")
-    joined = docs.join(marks, docs[key].eqNullSafe(F.col("_key")), "left").select(*cols, "_spans")
+    marks = repeated_spans(docs, key, text)
+    of_text, found = free(cols, "_same", "_spans")
+    docs = docs.withColumn(of_text, F.xxhash64(text))
+    joined = docs.join(marks, docs[key].eqNullSafe(marks["key"]) & (docs[of_text] == marks["same"]), "left").select(
+        *[docs[c] for c in cols], marks["spans"].alias(found))
     at = cols.index(text)
 
     def run(batches):
@@ -164,7 +173,7 @@ def dedup_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                     + [pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64())],
                     names=[*cols, "removed_sentences", "removed_chars"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != of_text)
     return joined.mapInArrow(run, f"{schema}, removed_sentences long, removed_chars long")
 
 

@@ -14,6 +14,8 @@ with a third of all rows is spread over as many tasks as its buckets.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,26 +77,29 @@ def _cut_time(run: DataFrame, max_repeats: int) -> float:
 
     All that ends by time 1 fits, as the targets add up to the budget. Behind
     that, totals per slice of time say in which slice the budget ends; that
-    slice is cut up again until one point in time is left. At most TIME_SLICES
-    rows a round come to the driver, and no round sorts the table."""
+    slice, from its first to its last time, is cut up again until one point in
+    time is left. First and last never share a slice of the next round, so
+    every round ends nearer. At most TIME_SLICES rows a round come to the
+    driver, and no round sorts the table."""
     copies = [F.struct(_finish(c).alias("t"), F.lit(c).alias("copy")) for c in range(max_repeats)]
     timed = run.select("size", F.explode(F.array(*copies)).alias("c")).select("size", "c.t", "c.copy").where("size > 0")
     row = timed.agg(F.sum(F.when(F.col("copy") == 0, F.col("size"))), F.sum(F.when(F.col("t") <= 1, F.col("size"))),
                     F.max("t")).first()
-    rest, lo, hi = (row[0] or 0) - (row[1] or 0), 1.0, row[2] or 1.0
+    rest, lo, hi, fits = (row[0] or 0) - (row[1] or 0), 1.0, row[2] or 1.0, None
     while hi > lo:
         inside = timed.where((F.col("t") > lo) & (F.col("t") <= hi))
         at = F.ceil((F.col("t") - lo) / (hi - lo) * TIME_SLICES)
         slices = inside.groupBy(at.alias("at")).agg(F.sum("size"), F.min("t"), F.max("t")).collect()
+        fits = lo if fits is None else fits
         for _, size, first, last in sorted(slices):
             if size > rest:
                 break
-            rest, lo = rest - size, last
+            rest, fits = rest - size, last
         else:
-            return lo
+            return fits
         if first == last:
-            return lo
-        hi = last
+            return fits
+        lo, hi = math.nextafter(first, -math.inf), last
     return lo
 
 
@@ -137,12 +142,12 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     """The mix itself: the rows of ``docs``, each as often as ``plan`` takes it,
     range-sorted by virtual finish time over the whole table; columns as they
     were."""
-    cols = docs.columns
     p = plan(docs, key, text, source, max_repeats)
     p = p.select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col("tie").alias("_tie"), "source_size",
                  "target", "cum", "repeats")
     same = ["_key", "_source", "_tie"]
-    d = docs.withColumns({"_d_key": F.col(key), "_d_source": F.col(source), "_d_tie": F.xxhash64(text)})
+    # the row travels as one column, so that none of its names can meet one of these
+    d = docs.select(F.struct("*").alias("row"), F.col(key).alias("_d_key"), F.col(source).alias("_d_source"), F.xxhash64(text).alias("_d_tie"))
     on = [F.col(f"_d{k}").eqNullSafe(F.col(k)) for k in same]
     if p.groupBy(*same).count().where("count > 1").limit(1).count():  # exact repeats of a row: one to one
         d = d.withColumn("_d_n", F.row_number().over(Window.partitionBy(*[f"_d{k}" for k in same]).orderBy(F.lit(1))))
@@ -152,4 +157,4 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     copies = F.transform(F.sequence(F.lit(0), F.col("repeats") - 1),
                          lambda c: (F.col("source_size") * c + F.col("cum")) / F.col("target"))
     mixed = d.join(p, on).withColumn("_time", F.explode(copies))
-    return mixed.repartitionByRange("_time").sortWithinPartitions("_time", "_key").select(*cols)
+    return mixed.repartitionByRange("_time").sortWithinPartitions("_time", "_key").select("row.*")

@@ -2,10 +2,12 @@
 
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import duckdb
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from pressline.llm import queries, repetition, simhash, spans, wfq_mix
 
@@ -127,15 +129,16 @@ def test_spans_equal_brute_force(spark, odd, none):
     for docs in (_docs(spark), odd):
         rows = docs.select("doc_id", "text").collect()
         first = {}
-        order = lambda k: (k is not None, k or 0)
+        # a null key first; rows of one key by the hash of their text
+        order = lambda r: (r.doc_id is not None, r.doc_id or 0, np.uint64(xxhash.xxh64_intdigest(r.text or "", seed=42)).view(np.int64))
         for r in rows:
             for a, e, h in spans.runs((r.text or "").encode())[1]:
-                at = (order(r.doc_id), a << 32 | e)
+                at = (order(r), a << 32 | e)
                 first[h] = min(first.get(h, at), at)
         want = Counter()
         for r in rows:
             parts, have = spans.runs((r.text or "").encode())
-            gone = {i for a, e, h in have if first[h] != (order(r.doc_id), a << 32 | e) for i in range(a, e)}
+            gone = {i for a, e, h in have if first[h] != (order(r), a << 32 | e) for i in range(a, e)}
             left = b"".join(p for i, p in enumerate(parts) if i not in gone).decode()
             want[(r.doc_id, None if r.text is None else left, len(gone))] += 1
         got = spans.dedup_spans(docs)
@@ -195,3 +198,66 @@ def test_mix_odd_rows_and_repeats(spark, odd, none):
         want[r.doc_id] += r.repeats
     assert Counter(r.doc_id for r in mixed.collect()) == +want
     assert wfq_mix.plan(none).count() == 0 and wfq_mix.mix(none).count() == 0
+
+
+def test_mix_ends_with_equal_sizes(spark, tmp_path):
+    """Many documents that finish at one time, or one rounding apart."""
+    rnd = np.random.default_rng(4)
+    tables = [[2, 8, 4, 5]] + [rnd.integers(1, 12, rnd.integers(2, 7)).tolist() for _ in range(5)]
+    for k, counts in enumerate(tables):
+        rows, i = [], 0
+        for s, n in enumerate(counts):
+            for _ in range(n):
+                rows.append((i, f"s{s}" if s else None, "w " * 10))
+                i += 1
+        docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+        docs.toPandas().to_parquet(path := f"{tmp_path}/{k}.parquet")
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT doc_id, source, text FROM read_parquet('{path}')")
+        plan = wfq_mix.plan(docs).collect()
+        got = Counter((r.doc_id, r["size"], r.source_size, r.target, r.taken) for r in plan)
+        assert got == Counter(con.execute(queries.ORACLE["op5_wfq_mix"]).fetchall()), counts
+        # against exact fractions: what is in ends before what is out, but for rounding
+        size, weight = {f"s{s}" if s else None: 10 * n for s, n in enumerate(counts)}, {}
+        for j, s in enumerate(sorted(size, key=lambda x: (x is None, x or ""))):
+            weight[s] = j % 3 + 1
+        full, total = set(), sum(size.values())
+        while True:
+            level = Fraction(total - sum(3 * size[s] for s in full), sum(weight[s] for s in size if s not in full) or 1)
+            more = {s for s in size if s not in full and weight[s] * level > 3 * size[s]}
+            if not more:
+                break
+            full |= more
+        target = {s: Fraction(3 * size[s]) if s in full else weight[s] * level for s in size}
+        ends = [((r.source_size * c + r.cum) / target[r.source], c < r.repeats) for r in plan for c in range(3)]
+        last_in, first_out = max(t for t, x in ends if x), min((t for t, x in ends if not x), default=Fraction(9))
+        assert last_in <= first_out * (1 + Fraction(1, 10**12))
+        assert total - sum(10 * r.repeats for r in plan) < 10 * max(1, sum(t <= first_out * (1 + Fraction(1, 10**12)) for t, x in ends if not x))
+
+
+CLASHES = ["target", "repeats", "source_size", "cum", "_key", "_tie", "_time", "_spans", "_gone", "_fp", "_d_key", "_d_n", "_n", "_same",
+           "row", "key", "same", "gone", "fp", "best", "root", "h", "pos", "size", "tie", "bucket", "copy", "n", "k"]
+
+
+def test_foreign_columns_keep_their_values(spark, odd):
+    import corpus_pipeline
+
+    once = odd.drop("fp").dropDuplicates(["doc_id"])
+    for docs in (once, odd.drop("fp")):
+        wide = docs.select("*", *[F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in CLASHES])
+        stages = [f for _, f in corpus_pipeline.STAGES[:-1]]
+        for f in [wfq_mix.mix, spans.dedup_spans, simhash.keep_one, *[lambda d, f=f: f(spark, d, SF001) for f in stages]]:
+            out, plain = f(wide), f(docs)
+            assert out.columns[:len(wide.columns)] == wide.columns
+            rows = out.collect()
+            assert all(r[c] == f"{c}:{'none' if r.doc_id is None else r.doc_id}" for r in rows for c in CLASHES)
+            same = ["doc_id", "text"]
+            assert Counter(tuple(r[c] for c in same) for r in rows) == Counter(tuple(r) for r in plain.select(*same).collect())
+
+
+def test_spans_under_one_key(spark):
+    """Different rows with one doc_id that open alike: one keeps the passage."""
+    opening = "One shared opening sentence here. Another shared sentence follows it. A third one ends the passage."
+    rows = [(1, f"{opening} First tail."), (1, f"{opening} Second tail."), (1, f"{opening} Second tail.")]
+    got = [r.text for r in spans.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sum("third one" in t for t in got) in (1, 2) and len({t for t in got if "third one" in t}) == 1
