@@ -1,14 +1,7 @@
-"""Byte-level BPE: word histogram, training rounds, encoding, decoding.
+"""Byte-level BPE: word histogram, model, encoding, decoding, store.
 
-Training runs on the distinct-word histogram, which is what makes it scale:
-after one shuffle of the corpus the data size is the number of distinct words.
-Each round is one Spark job: Arrow batches of words are merged and their pairs
-counted in numpy, the counts summed by pair, and the top of the ranking taken.
-Several merges are accepted per round when that is provably the same as
-accepting them one at a time (see ``_accept``).
-
-The only state on the driver is the model itself (at most ``vocab_size``
-entries) and the top-k candidate list of a round.
+The merges are learned in ``bpe_train``. The only state on the driver is the
+model itself, at most ``vocab_size`` entries.
 """
 
 from __future__ import annotations
@@ -16,23 +9,17 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass, field
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pressline.functions.bytes_ import byte_ids, byte_to_char, byte_to_id
+from pressline.functions.bytes_ import byte_to_char, byte_to_id
 from pressline.functions.fixed import N_SPECIAL, SPECIAL_TOKENS
 from pressline.functions.text import pretokenize_with_specials, special_map
 from pressline.session import materialize_table
 
-PAIR_SHIFT = 1 << 32
-TOP_K = 256
-WRITE_EVERY = 16          # rounds between two written word tables
-
 
 # ------------------------------------------------------------------ histogram
 
@@ -78,145 +65,6 @@ class BpeModel:
         return spark.createDataFrame(rows, "rank int, left_id int, right_id int, new_id int, left string, right string")
 
 
-def _symbols(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """All symbols of a batch of words laid end to end, and each one's word."""
-    col = b.column("sym")
-    n = col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    return col.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(n)), n)
-
-
-def merge_symbols(sym: np.ndarray, word: np.ndarray, batch: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """One round's merges in all words at once. Matches overlap only in a run
-    of one pair of equal symbols; there every other one is taken, from the left."""
-    keys = np.array([a * PAIR_SHIFT + b for a, b, _ in batch], np.int64)
-    order = np.argsort(keys)
-    keys, new = keys[order], np.array([n for _, _, n in batch], np.int64)[order]
-    pair = sym[:-1] * PAIR_SHIFT + sym[1:]
-    k = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
-    at = np.flatnonzero((keys[k] == pair) & (word[:-1] == word[1:]))
-    if len(batch) == 1 and batch[0][0] == batch[0][1] and len(at):
-        first = np.flatnonzero(np.append(True, np.diff(at) != 1))
-        run = np.repeat(first, np.diff(np.append(first, len(at))))
-        at = at[(np.arange(len(at)) - run) % 2 == 0]
-    sym = sym.copy()
-    sym[at] = new[k[at]]
-    stay = np.ones(len(sym), bool)
-    stay[at + 1] = False
-    return sym[stay], word[stay]
-
-
-def _merged(b: pa.RecordBatch, rounds: list) -> tuple[np.ndarray, np.ndarray]:
-    sym, word = _symbols(b)
-    for batch in rounds:
-        if len(sym) > 1:
-            sym, word = merge_symbols(sym, word, batch)
-    return sym, word
-
-
-def merge_words(words: DataFrame, rounds: list) -> DataFrame:
-    """The word table after some rounds of merges, without the finished words."""
-    def run(batches):
-        for b in batches:
-            sym, word = _merged(b, rounds)
-            n = np.bincount(word, minlength=b.num_rows)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(sym.astype(np.int32)))
-            open_ = pa.array(n > 1)
-            yield pa.RecordBatch.from_arrays([b.column("freq").filter(open_), lists.filter(open_)], names=["freq", "sym"])
-
-    return words.mapInArrow(run, "freq long, sym array<int>")
-
-
-def pair_counts(words: DataFrame, rounds: list) -> DataFrame:
-    """(l, r, cnt): adjacent pairs of the words after ``rounds``, counted per
-    batch, so that the shuffle carries one row per pair and task."""
-    def run(batches):
-        for b in batches:
-            sym, word = _merged(b, rounds)
-            pair = (sym[:-1] * PAIR_SHIFT + sym[1:])[word[:-1] == word[1:]]
-            weight = b.column("freq").to_numpy()[word[:-1][word[:-1] == word[1:]]]
-            if len(pair):
-                order = np.argsort(pair, kind="stable")
-                first = np.flatnonzero(np.append(True, np.diff(pair[order]) != 0))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(pair[order][first]), pa.array(np.add.reduceat(weight[order], first))], names=["key", "cnt"])
-
-    tot = words.mapInArrow(run, "key long, cnt long").groupBy("key").agg(F.sum("cnt").alias("cnt"))
-    return tot.select(F.shiftright("key", 32).cast("int").alias("l"), (F.col("key") % F.lit(PAIR_SHIFT)).cast("int").alias("r"), "cnt")
-
-
-def _accept(top: list, model: BpeModel, budget: int) -> list[tuple[int, int, int]]:
-    """Merges of one round: the longest prefix of the ranking in which no
-    pair's left symbol is another's right one, so that no two matches overlap.
-    A pair created by these merges, (x, ab), (ab, y) or (ab, cd), has a count
-    no larger than (x, a), (b, y) or (b, c), none of which can be in the
-    prefix, and on equal counts its new (largest) id loses the tie: nothing
-    created in the round could have been chosen before the accepted pairs. The
-    batch also ends at a pair of equal symbols (overlapping occurrences) and
-    before a pair whose string already exists (its id is reused, not new)."""
-    known = {t: i for i, t in enumerate(model.tokens)}
-    lefts: set[int] = set()
-    rights: set[int] = set()
-    out: list[tuple[int, int, int]] = []
-    next_id = len(model.tokens)
-    for row in top:
-        left, right = int(row["l"]), int(row["r"])
-        if budget <= 0:
-            break
-        if left in rights or right in lefts:
-            break
-        s = model.tokens[left] + model.tokens[right]
-        if left == right or s in known:
-            if out:
-                break
-            if s in known:
-                out.append((left, right, known[s]))
-            else:
-                out.append((left, right, next_id))
-            break
-        out.append((left, right, next_id))
-        known[s] = next_id
-        next_id += 1
-        budget -= 1
-        lefts.add(left)
-        rights.add(right)
-    return out
-
-
-def _parallelism(df: DataFrame) -> int:
-    """Tasks per round: the cluster's default parallelism (the word table is
-    small after the histogram; spread it over every core)."""
-    return max(1, df.sparkSession.sparkContext.defaultParallelism)
-
-
-def train_bpe(hist: DataFrame, vocab_size: int) -> BpeModel:
-    """Learn merges until the vocabulary has ``vocab_size`` entries (specials,
-    256-symbol alphabet, then merges in learning order) or no pair is left.
-
-    A round is one job: it reads the word table, applies the rounds since that
-    table was written and counts the pairs. Every ``WRITE_EVERY`` rounds the
-    merged words are written as the next table in the shared checkpoint folder,
-    so lineage and the work repeated per round stay bounded and a lost executor
-    costs a re-read."""
-    model = BpeModel.base()
-    words = hist.select(F.col("freq").cast("long").alias("freq"), byte_ids(F.col("word")).alias("sym"))
-    words = materialize_table(words.filter(F.size("sym") > 1).repartition(_parallelism(words)), "bpe-words")
-    pending: list = []
-    while len(model.tokens) < vocab_size:
-        top = pair_counts(words, pending).orderBy(F.col("cnt").desc(), F.col("l").asc(), F.col("r").asc()).limit(TOP_K).collect()
-        batch = _accept(top, model, vocab_size - len(model.tokens))
-        if not batch:
-            break
-        for left, right, new in batch:
-            if new == len(model.tokens):
-                model.tokens.append(model.tokens[left] + model.tokens[right])
-            model.merges.append((left, right, new))
-        pending.append(batch)
-        model.rounds += 1
-        if len(pending) == WRITE_EVERY:
-            words, pending = materialize_table(merge_words(words, pending), "bpe-words"), []
-    return model
-
-
 # ------------------------------------------------------------------ encode / decode
 
 

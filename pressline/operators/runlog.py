@@ -1,7 +1,7 @@
 """Run-log metrics: smoothing, EMA, intervals, ETA, markers, ticks, overlays.
 
 All windows over a run are bounded: running values use the two-level scans of
-``pressline.operators.ordered``; frames of bounded width use halo buckets.
+``pressline.operators.ordered``; frames are differences of running totals.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from pressline.functions.fixed import SMOOTH_DIVISOR, SMOOTH_MAX_WINDOW, SMOOTH_MIN_WINDOW
 from pressline.operators.ordered import ema as _ema
-from pressline.operators.ordered import lag_by_step, with_halo
+from pressline.operators.ordered import join_null_safe, lag_by_step, prefix_sums
+from pressline.session import materialize_table
 
 
 def _micros(ts: Column) -> Column:
@@ -31,38 +32,38 @@ def moving_average(log: DataFrame, by: Sequence[str] = ("run",), step: str = "st
     """M4: full-window moving average of window ``w`` per run, placed at offset
     ``(w - 1) // 2``; runs with ``n < 2`` or ``n < w`` give nothing.
 
-    ``step`` is dense 1..n. The window size depends on the run length; the
-    distinct sizes (at most 99 values by construction) pick the frames.
+    ``step`` is dense 1..n; the window size follows the run's length. A frame's
+    sum is the difference of two running totals, looked up at the frame's ends
+    by equi-joins on (run, step): one plan for all window sizes, and no task
+    holds a run. NaN and infinities are counted beside the totals, so that they
+    reach the frames they stand in and no others; a frame with a null gives
+    nothing.
     """
     by = list(by)
     n = log.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    n = n.withColumn("_w", smoothing_window(F.col("_n")))
-    t = log.join(n, on=by).filter((F.col("_n") > 1) & (F.col("_n") >= F.col("_w")))
-    sizes = sorted(r[0] for r in n.filter((F.col("_n") > 1) & (F.col("_n") >= F.col("_w")))
-                   .select("_w").distinct().collect())
-    if not sizes:
-        return t.withColumn(out, F.lit(None).cast("double")).limit(0)
-    before = max((w - 1) // 2 for w in sizes)
-    after = max(w - 1 - (w - 1) // 2 for w in sizes)
-    h = with_halo(t, step, before, after)
-    base = Window.partitionBy(*by, "_bucket").orderBy(step)
-    val = None
-    cnt = None
-    for w in sizes:
-        off = (w - 1) // 2
-        frame = base.rowsBetween(-off, w - 1 - off)
-        a = F.when(F.col("_w") == w, F.avg(value).over(frame))
-        c = F.when(F.col("_w") == w, F.count(value).over(frame))
-        val = a if val is None else F.coalesce(val, a)
-        cnt = c if cnt is None else F.coalesce(cnt, c)
-    h = h.withColumn(out, val).withColumn("_cnt", cnt)
-    h = h.filter(~F.col("_halo") & (F.col("_cnt") == F.col("_w")))
-    return h.drop("_bucket", "_halo", "_cnt", "_n")
+    n = n.withColumn("_w", smoothing_window(F.col("_n"))).filter((F.col("_n") > 1) & (F.col("_n") >= F.col("_w")))
+    v, inf = F.col(value).cast("double"), F.lit(float("inf"))
+    odd = {"_nan": F.isnan(v), "_pos": v == inf, "_neg": v == -inf}
+    plain = F.when(~(odd["_nan"] | odd["_pos"] | odd["_neg"]), v).otherwise(0.0)
+    totals = {"_s": plain, "_k": v.isNotNull().cast("long"), **{k: F.coalesce(c.cast("long"), F.lit(0)) for k, c in odd.items()}}
+    t = materialize_table(prefix_sums(join_null_safe(log, n, by), step, totals, by=by, inclusive=True), "run-totals")
+    names = list(totals)
+    before = F.floor((F.col("_w") - 1) / 2)
+    after = F.col("_w") - 1 - before
+    t0 = (t.drop(*names).withColumn("_hi", F.col(step) + after).withColumn("_lo", F.col(step) - before - 1)
+          .filter((F.col("_lo") >= 0) & (F.col("_hi") <= F.col("_n"))))
+    at = lambda end: t.select(*by, F.col(step).alias(end), *[F.col(x).alias(end + x) for x in names])
+    h = join_null_safe(join_null_safe(t0, at("_hi"), [*by, "_hi"]), at("_lo"), [*by, "_lo"], "left")
+    got = {x: F.col("_hi" + x) - F.coalesce(F.col("_lo" + x), F.lit(0)) for x in names}
+    h = h.filter(got["_k"] == F.col("_w"))
+    mean = (F.when((got["_nan"] > 0) | ((got["_pos"] > 0) & (got["_neg"] > 0)), F.lit(float("nan")))
+            .when(got["_pos"] > 0, inf).when(got["_neg"] > 0, -inf).otherwise(got["_s"] / F.col("_w")))
+    return h.withColumn(out, mean).drop("_hi", "_lo", "_n", *["_hi" + x for x in names], *["_lo" + x for x in names])
 
 
 def ema(log: DataFrame, by: Sequence[str] = ("run",), step: str = "step", value: str = "loss",
         out: str = "ema", alpha: float = 0.1) -> DataFrame:
-    """M6: ``e1 = v1``, ``e = a v + (1 - a) e`` per run (chunked scan)."""
+    """M6: ``e1 = v1``, ``e = a v + (1 - a) e`` per run (a scan of affine maps)."""
     return _ema(log, list(by), step, value, out, alpha)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pressline.functions import text as TX
 from pressline.functions.bytes_ import byte_id_sql, byte_ids, ids_to_text, utf8_bytes
 from pressline.functions.bytes_ import byte_to_char, byte_to_id
-from pressline.operators import bpe
+from pressline.operators import bpe, bpe_train
 from pressline.operators.packing import byte_doc_len
 from pressline.plans.fixtures import SQL_RUN_LOG, run_log
 from pressline.plans.registry import register, with_ctes
@@ -24,7 +24,7 @@ WHOLE_CORPUS = 0         # the store key of a tokenizer trained on every documen
 
 @lru_cache(maxsize=4)
 def _model(spark: SparkSession, sf: str, vocab: int) -> bpe.BpeModel:
-    return bpe.train_bpe(bpe.word_histogram(table(spark, sf, "documents").select("doc_id", "text")), vocab)
+    return bpe_train.train_bpe(bpe.word_histogram(table(spark, sf, "documents").select("doc_id", "text")), vocab)
 
 
 SQL_BYTES = """

@@ -75,32 +75,44 @@ def test_blocks_match_slicing(spark):
         assert got == want
 
 
-def test_prefix_sums_multi_bucket(spark):
+def _running(rows):
+    exp, acc = {}, {}
+    for g, k, v in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1])):
+        exp[(g, k)] = acc.get(g, 0)
+        acc[g] = exp[(g, k)] + v
+    return exp
+
+
+def test_prefix_sums_of_any_key(spark):
+    """Dense, sparse, hashed and string keys, null groups, a hot group."""
+    import hashlib
+
     rnd = random.Random(11)
-    rows = [(g, i, rnd.randint(0, 9)) for g in ("a", "b", "c") for i in rnd.sample(range(5000), 400)]
-    df = spark.createDataFrame(rows, "g string, k long, v long")
-    for levels in (1, 2):
-        got = O.prefix_sums(df, "k", {"s": F.col("v")}, by=["g"], bucket_rows=16, levels=levels).collect()
-        exp = {}
-        for g in ("a", "b", "c"):
-            acc = 0
-            for _, k, v in sorted(r for r in rows if r[0] == g):
-                exp[(g, k)] = acc
-                acc += v
-        assert {(r["g"], r["k"]): r["s"] for r in got} == exp
+    names = ["hot"] * 6 + ["a", "b", None]
+    for key in (lambda i: i, lambda i: i * 10**12, lambda i: int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16) - 2**59,
+                lambda i: hashlib.md5(str(i).encode()).hexdigest()):
+        rows = [(rnd.choice(names), key(i), rnd.randint(0, 9)) for i in range(1500)]
+        kind = "string" if isinstance(rows[0][1], str) else "long"
+        df = spark.createDataFrame(rows, f"g string, k {kind}, v long")
+        got = O.prefix_sums(df, "k", {"s": F.col("v")}, by=["g"], bucket_rows=64).collect()
+        assert {(r["g"], r["k"]): r["s"] for r in got} == _running(rows)
+        # no range holds over a few times its rows, none is far too small on average
+        sizes = [r["count"] for r in df.groupBy(O.range_bucket(df, "k", ["g"], 64).alias("b")).count().collect()]
+        assert max(sizes) <= 4 * 64 and len(sizes) >= 1500 / 64 / 2
+    assert O.prefix_sums(df.limit(0), "k", {"s": F.col("v")}, bucket_rows=4).count() == 0
 
 
 def test_ema_matches_recursion(spark):
     rnd = random.Random(2)
     vals = [rnd.uniform(0, 10) for _ in range(3000)]
     df = spark.createDataFrame([("r", i + 1, v) for i, v in enumerate(vals)], "run string, step long, loss double")
-    for B in (7, 100, None):
-        got = [r["ema"] for r in O.ema(df, ["run"], "step", "loss", "ema", 0.1, bucket_rows=B).orderBy("step").collect()]
+    for B, alpha, group in ((7, 0.1, 4), (100, 0.1, 512), (None, 0.1, 512), (3, 0.001, 5), (1, 0.9, 8)):
+        got = [r["ema"] for r in O.ema(df, ["run"], "step", "loss", "ema", alpha, bucket_rows=B, group=group).orderBy("step").collect()]
         e, exp = None, []
         for v in vals:
-            e = v if e is None else 0.1 * v + 0.9 * e
+            e = v if e is None else alpha * v + (1 - alpha) * e
             exp.append(e)
-        assert np.allclose(got, exp, rtol=1e-9, atol=1e-9)
+        assert np.allclose(got, exp, rtol=1e-12, atol=1e-12)
 
 
 def test_moving_average_matches_convolve(spark):
@@ -119,6 +131,29 @@ def test_moving_average_matches_convolve(spark):
         assert np.allclose([r["smoothed"] for r in got], sm)
 
 
+def test_moving_average_of_many_runs_in_one_plan(spark):
+    """Runs of different window sizes; NaN, infinite and null values stay in their frames."""
+    rnd, rows = random.Random(9), []
+    runs = {"a": 12, "b": 30, None: 55, "c": 400, "d": 1}
+    for run, n in runs.items():
+        rows += [(run, i + 1, rnd.uniform(-5, 5)) for i in range(n)]
+    odd = {("c", 100): float("nan"), ("c", 200): float("inf"), ("c", 210): float("-inf"), ("b", 3): None, ("c", 300): 1e15}
+    rows = [(r, s, odd.get((r, s), v)) for r, s, v in rows]
+    got = {(r["run"], r["step"]): r["smoothed"] for r in M.moving_average(spark.createDataFrame(rows, "run string, step long, loss double")).collect()}
+    for run, n in runs.items():
+        vals = [v for r, _, v in rows if r == run]
+        w = min(100, max(2, n // 10))
+        off = (w - 1) // 2
+        for c in range(n):
+            frame = vals[c - off:c - off + w] if c >= off and c - off + w <= n and n > 1 and n >= w else [None]
+            if None in frame:
+                assert (run, c + 1) not in got
+            else:
+                assert np.isclose(got.pop((run, c + 1)), sum(frame) / w, rtol=1e-9, atol=1, equal_nan=True) if 1e15 in vals[:c + w] else \
+                    np.isclose(got.pop((run, c + 1)), sum(frame) / w, equal_nan=True)
+    assert not got
+
+
 def test_halo_lag_across_buckets(spark):
     df = spark.range(1, 200).select(F.lit("r").alias("run"), F.col("id").alias("step"))
     got = O.lag_by_step(df, ["run"], "step", {"prev": "step"}, bucket_rows=8).orderBy("step").collect()
