@@ -101,6 +101,14 @@ OVERFIT_PREFIX = "overfit_"
 # Checkpoint directory part.
 CHPT_DIR_PART = "num_grad_updates_"
 
+# Labels of the stage boundaries on a run's chart.
+BOUNDARY_LABELS = {
+    "warmup": "→ Warmup End & Initial stage start",
+    "lc_stage": "→ lc_stage Start",
+    "annealing_stage": "→ annealing_stage Start",
+    "complete": "→ annealing_stage End",
+}
+
 # ---------------------------------------------------------------------------
 # end of fixed values
 # ---------------------------------------------------------------------------

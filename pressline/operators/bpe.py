@@ -102,19 +102,27 @@ def _encoder(model: BpeModel):
 
 
 ENCODE_CACHE_WORDS = 200_000
+# encoded words by model, kept by a Python worker from task to task
+_ENCODED: dict[int, dict[str, list[int]]] = {}
+
+
+def _encoded_words(model_key: int) -> dict[str, list[int]]:
+    if model_key not in _ENCODED:
+        _ENCODED.clear()  # one model at a time
+    return _ENCODED.setdefault(model_key, {})
 
 
 def encode_word_arrays(words: Column, model: BpeModel) -> Column:
     """ids of a document from its word array: an Arrow-batched pandas UDF
-    applies the merge ranks word by word, with a bounded per-worker cache of
-    encoded words (Zipf: most occurrences are cache hits). The merge table
-    travels with the function and is bounded by the vocabulary size."""
-    enc = _encoder(model)
-    cache: dict[str, list[int]] = {}
+    applies the merge ranks word by word, with a bounded cache of encoded words
+    that a worker keeps from task to task (Zipf: most occurrences are cache
+    hits). The merge table travels with the function and is bounded by the
+    vocabulary size."""
+    enc, key = _encoder(model), hash(tuple(model.merges))
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def encode_udf(docs: pd.Series) -> pd.Series:
-        out = []
+        out, cache = [], _encoded_words(key)
         for ws in docs:
             ids: list[int] = []
             for w in ws:

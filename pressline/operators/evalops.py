@@ -102,11 +102,3 @@ def limit_per_task(df: DataFrame, n: int | None, task: str = "task", order: str
 
     w = Window.partitionBy(task).orderBy(order)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
-
-
-def cached_eval(requests: DataFrame, cache: DataFrame, key: str = "req_hash") -> tuple[DataFrame, DataFrame]:
-    """(new work, cached results). New work = requests without a cached
-    result (left anti join on the request hash)."""
-    todo = requests.join(cache.select(key), on=key, how="left_anti")
-    hits = requests.join(cache, on=key, how="inner")
-    return todo, hits

@@ -147,16 +147,30 @@ def stream_lengths(pieces: DataFrame, take: str = "take",
     return pieces.groupBy(*by).agg(F.sum(take).cast("long").alias("stream_len"))
 
 
+def wanted_pieces(pieces: DataFrame, L: int | Column, first: int | Column = 0, last: int | Column | None = None,
+                  start: str = "pstart", take: str = "take") -> DataFrame:
+    """The block index: of the pieces of a stream those that hold a token of the
+    blocks ``first .. last`` (to the stream's end without ``last``). Block ``b``
+    is the positions ``bL .. bL + L``, so a range of blocks is one range of
+    positions and a plain predicate on the piece table, before any ids are read
+    or made; on a stored stream it is pushed into the scan (``read_blocks``)."""
+    lit = lambda x: F.lit(x) if isinstance(x, int) else x
+    p = pieces.filter(F.col(start) + F.col(take) > lit(first) * lit(L))
+    return p if last is None else p.filter(F.col(start) <= (lit(last) + 1) * lit(L))
+
+
 def make_blocks(pieces: DataFrame, L: int | Column, ids: str = "ids", start: str = "pstart",
                 take: str = "take", by: Sequence[str] = ("stage", "split"),
-                with_xy: bool = True, lens: DataFrame | None = None) -> DataFrame:
+                with_xy: bool = True, lens: DataFrame | None = None,
+                first: int | Column = 0, last: int | Column | None = None) -> DataFrame:
     """K5/K6: fixed windows of ``L + 1`` tokens at stride ``L``.
 
     Block ``b`` holds stream positions ``bL .. bL+L``; there are
     ``(len - 1) div L`` blocks and the rest is dropped. A piece ``[s, e)`` feeds
     blocks ``max(0, ceil(s/L) - 1) .. floor((e-1)/L)``. ``ids`` must already be
     cut to ``take`` elements. ``lens`` gives the stream lengths where they are
-    known without the ids.
+    known without the ids; it must be given when ``pieces`` are only the
+    ``wanted_pieces`` of the blocks ``first .. last``.
     """
     by = list(by)
     Lc = F.lit(L) if isinstance(L, int) else L
@@ -165,8 +179,9 @@ def make_blocks(pieces: DataFrame, L: int | Column, ids: str = "ids", start: str
     p = pieces.join(lens, on=by, how="inner")
     s = F.col(start)
     e = F.col(start) + F.col(take)
-    lo = F.greatest(F.lit(0), F.ceil(s / Lc) - 1)
-    hi = F.least(F.floor((e - 1) / Lc), F.col("total_blocks") - 1)
+    bound = lambda x: F.lit(x) if isinstance(x, int) else x
+    lo = F.greatest(bound(first), F.ceil(s / Lc) - 1)
+    hi = F.least(F.floor((e - 1) / Lc), F.col("total_blocks") - 1, *([] if last is None else [bound(last)]))
     # one slice per overlapped block, built inside the row and exploded as
     # small structs: the document's id array is never copied per block
     def piece(b):
@@ -189,9 +204,10 @@ def make_blocks(pieces: DataFrame, L: int | Column, ids: str = "ids", start: str
     return blocks
 
 
-def resume_skip(blocks: DataFrame, tokens_seen: int, L: int) -> DataFrame:
-    """K7: skip ``tokens_seen div L`` blocks (current L)."""
-    return blocks.filter(F.col("block_idx") >= F.lit(tokens_seen // L))
+def resume_block(tokens_seen: int | Column, L: int | Column) -> Column:
+    """K7: the first block after ``tokens_seen`` tokens, ``tokens_seen div L`` (current L)."""
+    lit = lambda x: F.lit(x) if isinstance(x, int) else x
+    return F.floor(lit(tokens_seen) / lit(L)).cast("long")
 
 
 def epoch_wrap(blocks: DataFrame, total_blocks: Column, epochs: int, tokens_seen: int, L: int) -> DataFrame:

@@ -9,9 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pressline.functions.hashing import Bloom, span_hashes, word_gram_spans
+from pressline.session import materialize_table
+
 
 def pair_loss(r_chosen: Column, r_rejected: Column) -> Column:
     """``-log(sigmoid(rc - rr))`` in the stable form ``log1p(exp(-d))``
@@ -78,26 +86,51 @@ def data_mix(df: DataFrame, weight: Column, key: Column, seed: int = 0) -> DataF
         "copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
 
 
-def word_ngrams(w: Column, n: int) -> Column:
-    """Word n-grams of a word array (D12); ``w`` must be a plain column so the
-    lambda does not re-split the text for every position."""
-    return F.when(F.size(w) >= n, F.transform(
-        F.sequence(F.lit(1), F.size(w) - n + 1),
-        lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+def _gram_keys(docs: DataFrame, n: int, key: str | None, text: str, held: Bloom | None) -> DataFrame:
+    """(key, h, a, b): the word n-grams of the texts that ``held`` may hold (all
+    without it), by a rolling hash and by a 128-bit hash, which is their
+    identity. A text is hashed in one pass; nothing is built for the rest."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1).cast(pa.binary())
+            for i, t in enumerate(texts):
+                raw = t.as_py() or b""
+                starts, ends = word_gram_spans(np.frombuffer(raw, np.uint8), n)
+                if not len(starts):
+                    continue
+                h = span_hashes(np.frombuffer(raw, np.uint8), starts, ends)
+                at = np.arange(len(h)) if held is None else np.flatnonzero(held.may_hold(h))
+                if not len(at):
+                    continue
+                full = [xxhash.xxh3_128_intdigest(raw[s:e]) for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+                both = np.array([((x >> 64) - (1 << 63), (x & (1 << 64) - 1) - (1 << 63)) for x in full], np.int64)
+                cols = [batch.column(0).take(pa.array(np.full(len(at), i)))] if key else []
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(h[at]), pa.array(both[:, 0]), pa.array(both[:, 1])],
+                                                 names=[*([key] if key else []), "h", "a", "b"])
+
+    head = f"`{key}` {docs.schema[key].dataType.simpleString()}, " if key else ""
+    return docs.select(*([key] if key else []), text).mapInArrow(run, f"{head}h long, a long, b long")
 
 
 def holdout_check(docs: DataFrame, bench: DataFrame, n: int, key: str = "doc_id", text: str = "text",
                   bench_text: str = "text") -> DataFrame:
-    """Documents sharing a word n-gram with a benchmark item. The join
-    key is a 64-bit hash of the n-gram (string equality is re-checked), and
-    the benchmark side is de-duplicated first; an equi-join, planned by
-    AQE as a broadcast when the benchmark side is small."""
-    dw = docs.select(key, F.split(F.col(text), " ").alias("_w"))
-    g = dw.select(key, F.explode(word_ngrams(F.col("_w"), n)).alias("g")).withColumn("h", F.xxhash64("g"))
-    bw = bench.select(F.split(F.col(bench_text), " ").alias("_w"))
-    b = bw.select(F.explode(word_ngrams(F.col("_w"), n)).alias("bg")).distinct().withColumn("h", F.xxhash64("bg"))
-    m = g.join(b, "h").filter(F.col("g") == F.col("bg"))
-    return m.groupBy(key).agg(F.count(F.lit(1)).alias("matched_ngrams"))
+    """Documents that share a word n-gram (words parted by single spaces)
+    with a benchmark item, with the number of their n-grams that do.
+
+    The n-grams of every text are hashed in one rolling pass and looked up in a
+    Bloom filter of the benchmark's hashes; the few that pass are joined with
+    the benchmark's n-grams on 128 bits of hash. No n-gram is ever a string in
+    a shuffle, and what is shuffled grows with the matches."""
+    theirs = materialize_table(_gram_keys(bench, n, None, bench_text, None).distinct(), "holdout-grams")
+    ours = _gram_keys(docs, n, key, text, Bloom.of(theirs, "h"))
+    return ours.join(theirs.select("a", "b"), ["a", "b"]).groupBy(key).agg(F.count(F.lit(1)).alias("matched_ngrams"))
+
+
+def holdout_clean(docs: DataFrame, bench: DataFrame, n: int, key: str = "doc_id", text: str = "text",
+                  bench_text: str = "text") -> DataFrame:
+    """``docs`` without those that share a word n-gram with the benchmark."""
+    found = holdout_check(docs, bench, n, key, text, bench_text).select(F.col(key).alias("_found"))
+    return docs.join(found, docs[key].eqNullSafe(found["_found"]), "left_anti")
 
 
 def needle_cases(docs: DataFrame, needle: Column, depths: list[float], lengths: list[int],

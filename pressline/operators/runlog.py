@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pressline.functions.fixed import SMOOTH_DIVISOR, SMOOTH_MAX_WINDOW, SMOOTH_MIN_WINDOW
+from pressline.functions.fixed import BOUNDARY_LABELS, SMOOTH_DIVISOR, SMOOTH_MAX_WINDOW, SMOOTH_MIN_WINDOW
 from pressline.operators.ordered import ema as _ema
 from pressline.operators.ordered import join_null_safe, lag_by_step, prefix_sums
 from pressline.session import materialize_table
@@ -111,12 +111,12 @@ def stage_markers(log: DataFrame, warmup_steps: int, by: Sequence[str] = ("run",
     """M9: labelled boundaries that are non-zero and inside the plotted range."""
     by = list(by)
     tr = transitions(log, by, step)
-    label = (F.when(F.col("stage") == "lc_stage", F.lit("lc_stage start"))
-             .when(F.col("stage") == "annealing_stage", F.lit("annealing_stage start"))
-             .otherwise(F.lit("annealing_stage end")))
+    label = F.lit(None).cast("string")
+    for stage in ("lc_stage", "annealing_stage", "complete"):
+        label = F.when(F.col("stage") == stage, F.lit(BOUNDARY_LABELS[stage])).otherwise(label)
     marks = tr.select(*by, label.alias("label"), F.col("entry_step").alias("step"))
     runs = log.groupBy(*by).agg(F.min(step).alias("_lo"), F.max(step).alias("_hi"))
-    warm = runs.select(*by, F.lit("warmup end").alias("label"), F.lit(warmup_steps).cast("long").alias("step"))
+    warm = runs.select(*by, F.lit(BOUNDARY_LABELS["warmup"]).alias("label"), F.lit(warmup_steps).cast("long").alias("step"))
     allm = marks.unionByName(warm).join(runs, on=by)
     return allm.filter((F.col("step") != 0) & F.col("step").between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
 
@@ -134,9 +134,61 @@ def tick_union(log: DataFrame, every: int, by: Sequence[str] = ("run",), step: s
     return u.filter(F.col("tick").between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi").orderBy(*by, "tick")
 
 
-def log_line(ts: Column, step: Column, tokens: Column, lr: Column, loss: Column, width: int) -> Column:
-    """``[MM-dd HH:mm:ss] | num_grad_updates: <step> | Tokens: <zero-padded>
-    | LR: <15.8f> | Loss: <7.4f>``."""
-    return F.format_string(
-        "[%s] | num_grad_updates: %5d | Tokens: %s | LR: %15.8f | Loss: %7.4f",
-        F.date_format(ts, "MM-dd HH:mm:ss"), step, F.lpad(tokens.cast("string"), width, "0"), lr, loss)
+def val_clip(val: DataFrame, log: DataFrame, by: Sequence[str] = ("run",), step: str = "step") -> DataFrame:
+    """The validation points inside the plotted range, ``num_updates - n + 1
+    .. num_updates`` for a history of ``n`` updates up to ``num_updates`` (the
+    log of a resumed run holds its later updates only)."""
+    by = list(by)
+    hi, n = F.max(step).alias("_hi"), F.count(F.lit(1)).alias("_n")
+    t = join_null_safe(val, log.groupBy(*by).agg(hi, n), by)
+    return t.filter(F.col(step).between(F.col("_hi") - F.col("_n") + 1, F.col("_hi"))).drop("_hi", "_n")
+
+
+def clock(seconds: Column) -> Column:
+    """Whole seconds as ``[D day[s], ]H:MM:SS``."""
+    days, s = F.floor(seconds / 86400), F.pmod(seconds, F.lit(86400))
+    time = F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(F.pmod(s, F.lit(3600)) / 60), F.pmod(s, F.lit(60)))
+    return F.when(days > 0, F.concat(days.cast("string"), F.when(days == 1, " day, ").otherwise(" days, "), time)).otherwise(time)
+
+
+def grouped(n: Column, digits: int = 1) -> Column:
+    """An integer with thousands separators, zero-padded to ``digits`` digits first."""
+    s = n.cast("string")
+    padded = F.when(F.length(s) < digits, F.lpad(s, digits, "0")).otherwise(s)
+    return F.regexp_replace(padded, r"(?<=\d)(?=(\d{3})+$)", ",")
+
+
+def two_places(x: Column) -> Column:
+    """Rounded to hundredths, halves up, of a value known to nine places."""
+    return F.floor(F.round(x, 9) * 100 + 0.5) / 100
+
+
+def log_line(log: DataFrame, steps: int, tokens: dict[str, int], by: Sequence[str] = ("run",), alpha: float = 0.1) -> DataFrame:
+    """The status line of every update, as column ``line``:
+
+    ``[MM-dd HH:mm:ss] | num_grad_updates: n | Step: x/y | Tokens: x/y |
+    Avg Time: s | Elapsed: t | ETA: t | LR: r | Loss: l``.
+
+    ``steps`` is the initial stage's step target, ``tokens`` the stages' token
+    targets. The step block is blank after the initial stage; tokens are padded
+    to the initial target's width; the average time is the moving average of
+    the seconds between updates (0 for a run's first); elapsed counts from the
+    run's first row, ETA from the stage's. ``log`` has step, ts, stage,
+    stage_step, stage_tokens, lr and loss."""
+    by = list(by)
+    t = throughput_eta(log, {**tokens, "initial_stage": steps}, by)
+    t = _ema(step_interval(t, by), by, "step", "interval_sec", "_avg", alpha)
+    t = join_null_safe(t, log.groupBy(*by).agg(F.min("ts").alias("_run0")), by)
+    target = F.lit(None).cast("long")
+    for stage, n in tokens.items():
+        target = F.when(F.col("stage") == stage, F.lit(n).cast("long")).otherwise(target)
+    wide = len(str(steps))
+    step = F.when(F.col("stage") == "initial_stage", F.format_string(f"Step: %{wide}d/%d", F.col("stage_step"), F.lit(steps))).otherwise(
+        F.lit(" " * len(f"Step: {steps}/{steps}")))
+    done = F.concat(grouped(F.col("stage_tokens"), len(str(tokens["initial_stage"]))), F.lit("/"), grouped(target))
+    elapsed = F.floor((_micros(F.col("ts")) - _micros(F.col("_run0"))) / F.lit(1e6))
+    line = F.format_string(
+        f"[%s] | num_grad_updates: %{wide}d | %s | Tokens: %s | Avg Time: %5.2fs | Elapsed: %8s | ETA: %8s | LR: %15.8f | Loss: %7.4f",
+        F.date_format("ts", "MM-dd HH:mm:ss"), F.col("step"), step, done, two_places(F.col("_avg")), clock(elapsed),
+        clock(F.col("eta_sec")), F.col("lr"), F.col("loss"))
+    return t.withColumn("line", line).drop("_avg", "_run0")

@@ -74,10 +74,16 @@ def _pieces(spark: SparkSession, sf: str) -> DataFrame:
     return _cut_pieces(K.split_pieces(_split(spark, sf)), texts)
 
 
-def _blocks(spark: SparkSession, sf: str) -> DataFrame:
+def _blocks(spark: SparkSession, sf: str, first: F.Column | int = 0, last: int | None = None) -> DataFrame:
+    """The blocks ``first .. last`` of every stream; the block index picks the
+    pieces, and only their documents' ids are made."""
     p = K.split_pieces(_split(spark, sf))
-    texts = table(spark, sf, "documents").select("doc_id", K.byte_doc_ids(F.col("text")).alias("ids"))
-    return K.make_blocks(_cut_pieces(p, texts), F.col("seq_len"), by=STREAM, lens=K.stream_lengths(p, by=STREAM))
+    lens = K.stream_lengths(p, by=STREAM)
+    p = K.wanted_pieces(p, F.col("seq_len"), first, last)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = docs.join(p.select("doc_id").distinct(), "doc_id", "left_semi") if last is not None else docs
+    ids = docs.select("doc_id", K.byte_doc_ids(F.col("text")).alias("ids"))
+    return K.make_blocks(_cut_pieces(p, ids), F.col("seq_len"), by=STREAM, lens=lens, first=first, last=last)
 
 
 def _weighted(arr) -> F.Column:
@@ -275,9 +281,9 @@ def shift_xy(spark: SparkSession, sf: str) -> DataFrame:
 SELECT stage, split, block_idx, max(id) FILTER (WHERE idx = 0) AS x_first
 FROM blk WHERE block_idx >= 1000 // seq_len GROUP BY stage, split, block_idx"""))
 def resume_skip(spark: SparkSession, sf: str) -> DataFrame:
-    """K7: after 1 000 tokens seen, skip ``1000 div L`` blocks (L per stage)."""
-    b = _blocks(spark, sf)
-    b = b.filter(F.col("block_idx") >= F.expr("1000 div seq_len"))
+    """K7: after 1 000 tokens seen, the blocks from ``1000 div L`` on (L per
+    stage), from the pieces that reach so far."""
+    b = _blocks(spark, sf, first=K.resume_block(1000, F.col("seq_len")))
     return b.select("stage", "split", "block_idx", F.element_at("x", 1).alias("x_first"))
 
 
@@ -337,11 +343,8 @@ FROM blk, (SELECT range AS r FROM range(0, 2))
 WHERE block_idx = 0 GROUP BY stage, split, r"""))
 def tile_sequence(spark: SparkSession, sf: str) -> DataFrame:
     """Block 0's x of every stream, tiled to 300 tokens, copied to a
-    micro-batch of 2 rows."""
-    from pressline.operators.packing import tile_to_length
-
-    b = _blocks(spark, sf).filter(F.col("block_idx") == 0)
-    t = tile_to_length(b, "x", 300, 2)
+    micro-batch of 2 rows; only the pieces of block 0 are read."""
+    t = K.tile_to_length(_blocks(spark, sf, last=0), "x", 300, 2)
     return t.select("stage", "split", "row_id", F.size("tiled").alias("n_tokens"), _sum(F.col("tiled")).alias("tile_sum"))
 
 
@@ -362,24 +365,20 @@ def doc_segments(spark: SparkSession, sf: str) -> DataFrame:
                     _sum(F.col("seg")).alias("segment_sum"))
 
 
-SQL_SEG_SMALL = """
+@register("visible_pairs", sql=with_ctes(SQL_TOKENS, """
 seg AS (
   SELECT stage, split, block_idx, idx AS pos, id,
          sum(CASE WHEN id = 2 THEN 1 ELSE 0 END) OVER (PARTITION BY stage, split, block_idx ORDER BY idx
              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - CASE WHEN id = 2 THEN 1 ELSE 0 END AS segment
-  FROM blk WHERE idx < seq_len AND stage = 'annealing_stage' AND split = 'val'
-)"""
-
-
-@register("visible_pairs", sql=with_ctes(SQL_TOKENS, SQL_SEG_SMALL, body="""
-SELECT q.block_idx, CAST(count(*) AS BIGINT) AS visible
-FROM seg q JOIN seg k ON q.block_idx = k.block_idx AND q.segment = k.segment AND k.pos <= q.pos
-GROUP BY q.block_idx"""))
+  FROM blk WHERE idx < seq_len
+),
+keys AS (SELECT stage, split, block_idx, row_number() OVER (PARTITION BY stage, split, block_idx, segment ORDER BY pos) AS k FROM seg)""", body="""
+SELECT stage, split, block_idx, CAST(sum(k) AS BIGINT) AS visible FROM keys GROUP BY stage, split, block_idx"""))
 def visible_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Per annealing validation block, the (q, k) pairs a query may attend
-    to (same document, not in the future), counted from the segment lengths."""
-    b = _blocks(spark, sf).filter((F.col("stage") == "annealing_stage") & (F.col("split") == "val"))
-    return K.mask_cost(b, "x", key=["block_idx"]).select("block_idx", F.col("visible_pairs").alias("visible"))
+    """Per block of every stream, the (q, k) pairs a query may attend to
+    (same document, not in the future), counted from the segment lengths."""
+    b = K.mask_cost(_blocks(spark, sf), "x", key=["stage", "split", "block_idx"])
+    return b.select("stage", "split", "block_idx", F.col("visible_pairs").alias("visible"))
 
 
 @register("mask_cost", sql=with_ctes(SQL_TOKENS, """

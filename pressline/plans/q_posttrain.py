@@ -173,7 +173,7 @@ def rolling_logprob(spark: SparkSession, sf: str) -> DataFrame:
                     F.round(F.exp(-F.col("s") / F.col("tokens")), 6).alias("perplexity"))
 
 
-@register("holdout_check", sql="""
+SQL_HOLDOUT = """
 WITH dg AS (
   SELECT doc_id, unnest(CASE WHEN len(w) >= 8 THEN list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' ')) ELSE [] END) AS g
   FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)
@@ -182,10 +182,21 @@ bg AS (
   SELECT DISTINCT unnest(CASE WHEN len(w) >= 8 THEN list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' ')) ELSE [] END) AS g
   FROM (SELECT string_split(text, ' ') AS w FROM benchmark)
 )
+"""
+
+
+@register("holdout_check", sql=SQL_HOLDOUT + """
 SELECT doc_id, CAST(count(*) AS BIGINT) AS matched_ngrams FROM dg JOIN bg USING (g) GROUP BY doc_id""")
 def holdout_check(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that share a word 8-gram with a benchmark item (whole
     texts on both sides)."""
     d = table(spark, sf, "documents").select("doc_id", "text")
-    b = table(spark, sf, "benchmark").select("text")
-    return D.holdout_check(d, b, 8)
+    return D.holdout_check(d, table(spark, sf, "benchmark").select("text"), 8)
+
+
+@register("holdout_clean", sql=SQL_HOLDOUT + """
+SELECT doc_id, source, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM dg JOIN bg USING (g))""")
+def holdout_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus that is left, without those documents."""
+    d = table(spark, sf, "documents")
+    return D.holdout_clean(d, table(spark, sf, "benchmark").select("text"), 8).select("doc_id", "source", "n_chars")

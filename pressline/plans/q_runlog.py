@@ -11,6 +11,7 @@ from pressline.plans.fixtures import SQL_LOGITS, SQL_RUN_LOG, SQL_VAL_LOG, logit
 from pressline.plans.q_schedule import P, SQL_LR, SQL_MICRO, _lr, micro_log
 from pressline.plans.registry import register, with_ctes
 
+TOKEN_TARGETS = {"initial_stage": 2_000_000, "lc_stage": 100_000, "annealing_stage": 50_000}
 ETA_TARGETS = {"initial_stage": 1000, "lc_stage": 100_000, "annealing_stage": 50_000}
 
 SQL_CE = SQL_LOGITS + """,
@@ -119,11 +120,11 @@ def throughput_eta(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("stage_markers", sql=with_ctes(SQL_RUN_LOG, """
 tr AS (
-  SELECT run, CASE stage WHEN 'lc_stage' THEN 'lc_stage start' ELSE 'annealing_stage start' END AS label,
+  SELECT run, CASE stage WHEN 'lc_stage' THEN '→ lc_stage Start' ELSE '→ annealing_stage Start' END AS label,
          CAST(min(step) - 1 AS BIGINT) AS step
   FROM run_log WHERE stage <> 'initial_stage' GROUP BY run, stage
-  UNION ALL SELECT run, 'annealing_stage end', CAST(max(step) AS BIGINT) FROM run_log GROUP BY run
-  UNION ALL SELECT run, 'warmup end', CAST(100 AS BIGINT) FROM run_log GROUP BY run
+  UNION ALL SELECT run, '→ annealing_stage End', CAST(max(step) AS BIGINT) FROM run_log GROUP BY run
+  UNION ALL SELECT run, '→ Warmup End & Initial stage start', CAST(100 AS BIGINT) FROM run_log GROUP BY run
 ),
 rng AS (SELECT run, min(step) AS lo, max(step) AS hi FROM run_log GROUP BY run)""", body="""
 SELECT tr.run, tr.label, tr.step FROM tr JOIN rng USING (run) WHERE tr.step <> 0 AND tr.step BETWEEN rng.lo AND rng.hi"""))
@@ -149,14 +150,13 @@ def tick_union(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("val_clip", sql=with_ctes(SQL_RUN_LOG, SQL_VAL_LOG, body="""
 SELECT v.run, v.step, round(v.loss, 9) AS loss FROM val_log v
-JOIN (SELECT run, max(step) AS hi FROM run_log GROUP BY run) r USING (run)
-WHERE v.step BETWEEN r.hi - 999 AND r.hi"""))
+JOIN (SELECT run, max(step) AS hi, count(*) AS n FROM run_log WHERE stage <> 'initial_stage' GROUP BY run) r USING (run)
+WHERE v.step BETWEEN r.hi - r.n + 1 AND r.hi"""))
 def val_clip(spark: SparkSession, sf: str) -> DataFrame:
-    """Validation points inside the plotted range (the last 1 000 updates)."""
-    v = val_log(spark, sf)
-    hi = run_log(spark, sf).groupBy("run").agg(F.max("step").alias("hi"))
-    t = v.join(hi, "run").filter(F.col("step").between(F.col("hi") - 999, F.col("hi")))
-    return t.select("run", "step", F.round("loss", 9).alias("loss"))
+    """Validation points inside the plotted range of runs that were resumed
+    behind their initial stage: their loss history starts there."""
+    history = run_log(spark, sf).filter(F.col("stage") != "initial_stage")
+    return M.val_clip(val_log(spark, sf), history).select("run", "step", F.round("loss", 9).alias("loss"))
 
 
 @register("log_overlay", sql=with_ctes(SQL_MICRO, SQL_LR, SQL_VAL_LOG.replace("run_log", "microA"), body="""
@@ -172,14 +172,35 @@ def log_overlay(spark: SparkSession, sf: str) -> DataFrame:
                     F.round("lr", 12).alias("lr"), "seq_len")
 
 
-@register("log_line", sql=with_ctes(SQL_MICRO, SQL_LR, body="""
-SELECT l.run, l.step,
-       printf('[%s] | num_grad_updates: %5d | Tokens: %s | LR: %15.8f | Loss: %7.4f',
-              strftime(m.ts, '%m-%d %H:%M:%S'), l.step, lpad(CAST(m.tokens_processed AS VARCHAR), 9, '0'),
-              l.lr, m.loss) AS line
-FROM lr_t l JOIN microA m USING (run, step)"""))
+_CLOCK = """CASE WHEN {0} >= 86400 THEN ({0} // 86400)::VARCHAR || CASE WHEN {0} // 86400 = 1 THEN ' day, ' ELSE ' days, ' END ELSE '' END
+  || printf('%d:%02d:%02d', {0} % 86400 // 3600, {0} % 3600 // 60, {0} % 60)"""
+_GROUPED = r"reverse(rtrim(regexp_replace(reverse({0}), '(\d{{3}})', '\1,', 'g'), ','))"
+
+
+@register("log_line", sql="WITH RECURSIVE " + with_ctes(SQL_MICRO, SQL_LR, """
+iv AS (SELECT run, step, coalesce((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY run ORDER BY step))) / 1e6, 0) AS sec,
+              CAST(floor((epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY run))) / 1e6) AS BIGINT) AS since FROM microA),
+av(run, step, avg) AS (
+  SELECT run, step, sec FROM iv WHERE step = 1
+  UNION ALL
+  SELECT i.run, i.step, 0.1 * i.sec + 0.9 * av.avg FROM av JOIN iv i ON i.run = av.run AND i.step = av.step + 1
+),
+eta0 AS (
+  SELECT run, step, stage, stage_step, stage_tokens, ts, loss,
+         (epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY run, stage))) / 1e6 AS elapsed,
+         CASE WHEN stage = 'initial_stage' THEN stage_step ELSE stage_tokens END AS done,
+         CASE stage WHEN 'initial_stage' THEN 1000 WHEN 'lc_stage' THEN 100000 ELSE 50000 END AS target,
+         CASE stage WHEN 'initial_stage' THEN 2000000 WHEN 'lc_stage' THEN 100000 ELSE 50000 END AS goal
+  FROM microA
+),
+eta AS (SELECT *, CAST(CASE WHEN done = 0 OR elapsed <= 0 THEN 0 ELSE floor(greatest((target - done) / (done / elapsed), 0.0)) END AS BIGINT) AS left_s FROM eta0)""", body=f"""
+SELECT m.run, m.step,
+       printf('[%s] | num_grad_updates: %4d | %s | Tokens: %s/%s | Avg Time: %5.2fs | Elapsed: %8s | ETA: %8s | LR: %15.8f | Loss: %7.4f',
+              strftime(m.ts, '%m-%d %H:%M:%S'), m.step,
+              CASE WHEN m.stage = 'initial_stage' THEN printf('Step: %4d/1000', m.stage_step) ELSE repeat(' ', 15) END,
+              {_GROUPED.format("lpad(m.stage_tokens::VARCHAR, greatest(7, length(m.stage_tokens::VARCHAR))::INTEGER, '0')")}, {_GROUPED.format("m.goal::VARCHAR")},
+              floor(round(av.avg, 9) * 100 + 0.5) / 100, {_CLOCK.format("iv.since")}, {_CLOCK.format("m.left_s")}, l.lr, m.loss) AS line
+FROM eta m JOIN lr_t l USING (run, step) JOIN iv USING (run, step) JOIN av USING (run, step)""").removeprefix("WITH "))
 def log_line(spark: SparkSession, sf: str) -> DataFrame:
-    """The formatted status line of each update."""
-    m = _lr(micro_log(spark, sf))
-    return m.select("run", "step", M.log_line(F.col("ts"), F.col("step"), F.col("tokens_processed"),
-                                              F.col("lr"), F.col("loss"), 9).alias("line"))
+    """The whole status line of each update."""
+    return M.log_line(_lr(micro_log(spark, sf)), P["steps"], TOKEN_TARGETS).select("run", "step", "line")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressline.functions.fixed import OVERFIT_OVERRIDES
+from pressline.functions.fixed import N_SPECIAL, OVERFIT_OVERRIDES
 from pressline.functions.text import segments, special_map
 from pressline.plans.fixtures import SQL_STAGE, stage_cfg, stage_lengths
 from pressline.plans.q_packing import SQL_TOKENS, _pieces
@@ -16,6 +16,8 @@ from pressline.session import scratch_path
 from pressline.sources import sinks
 from pressline.sources.tables import batched_scan, corpus_scan, source_catalog, table
 
+BYTE_VOCAB = N_SPECIAL + 256   # what byte ids may be stored under
+
 
 @register("corpus_scan", sql="""
 SELECT doc_id, lang, source, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes FROM documents WHERE lang = 'en'""")
@@ -46,7 +48,7 @@ JOIN (SELECT stage, split, CAST(sum(id) AS BIGINT) AS id_sum FROM tok GROUP BY s
 def token_sink_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Write the split pieces partitioned by (stage, split), read them back."""
     path = scratch_path(spark, f"tokens-{uuid.uuid4().hex[:12]}")
-    sinks.write_tokens(_pieces(spark, sf), path)
+    sinks.write_tokens(_pieces(spark, sf), path, vocab_size=BYTE_VOCAB)
     back = spark.read.parquet(path)
     return back.groupBy("stage", "split").agg(
         F.count(F.lit(1)).alias("pieces"), F.sum("take").cast("long").alias("tokens"),
@@ -61,7 +63,7 @@ def token_source(spark: SparkSession, sf: str) -> DataFrame:
     positions [10 000, 50 000) of the initial training stream (partition
     pruning on stage/split, pushed-down range on pstart and pend)."""
     path = scratch_path(spark, f"tokens-src-{uuid.uuid4().hex[:12]}")
-    sinks.write_tokens(_pieces(spark, sf), path)
+    sinks.write_tokens(_pieces(spark, sf), path, vocab_size=BYTE_VOCAB)
     return sinks.read_tokens(spark, path, "initial_stage", "train", 10_000, 50_000).select("doc_id", "pstart", "take")
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressline.operators import tensors as A
 from pressline.plans.fixtures import SQL_TENSORS, tensors
 from pressline.plans.registry import register, with_ctes
+from pressline.session import scratch_path
+from pressline.sources.checkpoints import average_to_store, chunked, load_checkpoint, save_checkpoint
 
 
 def catalog(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,15 +49,19 @@ def anneal_checkpoints(spark: SparkSession, sf: str) -> DataFrame:
     return A.eligible_for_average(catalog(spark, sf)).select("chpt", "path")
 
 
-@register("average_checkpoints", sql=with_ctes(SQL_CAT, """
+SQL_AVERAGED = with_ctes(SQL_CAT, """
 el AS (
   SELECT t.chpt, t.key, t.dtype, i - 1 AS i, v
   FROM (SELECT chpt, key, dtype, unnest(vals) AS v, generate_subscripts(vals, 1) AS i
         FROM tensors WHERE chpt IN (SELECT chpt FROM elig)) t
-)""", body="""
-SELECT key, dtype, CAST(i AS INTEGER) AS i,
-       CASE WHEN dtype = 'float32' THEN CAST(CAST(avg(v) AS FLOAT) AS DOUBLE) ELSE arg_min(v, chpt) END AS value
-FROM el GROUP BY key, dtype, i"""))
+)""", """
+avg_t AS (
+  SELECT key, dtype, CAST(i AS INTEGER) AS i,
+         CASE WHEN dtype = 'float32' THEN CAST(CAST(avg(v) AS FLOAT) AS DOUBLE) ELSE arg_min(v, chpt) END AS value
+  FROM el GROUP BY key, dtype, i)""", body="")
+
+
+@register("average_checkpoints", sql=SQL_AVERAGED + "SELECT * FROM avg_t")
 def average_checkpoints(spark: SparkSession, sf: str) -> DataFrame:
     """A2: element-wise average over the eligible checkpoints."""
     el = A.eligible_for_average(catalog(spark, sf)).select("chpt")
@@ -95,11 +103,26 @@ FROM tensors WHERE chpt = (SELECT max(chpt) FROM tensors)
   AND CAST(substr(key, 2) AS INTEGER) < 80
 GROUP BY 1"""))
 def checkpoint_load(spark: SparkSession, sf: str) -> DataFrame:
-    """Load the weights section of the latest checkpoint (the optimizer
-    and history sections are pruned by the filter)."""
+    """The latest checkpoint saved by section (weights, optimizer,
+    history), then the weights loaded alone."""
     t = tensors(spark, sf)
     kn = F.substring("key", 2, 10).cast("int")
     section = F.when(kn < 80, "model").when(kn < 95, "optimizer").otherwise("history")
     t = t.withColumn("section", section).filter(F.col("chpt") == t.select(F.max("chpt")).scalar())
-    t = t.filter(F.col("section").isin("model"))
-    return t.groupBy("section").agg(F.count(F.lit(1)).alias("tensors"), F.sum(F.size("values")).cast("long").alias("elements"))
+    path = scratch_path(spark, f"checkpoint-{uuid.uuid4().hex[:12]}")
+    save_checkpoint(chunked(t.drop("chpt"), 48), path)
+    back = load_checkpoint(spark, path, ["model"])
+    return back.groupBy("section").agg(F.count_distinct("key").alias("tensors"), F.sum(F.size("values")).cast("long").alias("elements"))
+
+
+@register("averaged_checkpoint", sql=SQL_AVERAGED + """
+SELECT 'model' AS section, key, dtype, CAST(count(*) AS BIGINT) AS elements, round(sum(value), 6) AS value_sum
+FROM avg_t GROUP BY key, dtype""")
+def averaged_checkpoint(spark: SparkSession, sf: str) -> DataFrame:
+    """The average of the eligible checkpoints, saved and loaded again."""
+    el = A.eligible_for_average(catalog(spark, sf)).select("chpt")
+    path = scratch_path(spark, f"averaged-{uuid.uuid4().hex[:12]}")
+    average_to_store(tensors(spark, sf).join(el, "chpt", "left_semi"), path, 50)
+    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
+    return load_checkpoint(spark, path).groupBy("section", "key", "dtype").agg(
+        F.sum(F.size("values")).cast("long").alias("elements"), F.round(F.sum(total), 6).alias("value_sum"))

@@ -11,7 +11,8 @@ from pressline.functions.bytes_ import byte_id_sql
 from pressline.functions.fixed import N_SPECIAL, SPECIAL_TOKENS
 
 SPECIAL_ALT_RE2 = "|".join(t.replace("|", "[|]") for _, t, _ in SPECIAL_TOKENS)
-VOCAB = 300              # specials + 256 alphabet + 40 merges
+VOCAB = 8192             # specials + 256 alphabet + 7 932 merges: the registered tokenizer
+SMALL_VOCAB = 300        # 40 merges: as far as the recursive query below is affordable
 FIRST_MERGE = N_SPECIAL + 256
 
 
@@ -58,7 +59,7 @@ step AS (
   FROM step t, (SELECT l, r FROM (SELECT freq, CAST(unnest(s[:-2]) AS INTEGER) AS l, CAST(unnest(s[2:]) AS INTEGER) AS r
                                   FROM (SELECT freq, string_split(trim(sym, ','), ',,') AS s FROM step) WHERE len(s) > 1)
                 GROUP BY l, r ORDER BY sum(freq) DESC, l, r LIMIT 1) b
-  WHERE t.i < {VOCAB - FIRST_MERGE}
+  WHERE t.i < {SMALL_VOCAB - FIRST_MERGE}
 )"""
 
 SQL_MERGES = f"""

@@ -1,4 +1,4 @@
-"""Sinks: token store (S5), stage sidecar (S7), evaluation details."""
+"""Sinks: token store (S5), stage sidecar."""
 
 from __future__ import annotations
 
@@ -58,6 +58,11 @@ def read_tokens(spark, path: str, stage: str, split: str, lo: int | None = None,
     return df
 
 
-def write_eval(details: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Per-sample predictions, partitioned by task."""
-    details.write.mode(mode).partitionBy("task").parquet(path)
+def read_blocks(spark, path: str, stage: str, split: str, L: int, first: int, last: int) -> DataFrame:
+    """K7/K11 on a stored stream: the blocks ``first .. last``, read from the
+    pieces that overlap their positions only."""
+    from pressline.operators.packing import make_blocks, stream_lengths
+
+    lens = stream_lengths(read_tokens(spark, path, stage, split).select("stage", "split", "take"))
+    pieces = read_tokens(spark, path, stage, split, first * L, (last + 1) * L + 1)
+    return make_blocks(pieces, L, lens=lens, first=first, last=last)
