@@ -13,11 +13,13 @@ hot passage is no single task's work.
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import free
@@ -97,35 +99,46 @@ def _texts(col: pa.Array) -> list[bytes]:
     return [x or b"" for x in col.cast(pa.binary()).to_pylist()]
 
 
-def span_hashes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(h, key, same, pos): every run of every text, by its first sentence;
-    ``same`` is a hash of the text, for rows that share a key."""
+def _names(docs: DataFrame, key: str, text: str) -> dict[str, Column]:
+    """What tells a row of ``docs`` apart: its key, and where keys repeat a hash
+    of its text, ``same``, too."""
+    names = {"key": F.col(key)}
+    if docs.groupBy(key).count().where("count > 1").limit(1).count():
+        names["same"] = F.xxhash64(text)
+    return names
+
+
+def span_hashes(docs: DataFrame, key: str = "doc_id", text: str = "text", names: dict[str, Column] | None = None) -> DataFrame:
+    """(h, names, pos): every run of every text, by its first sentence, under the
+    ``names`` of its row (``key`` alone without them)."""
+    names = names or {"key": F.col(key)}
+    n_names, labels = len(names), ["h", *names, "pos"]
+
     def run(batches):
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                got = [runs(t)[1] for t in _texts(part.column(2))]
+                got = [runs(t)[1] for t in _texts(part.column(n_names))]
                 n = np.fromiter(map(len, got), np.int64, len(got))
                 flat = np.array([(h, a << 32 | e) for g in got for a, e, h in g], np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(flat[:, 0]), *(part.column(k).take(pa.array(np.repeat(np.arange(len(n)), n))) for k in (0, 1)),
-                     pa.array(flat[:, 1])], names=["h", "key", "same", "pos"])
+                    [pa.array(flat[:, 0]), *(part.column(k).take(pa.array(np.repeat(np.arange(len(n)), n))) for k in range(n_names)),
+                     pa.array(flat[:, 1])], names=labels)
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("same"), text).mapInArrow(
-        run, f"h long, key {kind}, same long, pos long")
+    rows = docs.select(*[c.alias(k) for k, c in names.items()], text)
+    head = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in names)
+    return rows.mapInArrow(run, f"h long, {head}, pos long")
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, same, spans): per document the runs (hash, pos = first << 32 |
-    behind last) that stand earlier, at a lesser (key, same, pos), somewhere in
-    ``docs``."""
-    spans = span_hashes(docs, key, text)
-    place = F.struct(F.col("key").alias("k"), F.col("same").alias("s"), F.col("pos").alias("p"))
-    first = spans.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
-    again = spans.join(first, "h").where(~(F.col("key").eqNullSafe(F.col("first.k")) & (F.col("same") == F.col("first.s"))
-                                           & (F.col("pos") == F.col("first.p"))))
-    return again.groupBy("key", "same").agg(F.collect_set(F.struct("h", "pos")).alias("spans"))
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", names: dict[str, Column] | None = None) -> DataFrame:
+    """(names, spans): per document the runs (hash, pos = first << 32 | behind
+    last) that stand earlier, at lesser names and pos, somewhere in ``docs``."""
+    names = names or _names(docs, key, text)
+    spans = span_hashes(docs, key, text, names)
+    place = [*names, "pos"]
+    first = spans.groupBy("h").agg(F.min(F.struct(*place)).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
+    own = reduce(and_, [F.col(c).eqNullSafe(F.col(f"first.{c}")) for c in place])
+    return spans.join(first, "h").where(~own).groupBy(*names).agg(F.collect_set(F.struct("h", "pos")).alias("spans"))
 
 
 def _cut(raw: bytes, spans) -> tuple[bytes, int, int]:
@@ -154,11 +167,11 @@ def dedup_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     place, are left alike. A null key sorts before all others."""
     docs = docs.drop("removed_sentences", "removed_chars")
     cols = docs.columns
-    marks = repeated_spans(docs, key, text)
-    of_text, found = free(cols, "_same", "_spans")
-    docs = docs.withColumn(of_text, F.xxhash64(text))
-    joined = docs.join(marks, docs[key].eqNullSafe(marks["key"]) & (docs[of_text] == marks["same"]), "left").select(
-        *[docs[c] for c in cols], marks["spans"].alias(found))
+    names = _names(docs, key, text)
+    marks = repeated_spans(docs, key, text, names)
+    found, = free(cols, "_spans")
+    on = [c.eqNullSafe(marks[k]) for k, c in {**names, "key": docs[key]}.items()]
+    joined = docs.join(marks, reduce(and_, on), "left").select(*[docs[c] for c in cols], marks["spans"].alias(found))
     at = cols.index(text)
 
     def run(batches):
@@ -173,7 +186,7 @@ def dedup_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                     + [pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64())],
                     names=[*cols, "removed_sentences", "removed_chars"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != of_text)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return joined.mapInArrow(run, f"{schema}, removed_sentences long, removed_chars long")
 
 
