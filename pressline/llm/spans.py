@@ -37,38 +37,51 @@ _CLAUSE = re.compile(rb"[^,;]*(?:[,;]+|\Z)")
 _WORD = re.compile(rb"[ \t\r\x0b\x0c]*[^ \t\r\x0b\x0c]+[ \t\r\x0b\x0c]*")
 
 
-def sentences(raw: bytes) -> list[bytes]:
-    """Pieces that give ``raw`` when joined. A sentence ends behind . ! or ?
-    that white space follows, or behind a line feed; a long one is cut on by
-    rules that look at its own words only, so that copies are cut alike."""
-    out, open_ = [], b""
+def pieces(raw: bytes) -> tuple[list[bytes], list[int]]:
+    """Pieces that give ``raw`` when joined, with their words. A sentence ends
+    behind . ! or ? that white space follows, or behind a line feed; a long one
+    is cut on by rules that look at its own words only, so that copies are cut
+    alike."""
+    out, sizes, open_ = [], [], b""
     for m in _SENTENCE.finditer(raw):
-        s = open_ + m.group()
+        s = open_ + m.group() if open_ else m.group()
         if not s:
             continue
         if s[-1:] in b".!?" and m.end() < len(raw) and raw[m.end():m.end() + 1] != b"\n":
             open_ = s  # a full stop inside a word or number
             continue
         open_ = b""
-        if len(s.split()) <= LONG_SENTENCE:
+        n = len(s.split())
+        if n <= LONG_SENTENCE:
             out.append(s)
+            sizes.append(n)
             continue
         for c in _CLAUSE.findall(s):
-            if len(c.split()) <= LONG_SENTENCE:
+            n = len(c.split())
+            if n <= LONG_SENTENCE:
                 if c:
                     out.append(c)
+                    sizes.append(n)
                 continue
-            part = b""
+            part, n = b"", 0
             for w in _WORD.findall(c):
                 part += w
+                n += 1
                 if xxhash.xxh32_intdigest(w.strip().lower()) % CUT == 0:
                     out.append(part)
-                    part = b""
+                    sizes.append(n)
+                    part, n = b"", 0
             if part or not c.strip():
                 out.append(part or c)
+                sizes.append(n)
     if open_:
         out.append(open_)
-    return out
+        sizes.append(len(open_.split()))
+    return out, sizes
+
+
+def sentences(raw: bytes) -> list[bytes]:
+    return pieces(raw)[0]
 
 
 def runs(raw: bytes) -> tuple[list[bytes], list[tuple[int, int, int]]]:
@@ -76,23 +89,30 @@ def runs(raw: bytes) -> tuple[list[bytes], list[tuple[int, int, int]]]:
     at every sentence with a word and takes the fewest sentences that reach
     RUN and MIN_WORDS, or two if they reach ENOUGH; from the end of a text or
     passage the same is done backwards, so that its last sentences belong to a
-    run too."""
-    parts = sentences(raw)
-    norm = [b" ".join(p.lower().split()) for p in parts]
-    real = [i for i, p in enumerate(norm) if p]
-    size = np.cumsum([0, *(norm[i].count(b" ") + 1 for i in real)])
-    m, found = len(real), set()
-    if m >= 2:
-        at = np.arange(m)
-        end = np.maximum(np.searchsorted(size, size[:-1] + MIN_WORDS, "left"), at + RUN)
-        begin = np.minimum(np.searchsorted(size, size[1:] - MIN_WORDS, "right") - 1, at + 1 - RUN)
-        two = np.flatnonzero(size[2:] - size[:-2] >= ENOUGH)
-        end[two] = two + 2
-        begin[two + 1] = two
-        found = set(zip(at.tolist(), end.tolist(), strict=True)) | set(zip(begin.tolist(), (at + 1).tolist(), strict=True))
-    words = [norm[i] for i in real]
-    return parts, [(real[a], real[b - 1] + 1, xxhash.xxh3_64_intdigest(b" ".join(words[a:b])) - (1 << 63))
-                   for a, b in sorted(found) if 0 <= a and b <= m]
+    run too. The hash is that of the run's words, lower-cased, a space apart."""
+    parts, sizes = pieces(raw)
+    real = [i for i, n in enumerate(sizes) if n]
+    size = np.cumsum([0, *(sizes[i] for i in real)])
+    m = len(real)
+    if m < 2:
+        return parts, []
+    at = np.arange(m)
+    end = np.maximum(np.searchsorted(size, size[:-1] + MIN_WORDS, "left"), at + RUN)
+    begin = np.maximum(np.minimum(np.searchsorted(size, size[1:] - MIN_WORDS, "right") - 1, at + 1 - RUN), -1)
+    two = np.flatnonzero(size[2:] - size[:-2] >= ENOUGH)
+    end[two] = two + 2
+    begin[two + 1] = two
+    both = np.concatenate([at[end <= m] * (m + 1) + end[end <= m], begin[begin >= 0] * (m + 1) + (at + 1)[begin >= 0]])
+    first, last = np.divmod(np.unique(both), m + 1)
+    line = b" ".join(raw.lower().split())
+    blank = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+    if len(blank) + 1 != size[-1]:  # a cut inside a word makes two of it
+        line = b" ".join(b" ".join(parts[i].lower().split()) for i in real)
+        blank = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+    start, stop = np.append(0, blank + 1), np.append(blank, len(line))
+    digest, low = xxhash.xxh3_64_intdigest, 1 << 63
+    return parts, [(real[a], real[b - 1] + 1, digest(line[s:e]) - low) for a, b, s, e in zip(
+        first.tolist(), last.tolist(), start[size[first]].tolist(), stop[size[last] - 1].tolist(), strict=True)]
 
 
 def _texts(col: pa.Array) -> list[bytes]:
@@ -143,13 +163,11 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", nam
 
 def _cut(raw: bytes, spans) -> tuple[bytes, int, int]:
     """The text without the marked runs, the sentences and characters removed."""
-    parts, have = runs(raw)
-    marked = {(s["h"], s["pos"]) for s in spans}
+    parts = sentences(raw)
     gone = np.zeros(len(parts) + 1, np.int64)
-    for a, e, h in have:
-        if (h, a << 32 | e) in marked:
-            gone[a] += 1
-            gone[e] -= 1
+    for s in spans:
+        gone[s["pos"] >> 32] += 1
+        gone[s["pos"] & 0xFFFFFFFF] -= 1
     out = np.cumsum(gone[:-1]) > 0
     left = b"".join(p for p, g in zip(parts, out, strict=True) if not g)
     lost = b"".join(p for p, g in zip(parts, out, strict=True) if g)
