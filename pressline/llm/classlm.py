@@ -35,6 +35,8 @@ HEAD = 1 << 18
 SWEEPS = 8
 #: neighbours gathered by a task before they are counted
 GATHER = 1 << 21
+#: words, and cells of the table of units, whose counts travel together
+PART_WORDS, TABLE_CELLS = 1 << 12, 1 << 17
 PRIOR = 10.0
 
 
@@ -84,32 +86,34 @@ def frequent_words(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Units:
-    """Unit numbers of words: frequent ones, endings, the end of a text, and the
-    classes of the other ``words`` (sorted hashes)."""
-
-    def __init__(self, frequent: np.ndarray, words: np.ndarray | None = None, classes: np.ndarray | None = None):
-        self.frequent = np.sort(frequent)
-        self.words = np.zeros(0, np.int64) if words is None else words
-        self.classes = np.zeros(0, np.uint8) if classes is None else classes
+    """Numbers of words. A word's code is its place among the ``frequent`` ones,
+    FREQUENT + its ending, or ``end`` + its place among the other ``words`` with
+    a class (sorted hashes). Its unit is the code of a frequent word or ending,
+    and ``end`` + 1 + class of the others; ``end`` is the end of a text. Without
+    ``classes`` the other words have their endings' units."""
+
+    def __init__(self, frequent: np.ndarray, words: np.ndarray, endings: np.ndarray, classes: np.ndarray | None = None):
+        self.frequent, self.words, self.endings, self.classes = np.sort(frequent), words, endings.astype(np.int16), classes
         self.end = FREQUENT + ENDINGS
         self.n = self.end + 1 + CLASSES
 
-    def place(self, h: np.ndarray) -> np.ndarray:
-        """The place among the words, -1 for none."""
+    def with_classes(self, classes: np.ndarray) -> Units:
+        return Units(self.frequent, self.words, self.endings, classes)
+
+    def codes(self, h: np.ndarray, ending: np.ndarray) -> np.ndarray:
+        code = FREQUENT + ending
+        for known, first in ((self.words, self.end), (self.frequent, 0)):
+            if len(known):
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                code = np.where(known[at] == h, first + at, code)
+        return code
+
+    def of(self, code: np.ndarray) -> np.ndarray:
+        own = code >= self.end
+        place = np.where(own, code - self.end, 0)
         if not len(self.words):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return np.where(self.words[at] == h, at, -1)
-
-    def of(self, h: np.ndarray, ending: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
-        u = self.end - ENDINGS + ending
-        if len(self.words):
-            place = self.place(h) if place is None else place
-            u = np.where(place >= 0, self.end + 1 + self.classes[place].astype(np.int64), u)
-        if len(self.frequent):
-            at = np.minimum(np.searchsorted(self.frequent, h), len(self.frequent) - 1)
-            u = np.where(self.frequent[at] == h, at, u)
-        return u
+            return code
+        return np.where(own, FREQUENT + self.endings[place] if self.classes is None else self.end + 1 + self.classes[place].astype(np.int64), code)
 
     def sequence(self, u: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All tokens with an end behind each text, and the token's place of each end."""
@@ -122,24 +126,49 @@ class Units:
         return out, ends
 
 
-def unit_bigrams(docs: DataFrame, units: Units, text: str = "text", classes: np.ndarray | None = None) -> DataFrame:
-    """(word, cell, n): with word -1, pairs of neighbouring units as before *
-    units + unit, an end before each text; pre-aggregated per task in a table of
-    fixed size. With ``classes`` of the units, for each word's place also how
-    often a class stands before it (cell = class) and behind (CLASSES + class)."""
-    shared = docs.sparkSession.sparkContext.broadcast((units, classes))
+def encoded(docs: DataFrame, units: Units, text: str = "text") -> DataFrame:
+    """(codes): every text as the codes of its words, written."""
+    shared = docs.sparkSession.sparkContext.broadcast(units)
+
+    def run(batches):
+        for _, _, _, (h, ending, first) in _chunks(batches, 0):
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(
+                pa.array(first.astype(np.int32)), pa.array(shared.value.codes(h, ending).astype(np.int32)))], names=["codes"])
+
+    return cut(docs.select(text).mapInArrow(run, "codes array<int>"), "codes")
+
+
+def _blocks(key: np.ndarray, n: np.ndarray, size: int, name) -> pa.RecordBatch:
+    """Sorted keys with their counts as rows of ``size`` keys' room each."""
+    part = key // size
+    cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(key) else np.zeros(0, int)
+    ends = np.append(cuts[1:], len(key))
+    return pa.RecordBatch.from_arrays([
+        pa.array([name(int(part[a])) for a in cuts], pa.int64()),
+        pa.array([(key[a:b] - part[a] * size).astype(np.int32).tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()),
+        pa.array([n[a:b].astype(np.int64).tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())], names=["part", "cell", "n"])
 
-    def counted(keys):
+
+def unit_counts(codes: DataFrame, units: Units, classes: np.ndarray | None = None) -> DataFrame:
+    """Counts over all texts as rows (part, cell int32s, n int64s), one per part.
+
+    Parts -1, -2, ... hold the pairs of neighbouring units, before * units +
+    unit, an end before each text, TABLE_CELLS cells a part. With ``classes`` of
+    the units, part p holds for the words from p * PART_WORDS on how often a
+    class stands before (cell = word * 2 CLASSES + class) and behind (+ CLASSES)
+    each. A task adds up its own counts first."""
+    shared = codes.sparkSession.sparkContext.broadcast((units, classes))
+
+    def neighbours(keys):
         key, n = np.unique(np.concatenate(keys), return_counts=True)
-        for k in range(0, len(key), 100_000):
-            word, cell = np.divmod(key[k:k + 100_000], 2 * CLASSES)
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(cell), pa.array(n[k:k + 100_000])], names=["word", "cell", "n"])
+        return _blocks(key, n, PART_WORDS * 2 * CLASSES, lambda p: p)
 
     def run(batches):
         (u, g), total, keys = shared.value, None, []
-        for _, _, _, (h, ending, first) in _chunks(batches, 0):
-            place = u.place(h)
-            seq, ends = u.sequence(u.of(h, ending, place), first)
+        for b in batches:
+            col = b.column(0)
+            code = col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            seq, ends = u.sequence(u.of(code), np.append(0, np.cumsum(col.value_lengths().to_numpy(zero_copy_only=False))))
             if not len(seq):
                 continue
             # the token before a text's first is the end of the one above
@@ -148,45 +177,62 @@ def unit_bigrams(docs: DataFrame, units: Units, text: str = "text", classes: np.
             if g is not None:
                 inner = np.ones(len(seq), bool)
                 inner[ends] = False
-                at = np.flatnonzero(inner)[place >= 0]
-                c, place = g[seq], place[place >= 0]
-                keys += [place * (2 * CLASSES) + np.append(g[u.end], c[:-1])[at], place * (2 * CLASSES) + CLASSES + c[at + 1]]
+                own = code >= u.end
+                at, place = np.flatnonzero(inner)[own], (code[own] - u.end) * (2 * CLASSES)
+                c = g[seq]
+                keys += [place + np.append(g[u.end], c[:-1])[at], place + CLASSES + c[at + 1]]
                 if sum(map(len, keys)) > GATHER:
-                    yield from counted(keys)
+                    yield neighbours(keys)
                     keys = []
         if keys:
-            yield from counted(keys)
+            yield neighbours(keys)
         if total is not None:
             cell = np.flatnonzero(total)
-            for k in range(0, len(cell), 100_000):
-                part = cell[k:k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), -1)), pa.array(part), pa.array(total[part])], names=["word", "cell", "n"])
+            yield _blocks(cell, total[cell], TABLE_CELLS, lambda p: -1 - p)
 
-    return docs.select(text).mapInArrow(run, "word long, cell long, n long").groupBy("word", "cell").agg(F.sum("n").alias("n"))
+    def add(batches):
+        part, total = None, None
+        for b in batches:
+            for p, cell, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                if p != part:
+                    if part is not None:
+                        yield whole(part, total)
+                    part, total = p, np.zeros(TABLE_CELLS if p < 0 else PART_WORDS * 2 * CLASSES, np.int64)
+                total[np.frombuffer(cell.as_buffer(), np.int32)] += np.frombuffer(n.as_buffer(), np.int64)
+        if part is not None:
+            yield whole(part, total)
+
+    def whole(part, total):
+        at = np.flatnonzero(total)
+        return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([at.astype(np.int32).tobytes()], pa.binary()),
+                                           pa.array([total[at].tobytes()], pa.binary())], names=["part", "cell", "n"])
 
+    schema = "part long, cell binary, n binary"
+    return codes.mapInArrow(run, schema).repartition("part").sortWithinPartitions("part").mapInArrow(add, schema)
 
-def _table(cells: DataFrame, units: Units) -> np.ndarray:
-    got = cells.where("word = -1").select("cell", "n").toArrow()
-    out = np.zeros(units.n * units.n)
-    out[got.column("cell").to_numpy()] = got.column("n").to_numpy()
-    return out.reshape(units.n, units.n)
 
+def _table(counts: DataFrame, units: Units) -> np.ndarray:
+    out = np.zeros(-(-units.n * units.n // TABLE_CELLS) * TABLE_CELLS)
+    for part, cell, n in counts.where("part < 0").collect():
+        out[(-1 - part) * TABLE_CELLS + np.frombuffer(cell, np.int32)] = np.frombuffer(n, np.int64)
+    return out[:units.n * units.n].reshape(units.n, units.n)
 
-def best_classes(cells: DataFrame, old: np.ndarray, both: np.ndarray) -> np.ndarray:
+
+def best_classes(counts: DataFrame, old: np.ndarray, both: np.ndarray) -> np.ndarray:
     """The class of every word that suits its neighbours' classes best under
     the class bigrams ``both``, less the word's own share in its old class."""
-    shared = cells.sparkSession.sparkContext.broadcast((old, both))
+    shared = counts.sparkSession.sparkContext.broadcast((old, both))
 
     def run(batches):
         g, n = shared.value
         out, into = n.sum(1), n.sum(0)
         fit = np.log(n + 0.5) - np.log(out + 0.5)[:, None] - np.log(into + 0.5)
         for b in batches:
-            for k in range(0, b.num_rows, 1 << 13):
-                part = b.slice(k, 1 << 13)
-                word, many = part.column(0).to_numpy(), np.diff(part.column(1).offsets.to_numpy())
-                near = np.zeros((len(word), 2 * CLASSES))
-                near[np.repeat(np.arange(len(word)), many), part.column(1).flatten().to_numpy()] = part.column(2).flatten().to_numpy()
+            for p, cell, many in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                near = np.zeros((PART_WORDS, 2 * CLASSES))
+                near.reshape(-1)[np.frombuffer(cell.as_buffer(), np.int32)] = np.frombuffer(many.as_buffer(), np.int64)
+                real = np.flatnonzero(near.any(1))
+                word, near = p * PART_WORDS + real, near[real]
                 c, r = near[:, :CLASSES], near[:, CLASSES:]
                 was, size = g[word].astype(np.int64), r.sum(1)
                 gain = r @ fit.T + c @ fit
@@ -196,8 +242,7 @@ def best_classes(cells: DataFrame, old: np.ndarray, both: np.ndarray) -> np.ndar
                     - size * (less(out[was], size) + less(into[was], size)))
                 yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(gain.argmax(1).astype(np.int16))], names=["word", "class"])
 
-    near = cells.where("word >= 0").groupBy("word").agg(F.collect_list(F.struct("cell", "n")).alias("near"))
-    got = near.select("word", "near.cell", "near.n").mapInArrow(run, "word long, class short").toArrow()
+    got = counts.where("part >= 0").mapInArrow(run, "word long, class short").toArrow()
     new = old.copy()
     new[got.column("word").to_numpy()] = got.column("class").to_numpy()
     return new
@@ -270,29 +315,26 @@ def likelihood(both: np.ndarray) -> float:
     return float(_f(both).sum() - _f(both.sum(0)).sum() - _f(both.sum(1)).sum())
 
 
-def clusters(docs: DataFrame, frequent: np.ndarray, words: np.ndarray, ending: np.ndarray,
-             text: str = "text") -> tuple[Units, np.ndarray, np.ndarray]:
+def clusters(codes: DataFrame, units: Units) -> tuple[Units, np.ndarray, np.ndarray]:
     """The units, their classes and bigrams under the likeliest classes found;
-    ``words`` are the sorted hashes of the other words with a class."""
-    seed = Units(frequent)
-    g = exchange(_table(unit_bigrams(docs, seed, text), seed), fixed=CLASSES)
+    ``units`` have no classes of the other words yet."""
+    seed, words = units, units.words
+    g = exchange(_table(unit_counts(codes, seed), seed), fixed=CLASSES)
     g[seed.end + 1:] = np.arange(CLASSES)
     # every second word is dealt out by its hash, so that words of one ending can part
     deal = mix(words.view(np.uint64))
-    start = np.where(deal >> np.uint64(63), (deal % np.uint64(CLASSES)).astype(np.int64), g[FREQUENT + ending])
-    units, best = Units(frequent, words, start.astype(np.uint8)), None
+    start = np.where(deal >> np.uint64(63), (deal % np.uint64(CLASSES)).astype(np.int64), g[FREQUENT + units.endings.astype(np.int64)])
+    units, best = seed.with_classes(start.astype(np.uint8)), None
     for k in range(ROUNDS + 1 if len(words) else 1):
         more = k < ROUNDS and len(words) > 0
-        cells = unit_bigrams(docs, units, text, g if more else None)
-        if more:
-            cells = cut(cells, f"class-cells-{k}")
-        bigrams = _table(cells, units)
+        counts = cut(unit_counts(codes, units, g if more else None), f"class-counts-{k}")
+        bigrams = _table(counts, units)
         hot = np.eye(CLASSES)[g]
         both = hot.T @ bigrams @ hot
         if best is None or likelihood(both) > best[0]:
             best = likelihood(both), units, g, bigrams
         if more:
-            units = Units(frequent, words, best_classes(cells, units.classes, both))
+            units = units.with_classes(best_classes(counts, units.classes, both))
             g = exchange(bigrams, start=g, fixed=CLASSES)
     return best[1:]
 
@@ -340,7 +382,8 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     own = others.where(F.col("n") >= LEAST).select("h", F.col("ending").cast("short").alias("ending")).toArrow()
     own_h, own_ending = own.column("h").to_numpy(), own.column("ending").to_numpy()
     order = np.argsort(own_h)
-    units, classes, bigrams = clusters(learn, frequent, own_h[order], own_ending[order].astype(np.int64), text)
+    plain = Units(frequent, own_h[order], own_ending[order])
+    units, classes, bigrams = clusters(encoded(learn, plain, text), plain)
     # distinct words per unit: one per frequent word, the others by class or ending
     kinds = np.zeros(units.n)
     kinds[:len(units.frequent)] = 1
@@ -354,7 +397,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     def run(batches):
         m, row = model.value, TaskContext.get().partitionId() << 33
         for b, i, j, (h, ending, first) in _chunks(batches, 2):
-            seq, ends = m.units.sequence(m.units.of(h, ending), first)
+            seq, ends = m.units.sequence(m.units.of(m.units.codes(h, ending)), first)
             c = m.classes[seq]
             begin = np.append(0, ends + 1)
             lm = per_text(m.step[np.append(m.classes[m.units.end], c[:-1]), c] - m.share[c], begin)
