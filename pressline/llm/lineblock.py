@@ -36,6 +36,9 @@ _HINTS = set("""ad ads advert adverts advertisement advertising sponsor sponsore
  site-header page-header top-bar tool-bar site-footer page-footer site-nav site-navigation main-nav main-navigation main-menu nav-bar nav-menu nav-links
  post-navigation side-bar comments-area comment-list comment-form related-posts related-articles related-stories share-buttons social-links social-media
  cookie-banner cookie-notice cookie-consent newsletter-signup ad-container ad-banner ad-slot""".split())
+#: hints that hold for nothing beside a name of the text itself
+_WEAK = {"widget", "widgets"}
+_TEXT = {"article", "content", "entry", "main", "post", "story"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "alertdialog"}
 _BODY = {"html", "body", "article", "main"}
 _CLOSE = {"script": re.compile(r"</script[^>]*>", re.I), "style": re.compile(r"</style[^>]*>", re.I)}
@@ -59,7 +62,8 @@ def _boilerplate(name: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
             named = True
         if key in ("class", "id"):
             names = set(value.replace("_", "-").split())
-            if names & _HINTS or "header" in names and not in_article and not names & {"article", "post", "entry"}:
+            hints = names & _HINTS
+            if hints and not (hints <= _WEAK and names & _TEXT) or "header" in names and not in_article and not names & {"article", "post", "entry"}:
                 named = True
     return False, named
 
@@ -134,9 +138,10 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
     return [("", 0, a) if gone[k] else (t, p, a) for t, p, a, k in lines]
 
 
-def _surges(weight: list[int], part: list[bool]) -> list[list[int]]:
-    """The lines with text from each surge to its dive; no window and no text
-    goes on where ``part`` changes."""
+def _surges(weight: list[int], part: list[bool], size: list[int]) -> list[list[int]]:
+    """The lines from each surge to its dive that weigh, and lines of links that
+    stand alone between two such lines; no window and no text goes on where
+    ``part`` changes."""
     n = len(weight)
     stop = [n] * (n + 1)
     for i in range(n - 2, -1, -1):
@@ -150,7 +155,7 @@ def _surges(weight: list[int], part: list[bool]) -> list[list[int]]:
             continue
         end, run = stop[i], []
         while i < end and block[i]:  # from the surge to the dive
-            if weight[i]:
+            if weight[i] or size[i] and run and run[-1] == i - 1 and i + 1 < end and weight[i - 1] and weight[i + 1]:
                 run.append(i)
             i += 1
         out.append(run)
@@ -161,7 +166,8 @@ def main_text(html: str) -> str:
     """The blocks between surge and dive, joined by a line feed.
 
     A line weighs as many characters as it has outside links; a line that is
-    mostly links weighs nothing. The surge is SURGE characters in WINDOW lines,
+    mostly links weighs nothing, and stays only if it stands alone between two
+    that weigh. The surge is SURGE characters in WINDOW lines,
     or half the page's largest window if that is less; the dive is WINDOW lines
     without text. In an article or main all characters count, MARK times. If
     what surges there is at least as long as the largest text outside, it is
@@ -172,11 +178,11 @@ def main_text(html: str) -> str:
     inside = [a for _, _, a in lines]
     if any(a and s for a, s in zip(inside, size, strict=True)):
         more = [MARK * s if a else w for s, w, a in zip(size, weight, inside, strict=True)]
-        runs = _surges(more, inside)
+        runs = _surges(more, inside, size)
         marked = [r for r in runs if inside[r[0]]]
         if sum(size[i] for r in marked for i in r) >= max((sum(more[i] for i in r) for r in runs if not inside[r[0]]), default=0):
             return "\n".join(lines[i][0] for r in marked for i in r)
-    return "\n".join(lines[i][0] for r in _surges(weight, [False] * len(lines)) for i in r)
+    return "\n".join(lines[i][0] for r in _surges(weight, [False] * len(lines), size) for i in r)
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
