@@ -27,6 +27,8 @@ DEGREE, ENTRIES = 16, 8
 SHELVES = 32
 #: entries and queries of a shelf that one task holds, about
 BLOCK = 8192
+#: cosines of unit vectors that are nearer than this are told apart by the exact measure only
+TIE = 1e-9
 
 
 def _rows(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -211,14 +213,18 @@ def search(vectors: DataFrame, queries, k: int = 5, key: str = "vec_id", vector:
                 for r, w in enumerate(wanted[i:i + 256]):
                     reads[r, [number[v] for v in w if v in number]] = 1
                 near = np.where(reads @ holds.T > 0, unit(q[i:i + 256]) @ xu.T, -np.inf)
-                n = min(most + 2, len(x))
-                best = np.argpartition(-near, n - 1, 1)[:, :n]
-                row = np.repeat(np.arange(len(near)), n)
-                best = best.ravel()
-                read = np.isfinite(near[row, best])
-                rows.append(row[read] + i)
-                cands.append(best[read])
-                scores.append(_cosine(q[rows[-1]], x[cands[-1]]))
+                n = min(most, len(x))
+                # all that may be among the best: rounding moves a product by far less than TIE
+                least = -np.partition(-near, n - 1, 1)[:, n - 1] - TIE
+                row, col = np.nonzero((near >= least[:, None]) & np.isfinite(near))
+                score = np.concatenate([np.zeros(0), *(_cosine(q[row[j:j + BLOCK] + i], x[col[j:j + BLOCK]]) for j in range(0, len(row), BLOCK))])
+                order = np.lexsort((raw[one][col], -score, row))
+                row, col, score = row[order], col[order], score[order]
+                first = np.searchsorted(row, row)
+                best = np.arange(len(row)) - first < most
+                rows.append(row[best] + i)
+                cands.append(col[best])
+                scores.append(score[best])
         if not rows:
             return pa.table({"query": qids.slice(0, 0), "rep": ids.slice(0, 0), "score": pa.array([], pa.float64())})
         return pa.table({"query": qids.take(pa.array(np.concatenate(rows))), "rep": ids.take(pa.array(one[np.concatenate(cands)])),
