@@ -82,15 +82,16 @@ class Filters:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Filters:
     """Filters from ``docs``, which are labelled texts to learn from.
 
-    About TEXTS_PER_LANGUAGE texts of each language are read, chosen by a hash
-    of the text. An n-gram belongs to a language if it occurs LEAST_COUNT
+    About TEXTS_PER_LANGUAGE rows of each language are read, chosen by a hash of
+    the text and the row's place, so that reruns over the same files agree. An n-gram belongs to a language if it occurs LEAST_COUNT
     times there and at LEAST_SHARE of the highest rate that any language has;
     of those the GRAMS_PER_LANGUAGE most frequent are kept, so what comes to
     the driver is bounded by the number of languages."""
     docs = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
     sizes = docs.groupBy("lang").count().collect()  # a row per language
     size = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, r["count"])])[F.col("lang")] if sizes else F.lit(0)
-    dice = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # by text and place, so that copies of one text are drawn one by one
+    dice = F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = docs.where(dice * size < TEXTS_PER_LANGUAGE)
 
     def run(batches):
