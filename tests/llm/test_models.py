@@ -216,3 +216,95 @@ def test_posting_lists_odd_rows(spark, monkeypatch):
     few = postings.search(df.where("vec_id in (0, 1, 2)"), F.col("id") == 0).collect()
     assert sorted(r.rank for r in few) == [1, 2]
     assert postings.search(df.limit(0), F.col("id") == 0).count() == 0
+
+
+def test_class_score_equals_brute_force(spark):
+    """The score from the classes found, by plain counting; and the model's
+    probabilities of all tokens add up to one behind every class."""
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").where("doc_id < 60")
+    texts = [r.text for r in docs.orderBy("doc_id").collect()]
+    fold = lambda t: [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in WORD.findall(t)]
+    seen = Counter(w for t in texts for w in fold(t))
+    raw = {w: classlm.tokens(*_laid([w])) for w in seen}
+    h = {w: int(raw[w][0][0]) for w in seen}
+    counts = sorted(seen.items(), key=lambda x: (-x[1], h[x[0]]))
+    frequent = np.array([h[w] for w, _ in counts[:classlm.FREQUENT]])
+    own = sorted(h[w] for w, n in counts[classlm.FREQUENT:] if n >= classlm.LEAST)
+    ending = {h[w]: int(raw[w][1][0]) for w in seen}
+    plain = classlm.Units(frequent, np.array(own, np.int64), np.array([ending[x] for x in own]))
+    units, classes, bigrams = classlm.clusters(classlm.encoded(docs.select("text"), plain), plain)
+    unit = {w: int(units.of(units.codes(np.array([h[w]]), np.array([ending[h[w]]])))[0]) for w in seen}
+    k, end = classlm.CLASSES, units.end
+    step, share, inside = np.zeros((k, k)), np.zeros(k), np.zeros(k)
+    for t in texts:
+        prev = classes[end]
+        for u in [unit[w] for w in fold(t)] + [end]:
+            step[prev, classes[u]] += 1
+            prev = classes[u]
+    for w, n in seen.items():
+        share[classes[unit[w]]] += n
+        inside[classes[unit[w]]] += 1
+    share[classes[end]] += len(texts)
+    inside[classes[end]] += 1
+    prior = (step.sum(0) + 1) / (step.sum() + k)
+    trans = (step + classlm.PRIOR * prior) / (step.sum(1, keepdims=True) + classlm.PRIOR)
+    emit = lambda n, c: (n + 0.5) / (share[c] + 0.5 * (inside[c] + 1))
+    got = {r.doc_id: r.score for r in classlm.score(docs, F.lit(True)).collect()}
+    for i, t in enumerate(texts):
+        prev, want = classes[end], 0.0
+        for u, n in [(unit[w], seen[w]) for w in fold(t)] + [(end, len(texts))]:
+            want += math.log10(trans[prev, classes[u]] * emit(n, classes[u]))
+            prev = classes[u]
+        assert math.isclose(got[i], want, rel_tol=1e-9, abs_tol=1e-6), i
+    for prev in range(k):  # all words, one unseen word per class, the end
+        whole = sum(trans[prev, classes[unit[w]]] * emit(n, classes[unit[w]]) for w, n in seen.items())
+        whole += trans[prev, classes[end]] * emit(len(texts), classes[end]) + sum(trans[prev, c] * emit(0, c) for c in range(k))
+        assert math.isclose(whole, 1.0, rel_tol=1e-9)
+
+
+def _laid(texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(x) for x in raw]))
+
+
+def test_page_windows_equal_brute_force():
+    """Surge and dive on pages without an article, window by window."""
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        n = int(rng.integers(1, 25))
+        weight = [int(w) for w in rng.choice([0, 0, 0, 5, 30, 90, 200], n)]
+        html = "".join(f"<p>{'x' * w}</p>" if w else rng.choice(["<nav>menu</nav>", f"<p><a href=q>{'l' * 9}</a></p>"]) for w in weight)
+        lines = lineblock.lines_of(html)
+        size = [len(t) for t, _, _ in lines]
+        assert [s if 2 * p > s else 0 for s, (_, p, _) in zip(size, lines, strict=True)] == weight
+        block = [sum(weight[i:i + 3]) for i in range(n)]
+        limit, want, on = min(80, max(block) / 2), [], False
+        for i in range(n):
+            on = block[i] > 0 and (on or weight[i] > 0 and block[i] > limit)
+            alone = 0 < i < n - 1 and weight[i - 1] and weight[i + 1] and want and want[-1] == i - 1
+            if on and (weight[i] or size[i] and alone):
+                want.append(i)
+        assert lineblock.main_text(html) == "\n".join(lines[i][0] for i in want), html
+
+
+def test_page_links_and_wrappers():
+    long = "A long paragraph of the text with many words, so that its window surges over any limit. " * 3
+    assert "see this" in lineblock.main_text(f"<div><p>{long}</p><p><a href=x>see this</a></p><p>{long}</p></div>")
+    menu = "<ul><li><a href=x>one</a></li><li><a href=y>two</a></li></ul>"
+    assert "two" not in lineblock.main_text(f"<div><p>{long}</p>{menu}<p>{long}</p></div>")
+    side = "<p>Some other text of the page that stands outside, at some length.</p>" * 6
+    assert long.split(",")[0] in lineblock.main_text(f"<div class='content widget'><p>{long}</p></div><div>{side}</div>")
+    # without an article the tags alone would keep every line that is no boilerplate
+    assert lineblock.main_text(f"<p>Date line</p>{'<nav>a menu</nav>' * 4}<p>{long}</p>{'<nav>a menu</nav>' * 4}<p>Imprint</p>") == long.strip()
+
+
+def test_posting_ties_go_to_the_smaller_id(spark):
+    """Scaled copies of one vector have one cosine: of 60 the least ids count."""
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=16)
+    ids = rng.permutation(np.arange(1, 61)).tolist()
+    rows = [(0, base.tolist())] + [(i, (base * 2.0 ** int(rng.integers(-6, 7))).tolist()) for i in ids]
+    rows += [(1000 + i, rng.normal(size=16).tolist()) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = postings.search(df, F.col("id") == 0).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [1, 2, 3, 4, 5]

@@ -33,11 +33,40 @@ def _rules(text):
             len(w) < 20 or 100 * len(hit) > 30 * len(w))
 
 
+def _shares(text):
+    """Characters in one short n-gram, in later repeats of long ones, in repeated
+    lines; whether all limits hold."""
+    w = WORD.findall(text or "")
+    total, top, dup, ok = max(1, sum(map(len, w))), 0.0, 0.0, True
+    for n, limit in repetition.TOP_LIMITS.items():
+        times = Counter(tuple(w[i:i + n]) for i in range(len(w) - n + 1))
+        share = max((k * sum(map(len, g)) for g, k in times.items() if k > 1), default=0) / total
+        top, ok = max(top, share), ok and share <= limit
+    for n, limit in repetition.NGRAM_LIMITS.items():
+        seen, hit = set(), set()
+        for i in range(len(w) - n + 1):
+            if (g := tuple(w[i:i + n])) in seen:
+                hit.update(range(i, i + n))
+            seen.add(g)
+        share = sum(len(w[i]) for i in hit) / total
+        dup, ok = max(dup, share), ok and share <= limit
+    lines, seen, again = [x for x in (text or "").split("\n") if WORD.search(x)], set(), []
+    for x in lines:
+        again += [x] if x in seen else []
+        seen.add(x)
+    share = sum(len(v) for x in again for v in WORD.findall(x)) / total
+    return share, dup, top, ok and share <= repetition.LINE_LIMIT and len(again) <= repetition.LINE_COUNT_LIMIT * len(lines)
+
+
 def test_repetition_equals_brute_force(spark, odd, none):
     for docs in (_docs(spark), odd):
-        want = Counter((r.doc_id, *_rules(r.text)) for r in docs.collect())
+        rows = docs.collect()
+        want = Counter((r.doc_id, *_rules(r.text)) for r in rows)
         got = repetition.quality_rules(docs).collect()
         assert Counter(tuple(r)[:7] for r in got) == want
+        exp = sorted((r.doc_id or -1, _rules(r.text)[1], not _rules(r.text)[5] and s[3], *s[:3]) for r in rows for s in [_shares(r.text)])
+        have = sorted((r.doc_id or -1, r.word_chars, r.kept, r.dup_line_share, r.dup_ngram_share, r.top_ngram_share) for r in got)
+        assert [e[:3] for e in exp] == [h[:3] for h in have] and np.allclose([e[3:] for e in exp], [h[3:] for h in have])
         assert all(not (r.kept and r.base_failed) for r in got)
     assert repetition.quality_rules(none).count() == 0
     assert repetition.keep_quality(none).count() == 0
@@ -55,6 +84,16 @@ def test_repetition_verdict(spark):
     assert 0.15 < got[2].dup_ngram_share < 0.25 and got[3].kept
 
 
+def test_short_phrases_decide(spark):
+    """A phrase of three words, 93 of 154, between words that differ; lines without long n-grams."""
+    spam = " ".join(f"buy now cheap {'x' * (i % 3)}w{i} {'y' if i % 2 else ''}" for i in range(31))
+    lines = "\n".join(x for i in range(30) for x in (f"own line {i} of this text here", "go home"))
+    rows = [(1, spam), (2, lines), (3, " ".join(f"w{i} v{i % 7}" for i in range(200)))]
+    got = {r.doc_id: r for r in repetition.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not got[1].kept and not got[1].base_failed and got[1].dup_ngram_share == 0 and got[1].top_ngram_share > 0.5
+    assert not got[2].kept and not got[2].base_failed and got[3].kept
+
+
 def _fp(text):
     w = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     w = WORD.findall(w)
