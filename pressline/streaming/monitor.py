@@ -1,45 +1,119 @@
-"""Run monitor over a log stream (X3): per-run EMA with carried state.
+"""Run monitor over a log stream (X3): loss average, seconds per update, rate and
+ETA per update, with state carried per run.
 
-``applyInPandasWithState`` keyed by run: the state is (rows seen, last EMA),
-so each micro-batch only touches its own rows. Within a batch a run's rows
-are sorted by ``event_id`` and smoothed with a vectorised recursive mean
-seeded by the carried value. Rows of a run must arrive in order across
-micro-batches (files in ``event_id`` order).
+``transformWithState`` keyed by run. The typed state of a run is the next step
+and what the averages and the stage clock need; rows come frame by frame, so a
+task holds one frame of a run, however much of it a micro-batch brings. Rows
+that arrive before their step's turn wait in a map state on disk and follow as
+soon as the gap is closed. A live monitor has ``patience_ms``: if a gap stays
+open for so long, a timer gives what waits, in order, without the missing
+steps. Such a stream runs on, as its timers may fire at any time; without
+patience a stream over what is there (``availableNow``) ends by itself.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-OUT_SCHEMA = "run string, step long, event_id long, ema double"
-STATE_SCHEMA = "seen long, ema double"
+#: columns of the log: step counts up from 1 in a run, seconds is the row's time
+LOG_SCHEMA = "run string, step long, seconds double, loss double, stage string, stage_step long, stage_tokens long"
+OUT_SCHEMA = "run string, step long, ema double, avg_time double, elapsed_sec double, rate double, eta_sec long"
+_ROW = "seconds double, loss double, stage string, stage_step long, stage_tokens long"
+_STATE = "next long, ema double, avg_time double, last double, stage string, stage_start double"
+_COLUMNS = ["step", "seconds", "loss", "stage", "stage_step", "stage_tokens"]
 
 
-def ema_monitor(log_stream: DataFrame, alpha: float = 0.1) -> DataFrame:
-    """Streaming EMA per run; ``log_stream`` has run, event_id, loss."""
+def averaged(values: np.ndarray, before: float | None, alpha: float) -> np.ndarray:
+    """``e = alpha v + (1 - alpha) e`` behind ``before``; the first value without one."""
+    s = pd.Series(values if before is None else np.append(before, values))
+    return s.ewm(alpha=alpha, adjust=False).mean().to_numpy()[0 if before is None else 1:]
 
-    def fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, prev = (state.get if state.exists else (0, None))
-        rows = pd.concat(list(pdfs)).sort_values("event_id")
-        vals = rows["loss"].astype("float64")
-        if prev is None:
-            sm = vals.ewm(alpha=alpha, adjust=False).mean()
-        else:
-            sm = pd.concat([pd.Series([prev]), vals], ignore_index=True).ewm(alpha=alpha, adjust=False).mean().iloc[1:]
-        sm = sm.to_numpy()
-        n = len(rows)
-        state.update((seen + n, float(sm[-1])))
-        yield pd.DataFrame({"run": key[0], "step": range(seen + 1, seen + n + 1),
-                            "event_id": rows["event_id"].to_numpy(), "ema": sm})
 
-    return (log_stream.groupBy("run")
-            .applyInPandasWithState(fn, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout))
+class RunMonitor(StatefulProcessor):
+    """``targets``: steps of the initial stage, tokens of the later ones."""
 
+    def __init__(self, targets: dict[str, int], alpha: float, patience_ms: int | None) -> None:
+        self.targets, self.alpha, self.patience_ms = targets, alpha, patience_ms
 
-def events_as_log(stream: DataFrame) -> DataFrame:
-    return stream.select(F.col("event_type").alias("run"), "event_id", F.col("value").alias("loss"))
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("run", _STATE)
+        self.waiting = handle.getMapState("waiting", "step long", _ROW)
+
+    def _follow(self, run: str, rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        """The status of rows in step order behind ``state``, and the state after them."""
+        _, ema, avg, last, stage, start = state if state is not None else (1, None, None, None, None, None)
+        at, stages = rows["seconds"].to_numpy(float), rows["stage"].to_numpy()
+        first_of_run = last is None
+        gaps = np.diff(at, prepend=at[0] if first_of_run else last)
+        loss, times = averaged(rows["loss"].to_numpy(float), ema, self.alpha), averaged(gaps, avg, self.alpha)
+        new = np.flatnonzero(np.append(stages[0] != stage, stages[1:] != stages[:-1]))
+        begin = np.full(len(at), np.nan if start is None else start)
+        for i, k in enumerate(new):  # a few stages a run
+            begin[k:new[i + 1] if i + 1 < len(new) else len(at)] = at[k]
+        elapsed = at - begin
+        initial = stages == "initial_stage"
+        done = np.where(initial, rows["stage_step"].to_numpy(float), rows["stage_tokens"].to_numpy(float))
+        goal = np.array([self.targets[s] for s in stages], float)
+        runs = (done > 0) & (elapsed > 0)
+        rate = np.divide(done, elapsed, out=np.full(len(at), np.nan), where=elapsed > 0)
+        eta = np.floor(np.maximum(np.divide(goal - done, rate, out=np.zeros(len(at)), where=runs), 0.0))
+        out = pd.DataFrame({"run": run, "step": rows["step"].to_numpy(), "ema": loss, "avg_time": times, "elapsed_sec": elapsed,
+                            "rate": pd.Series(rate).where(elapsed > 0, None).astype(object), "eta_sec": eta.astype(np.int64)})
+        return out, (int(rows["step"].iloc[-1]) + 1, float(loss[-1]), float(times[-1]), float(at[-1]), str(stages[-1]), float(begin[-1]))
+
+    def _released(self, step: int) -> pd.DataFrame:
+        """The waiting rows from ``step`` on, as far as there is no gap, a frame at most."""
+        rows = []
+        while len(rows) < 1000 and self.waiting.containsKey((step,)):
+            rows.append((step, *self.waiting.getValue((step,))))
+            self.waiting.removeKey((step,))
+            step += 1
+        return pd.DataFrame(rows, columns=_COLUMNS)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        state = self.state.get() if self.state.exists() else None
+        held = False
+        for frame in rows:
+            frame = frame.sort_values("step", kind="stable")
+            step = state[0] if state is not None else 1
+            frame = frame[frame["step"] >= step].drop_duplicates("step")  # a row that came again
+            ready = frame["step"].to_numpy() == step + np.arange(len(frame))
+            n = int(ready.sum()) if ready.all() else int(ready.argmin())
+            for r in frame.iloc[n:][_COLUMNS].itertuples(index=False, name=None):
+                self.waiting.updateValue((int(r[0]),), (float(r[1]), float(r[2]), str(r[3]), int(r[4]), int(r[5])))
+                held = True
+            now = frame.iloc[:n]
+            while len(now):
+                out, state = self._follow(key[0], now, state)
+                yield out
+                now = self._released(state[0])
+        if state is not None:
+            self.state.update(state)
+        if held and self.patience_ms is not None:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        state = self.state.get() if self.state.exists() else None
+        while (left := min((k[0] for k in self.waiting.keys()), default=None)) is not None:
+            out, state = self._follow(key[0], self._released(left), state)
+            yield out
+        if state is not None:
+            self.state.update(state)
+
+    def close(self) -> None:
+        pass
+
+
+def run_monitor(log_stream: DataFrame, targets: dict[str, int], alpha: float = 0.1, patience_ms: int | None = None) -> DataFrame:
+    """The status of every update of a streamed log (columns of ``LOG_SCHEMA``;
+    further ones are dropped), in append mode. Needs the RocksDB state store
+    (``spark.sql.streaming.stateStore.providerClass``)."""
+    names = [x.split()[0] for x in LOG_SCHEMA.split(", ")]
+    return log_stream.select(*names).groupBy("run").transformWithStateInPandas(
+        RunMonitor(targets, alpha, patience_ms), OUT_SCHEMA, "append", "None" if patience_ms is None else "ProcessingTime")

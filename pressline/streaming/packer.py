@@ -1,57 +1,31 @@
 """Incremental split/pack over a document stream.
 
-``readStream`` (file source) -> ``foreachBatch``: each micro-batch computes its
-documents' stream offsets (distributed prefix sums) on top of the tokens
-carried from earlier batches, then the closed-form budget split (K2). The
-carried state is a small table keyed by batch id in the shared checkpoint
-folder, so a re-run of a batch (after a failure) reads the same inputs and
-overwrites the same output partition: the sink is idempotent. The query's
-own ``checkpointLocation`` makes a restart continue where it stopped (X4).
-
-Equality with the batch split holds when files arrive in ``doc_id`` order
-(one file per id range, ``maxFilesPerTrigger``), which the writer helper
-below produces.
+A stream of key ranges (``ranges``) -> ``foreachBatch``: each micro-batch reads
+its documents, computes their stream offsets (distributed prefix sums) on top
+of the tokens carried from earlier batches, then the closed-form budget split
+(K2). The carried state is a small table keyed by batch id in the shared
+checkpoint folder, so a re-run of a batch (after a failure) reads the same
+inputs and overwrites the same output partition: the sink is idempotent. The
+query's own ``checkpointLocation`` makes a restart continue where it stopped
+(X4). The last range to read is known from the ranges' token totals: the source
+ends there, and so does the query (X2).
 """
 
 from __future__ import annotations
 
-import threading
 import uuid
 
-from pyspark.errors import AnalysisException, StreamingQueryException
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressline.operators.ordered import prefix_sums
-from pressline.operators.packing import byte_doc_len
 from pressline.session import scratch_path
+from pressline.streaming.ranges import key_cuts, range_number, range_stream, rows_of
 
 STATE_SCHEMA = "batch_id long, total long, vend long, train_written long, done boolean"
 
 
-class BudgetMet(Exception):
-    """Ends the stream: thrown by the first batch after the budgets are written.
-    ``stop()`` from outside would interrupt a batch in the middle."""
-
-
-def write_ordered_files(docs: DataFrame, path: str, n_files: int, order: str = "doc_id") -> None:
-    """Append a table to ``path`` as about ``n_files`` Parquet files, each a
-    contiguous ``order`` range, so that a file-source stream replays them in
-    key order: the source goes by modification time, and the ranges are written
-    one after another, each by a task of its own from the table partitioned by
-    range. ``order`` is an integer column without nulls."""
-    spark = docs.sparkSession
-    cuts = docs.select(F.percentile_approx(order, [i / n_files for i in range(1, n_files)], 100 * n_files)).first()[0] or []
-    part = F.lit(0)
-    for c in sorted(set(cuts)):
-        part = part + (F.col(order) > F.lit(c)).cast("int")
-    staged = scratch_path(spark, f"stream-ranges-{uuid.uuid4().hex[:12]}")
-    docs.withColumn("_range", part).repartition(n_files, "_range").write.partitionBy("_range").parquet(staged)
-    ranges = spark.read.parquet(staged)
-    for i in range(len(set(cuts)) + 1):
-        ranges.filter(F.col("_range") == i).drop("_range").coalesce(1).sortWithinPartitions(order).write.mode("append").parquet(path)
-
-
 def _read_state(spark: SparkSession, state_path: str, batch_id: int):
     try:
         st = spark.read.schema(STATE_SCHEMA).parquet(f"{state_path}/*").filter(F.col("batch_id") < batch_id)
@@ -66,17 +40,28 @@ def _read_state(spark: SparkSession, state_path: str, batch_id: int):
     return r["total"], r["vend"], r["train_written"], bool(r["done"])
 
 
-def make_batch_fn(out_path: str, state_path: str, V: int, T: int, met: threading.Event):
-    """The ``foreachBatch`` body for a stream with val/train budgets V and T;
-    a batch that finds both written sets ``met`` and ends the query."""
+def last_range(lengths: DataFrame, key: str, cuts: list[int], V: int, T: int) -> int:
+    """How many ranges hold the budgets: training starts at the latest one
+    document behind V, so the ranges up to V + T and the longest document."""
+    sums = lengths.groupBy(range_number(key, cuts).alias("i")).agg(F.sum("n").alias("n"), F.max("n").alias("most")).collect()
+    need, total = V + T + max([0, *(r["most"] or 0 for r in sums)]), 0
+    for r in sorted(sums, key=lambda r: r["i"]):
+        total += r["n"] or 0
+        if total >= need:
+            return r["i"] + 1
+    return len(cuts) + 1
+
+
+def make_batch_fn(lengths: DataFrame, key: str, out_path: str, state_path: str, V: int, T: int):
+    """The ``foreachBatch`` body over (key, n) rows with val/train budgets V and T."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         total, vend, train_written, done = _read_state(spark, state_path, batch_id)
-        if done:  # X2: the budget was met earlier, later batches hold nothing to do
-            met.set()
-            raise BudgetMet
-        d = batch.select("doc_id", byte_doc_len(F.col("text")).alias("n"))
+        if done:  # the budgets were met by an earlier batch
+            return
+        (r,) = batch.collect()
+        d = rows_of(lengths, key, r["lo"], r["hi"]).select(F.col(key).alias("doc_id"), "n")
         d = prefix_sums(d, "doc_id", {"start": F.col("n")}).withColumn("start", F.col("start") + F.lit(total))
         d = d.persist()
         agg = d.agg(F.sum("n").alias("s"),
@@ -111,24 +96,23 @@ def make_batch_fn(out_path: str, state_path: str, V: int, T: int, met: threading
     return run
 
 
-def run_stream_pack(spark: SparkSession, src: str, schema: str, V: int, T: int,
-                    files_per_trigger: int = 1, work: str | None = None) -> tuple[str, str, str]:
-    """Run the packer over the files now in ``src`` (``availableNow``), and stop
-    it as soon as its budgets are met (X2): files beyond are not read.
-    Calling it again with the same ``work`` folder resumes from the query
-    checkpoint and the carried state: only files added since are read.
-    Returns (output path, state path, work folder)."""
+def run_stream_pack(spark: SparkSession, lengths: DataFrame, V: int, T: int, ranges: int, key: str = "doc_id",
+                    work: str | None = None, cuts: list[int] | None = None, end: int | None = None) -> tuple[str, str, str]:
+    """Split the documents of ``lengths`` (key, n: tokens), about ``ranges``
+    micro-batches in key order, and end behind the range that meets the budgets
+    (or behind ``end`` ranges). Calling it again with the same ``work`` folder
+    and ``cuts`` resumes from the query checkpoint and the carried state: only
+    ranges not read yet are read. Returns (output path, state path, work folder)."""
     work = work or scratch_path(spark, f"stream-pack-{uuid.uuid4().hex[:12]}")
     out_path, state_path, ckpt = f"{work}/out", f"{work}/state", f"{work}/checkpoint"
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(src))
-    met = threading.Event()
-    q = (stream.writeStream.foreachBatch(make_batch_fn(out_path, state_path, V, T, met))
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    cuts = key_cuts(lengths, key, ranges) if cuts is None else cuts
+    end = last_range(lengths, key, cuts, V, T) if end is None else end
+    q = (range_stream(spark, cuts, end).writeStream.foreachBatch(make_batch_fn(lengths, key, out_path, state_path, V, T))
+         .option("checkpointLocation", ckpt).start())
     try:
-        q.awaitTermination()
-    except StreamingQueryException:
-        if not met.is_set():
-            raise
+        q.processAllAvailable()
+    finally:
+        q.stop()  # idle: all ranges are committed
     return out_path, state_path, work
 
 
