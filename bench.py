@@ -19,7 +19,8 @@ HEADLINE = [
     "make_blocks",       # byte ids -> pieces -> fixed windows
     "mask_cost",         # segments per block
     "word_histogram",    # pretokenize + distributed word counts
-    "bpe_encode",        # word-level encode + reassembly
+    "bpe_train",         # histogram + 7 932 merges
+    "bpe_encode",        # word-level encode + reassembly with that model
     "chat_template",     # conversations -> rendered chats
     "moving_average",    # run-log smoothing with halo windows
     "ema",               # chunked linear scan

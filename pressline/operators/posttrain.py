@@ -146,3 +146,12 @@ def needle_cases(docs: DataFrame, needle: Column, depths: list[float], lengths:
     ins = F.concat(F.substring(hay, F.lit(1), at), F.col("needle"), F.expr("substr(substring(" + text + ", 1, len), "
                                                                              "cast(floor(depth * len) as int) + 1)"))
     return t.withColumn("insert_at", at).withColumn("haystack", ins)
+
+
+def needle_recall(cases: DataFrame, answer: Column, expected: Column) -> DataFrame:
+    """Recall per cell of the (depth, length) grid with all totals, for
+    given answers: a case counts when its answer is what the needle holds. A
+    null answer is a miss. Only the cell and the hit reach the cube."""
+    hit = F.when(answer == expected, 1.0).otherwise(0.0)
+    return cases.select("depth", "len", hit.alias("hit")).cube("depth", "len").agg(
+        F.count(F.lit(1)).alias("cases"), F.round(F.avg("hit"), 9).alias("recall"))

@@ -9,24 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# broadcast the embedding table only under this many bytes (rows x dim x 4)
-EMBED_BROADCAST_BYTES = 256 << 20
-
 
 def embedding_lookup(tokens: DataFrame, emb: DataFrame, id_col: str = "id", key: str = "vec_id",
                      vec: str = "embedding") -> DataFrame:
-    """V1: attach the embedding row of each token id.
-
-    The table is broadcast only when its measured size (rows x dim x 4 bytes)
-    is under ``EMBED_BROADCAST_BYTES``; otherwise a shuffle join, where AQE
-    splits the partitions of hot ids (skew join).
-    """
-    stats = emb.select(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
-    size = (stats["n"] or 0) * (stats["d"] or 0) * 4
-    right = emb.withColumnRenamed(key, id_col)
-    if size <= EMBED_BROADCAST_BYTES:
-        right = F.broadcast(right)
-    return tokens.join(right, on=id_col, how="inner")
+    """V1: attach the embedding row of each token id. A plain equi-join without
+    an action or a hint: by the sizes it sees at runtime, adaptive execution
+    broadcasts the table or shuffles both sides and splits the partitions of
+    hot ids."""
+    return tokens.join(emb.withColumnRenamed(key, id_col), on=id_col, how="inner")
 
 
 def rms_norm(x: Column, weight: Column, eps: float) -> Column:

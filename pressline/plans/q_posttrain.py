@@ -136,23 +136,21 @@ WITH g AS (SELECT CAST(d AS DOUBLE) AS depth, CAST(l AS INTEGER) AS len FROM (VA
 c AS (
   SELECT g.depth, g.len, CAST(floor(g.depth * g.len) AS INTEGER) AS at_pos,
          substr(substr(d.text, 1, g.len), 1, CAST(floor(g.depth * g.len) AS INTEGER)) || ' NEEDLE-' || CAST(d.doc_id AS VARCHAR) || ' '
-           || substr(substr(d.text, 1, g.len), CAST(floor(g.depth * g.len) AS INTEGER) + 1) AS hay,
-         ' NEEDLE-' || CAST(d.doc_id AS VARCHAR) || ' ' AS needle
+           || substr(substr(d.text, 1, g.len), CAST(floor(g.depth * g.len) AS INTEGER) + 1) AS hay, d.doc_id
   FROM documents d, g WHERE length(d.text) >= g.len
 )
 SELECT depth, len, CAST(count(*) AS BIGINT) AS cases,
-       round(avg(CASE WHEN instr(hay, needle) = at_pos + 1 THEN 1.0 ELSE 0.0 END), 9) AS recall
+       round(avg(CASE WHEN regexp_extract(right(hay, 1500), 'NEEDLE-([0-9]+) ', 1) = CAST(doc_id AS VARCHAR) THEN 1.0 ELSE 0.0 END), 9) AS recall
 FROM c GROUP BY CUBE (depth, len)""")
 def needle_cases(spark: SparkSession, sf: str) -> DataFrame:
-    """Needle-in-a-haystack grid over depth x length with position
-    recall per cell (and the cube totals)."""
+    """Needle-in-a-haystack grid over depth x length. The answers are those
+    of a reader that keeps the last 1 500 characters of a prompt, as a model
+    with a short context does, and names the number of the needle it sees."""
     d = table(spark, sf, "documents").select("doc_id", "text")
-    needle = F.concat(F.lit(" NEEDLE-"), F.col("doc_id").cast("string"), F.lit(" "))
-    t = D.needle_cases(d, needle, [0.0, 0.25, 0.5, 0.75, 1.0], [1000, 2000, 4000])
-    hit = F.when(F.instr("haystack", F.col("needle")) == F.col("insert_at") + 1, 1.0).otherwise(0.0)
-    # the texts end here: the cube repeats its input rows
-    t = t.select("depth", "len", hit.alias("hit"))
-    return t.cube("depth", "len").agg(F.count(F.lit(1)).alias("cases"), F.round(F.avg("hit"), 9).alias("recall"))
+    number = F.col("doc_id").cast("string")
+    t = D.needle_cases(d, F.concat(F.lit(" NEEDLE-"), number, F.lit(" ")), [0.0, 0.25, 0.5, 0.75, 1.0], [1000, 2000, 4000])
+    answer = F.regexp_extract(F.right("haystack", F.lit(1500)), "NEEDLE-([0-9]+) ", 1)
+    return D.needle_recall(t, answer, number)
 
 
 @register("rolling_logprob", sql=with_ctes(SQL_LOGITS, """
