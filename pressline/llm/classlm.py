@@ -35,6 +35,8 @@ HEAD = 1 << 18
 SWEEPS = 8
 #: neighbours gathered by a task before they are counted
 GATHER = 1 << 21
+#: word numbers handled at once; a longer text is handled alone
+CHUNK_CODES = 1 << 19
 #: words, and cells of the table of units, whose counts travel together
 PART_WORDS, TABLE_CELLS = 1 << 12, 1 << 17
 PRIOR = 10.0
@@ -166,24 +168,23 @@ def unit_counts(codes: DataFrame, units: Units, classes: np.ndarray | None = Non
     def run(batches):
         (u, g), total, keys = shared.value, None, []
         for b in batches:
-            col = b.column(0)
-            code = col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            seq, ends = u.sequence(u.of(code), np.append(0, np.cumsum(col.value_lengths().to_numpy(zero_copy_only=False))))
-            if not len(seq):
-                continue
-            # the token before a text's first is the end of the one above
-            n = np.bincount(np.append(u.end, seq[:-1]) * u.n + seq, minlength=u.n * u.n).astype(np.int32)
-            total = n.astype(np.int64) if total is None else total + n
-            if g is not None:
-                inner = np.ones(len(seq), bool)
-                inner[ends] = False
-                own = code >= u.end
-                at, place = np.flatnonzero(inner)[own], (code[own] - u.end) * (2 * CLASSES)
-                c = g[seq]
-                keys += [place + np.append(g[u.end], c[:-1])[at], place + CLASSES + c[at + 1]]
-                if sum(map(len, keys)) > GATHER:
-                    yield neighbours(keys)
-                    keys = []
+            flat, off = b.column(0).flatten(), np.append(0, np.cumsum(b.column(0).value_lengths().to_numpy(zero_copy_only=False)))
+            for i, j in spans_of(off, CHUNK_CODES):
+                code = flat.slice(off[i], off[j] - off[i]).to_numpy(zero_copy_only=False).astype(np.int64)
+                seq, ends = u.sequence(u.of(code), off[i:j + 1] - off[i])
+                # the token before a text's first is the end of the one above
+                n = np.bincount(np.append(u.end, seq[:-1]) * u.n + seq, minlength=u.n * u.n).astype(np.int32)
+                total = n.astype(np.int64) if total is None else total + n
+                if g is not None:
+                    inner = np.ones(len(seq), bool)
+                    inner[ends] = False
+                    own = code >= u.end
+                    at, place = np.flatnonzero(inner)[own], (code[own] - u.end) * (2 * CLASSES)
+                    c = g[seq]
+                    keys += [place + np.append(g[u.end], c[:-1])[at], place + CLASSES + c[at + 1]]
+                    if sum(map(len, keys)) > GATHER:
+                        yield neighbours(keys)
+                        keys = []
         if keys:
             yield neighbours(keys)
         if total is not None:
