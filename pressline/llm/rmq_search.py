@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import cut, spans_of, text_bytes
 from .textbatch import per_text, word_hashes
 
-#: bytes of item texts whose terms are searched together; more items are searched in further passes
-BLOCK_BYTES = 4 << 20
+#: different (item, term) pairs that are searched together; more items are searched in further passes
+BLOCK_TERMS = 1 << 19
 #: most documents and postings of a shard, and cells of its (term, document) rank table
 SHARD_DOCS, SHARD_POSTINGS, RANK_CELLS = 1 << 13, 1 << 19, 1 << 25
 #: intervals taken off at once, and (interval, term) cells worked on at once
@@ -54,17 +54,30 @@ def term_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return word_hashes(buf, starts, np.flatnonzero(e) + 1, True), np.searchsorted(starts, off)
 
 
-def _items(items: DataFrame, block: int, blocks: int) -> tuple[list, list[np.ndarray], np.ndarray]:
+def item_terms(items: DataFrame) -> DataFrame:
+    """(item_id, h): the different terms of every item, written."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            buf, off = text_bytes(b.column(1))
+            for i, j in spans_of(off):
+                h, first = term_hashes(buf[off[i]:off[j]], off[i:j + 1] - off[i])
+                row = np.repeat(np.arange(i, j), np.diff(first))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(h.view(np.int64))], names=["item_id", "h"])
+
+    kind = items.schema["item_id"].dataType.simpleString()
+    return cut(items.select("item_id", "text").mapInArrow(run, f"item_id {kind}, h long").distinct(), "item-terms")
+
+
+def _items(pairs: DataFrame, block: int, blocks: int) -> tuple[list, list[np.ndarray], np.ndarray]:
     """Ids of a block's items, each one's terms as places in the block's
     vocabulary, and that vocabulary as sorted hashes."""
-    rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).select("item_id", "text").collect()
+    rows = pairs.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).toArrow()
+    h = rows.column("h").to_numpy().view(np.uint64)
     terms: dict = {}
-    for r in rows:
-        raw = np.frombuffer((r.text or "").encode(), np.uint8)
-        terms.setdefault(r.item_id, []).append(term_hashes(raw, np.array([0, len(raw)]))[0])
-    hashes = [np.unique(np.concatenate(t)) for t in terms.values()]
-    vocabulary = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
-    return list(terms), [np.searchsorted(vocabulary, h) for h in hashes], vocabulary
+    for i, item in enumerate(rows.column("item_id").to_pylist()):
+        terms.setdefault(item, []).append(i)
+    vocabulary = np.unique(h)
+    return list(terms), [np.searchsorted(vocabulary, np.sort(h[at])) for at in terms.values()], vocabulary
 
 
 def postings(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
@@ -214,11 +227,11 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
     share a doc_id are documents of their own; a null doc_id comes last among
     equal scores. Documents without a term count nowhere. Empty tables give no
     rows; other columns are not read. Terms are told apart by 64-bit hashes."""
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = total // BLOCK_BYTES + 1
+    pairs = item_terms(items)
+    blocks = pairs.count() // BLOCK_TERMS + 1
     found = None
     for block in range(blocks):
-        ids, terms, vocabulary = _items(items, block, blocks)
+        ids, terms, vocabulary = _items(pairs, block, blocks)
         posted = cut(postings(docs, vocabulary), "postings")
         best = _best(posted, terms, len(vocabulary), k)
         named = best.join(items.sparkSession.createDataFrame(list(enumerate(ids)), f"q int, item_id {items.schema['item_id'].dataType.simpleString()}"), "q")

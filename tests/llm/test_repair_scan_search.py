@@ -165,7 +165,7 @@ def test_search_odd_rows(spark, tmp_path, monkeypatch):
     b = spark.createDataFrame(items, "item_id long, text string, score int")
     got = Counter(tuple(r) for r in rmq_search.search(d, b).collect())
     assert got == twin("op13_rmq_search", documents=written(d, f"{tmp_path}/d.parquet"), benchmark=written(b, f"{tmp_path}/b.parquet"))
-    monkeypatch.setattr(rmq_search, "BLOCK_BYTES", 12)  # items in several passes
+    monkeypatch.setattr(rmq_search, "BLOCK_TERMS", 3)  # items in several passes
     assert Counter(tuple(r) for r in rmq_search.search(d, b).collect()) == got
     assert rmq_search.search(d.limit(0), b).count() == 0 and rmq_search.search(d, b.limit(0)).count() == 0
 
