@@ -29,8 +29,8 @@ from .textbatch import byte_codes, mix, per_text, rolling, window, words
 NGRAM_LIMITS = {5: 0.15, 6: 0.15, 7: 0.15, 8: 0.15, 9: 0.15, 10: 0.15}
 #: n-gram length -> largest share of characters in the occurrences of one n-gram
 TOP_LIMITS = {2: 0.20, 3: 0.18, 4: 0.16}
-#: largest shares of characters in repeated lines, and of lines that are repeats
-LINE_LIMIT, LINE_COUNT_LIMIT = 0.20, 0.35
+#: largest shares of characters in repeated lines, and of lines that are repeats, the latter in texts of MIN_LINES lines or more
+LINE_LIMIT, LINE_COUNT_LIMIT, MIN_LINES = 0.20, 0.35, 10
 MIN_WORDS, BASE_WINDOW, BASE_PERCENT = 20, 8, 30
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -113,7 +113,7 @@ def measure(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
         np.maximum.at(share, doc[at], times * (cum[at + n] - cum[at]))
         top, bad = np.maximum(top, share / some), bad | (share / some > limit)
     lines = dup_chars / some
-    bad |= n_dup_lines > LINE_COUNT_LIMIT * n_lines
+    bad |= (n_lines >= MIN_LINES) & (n_dup_lines > LINE_COUNT_LIMIT * n_lines)
     base = (n_words < MIN_WORDS) | (100 * n_repeat > BASE_PERCENT * n_words)
     return {"n_words": n_words.astype(np.int64), "word_chars": word_chars,
             "n_symbols": per_text(_SYMBOL[buf], off), "n_dup_lines": n_dup_lines.astype(np.int64),

@@ -55,7 +55,7 @@ def _shares(text):
         again += [x] if x in seen else []
         seen.add(x)
     share = sum(len(v) for x in again for v in WORD.findall(x)) / total
-    return share, dup, top, ok and share <= repetition.LINE_LIMIT and len(again) <= repetition.LINE_COUNT_LIMIT * len(lines)
+    return share, dup, top, ok and share <= repetition.LINE_LIMIT and (len(lines) < repetition.MIN_LINES or len(again) <= repetition.LINE_COUNT_LIMIT * len(lines))
 
 
 def test_repetition_equals_brute_force(spark, odd, none):
@@ -87,7 +87,7 @@ def test_repetition_verdict(spark):
 def test_short_phrases_decide(spark):
     """A phrase of three words, 93 of 154, between words that differ; lines without long n-grams."""
     spam = " ".join(f"buy now cheap {'x' * (i % 3)}w{i} {'y' if i % 2 else ''}" for i in range(31))
-    lines = "\n".join(x for i in range(30) for x in (f"own line {i} of this text here", "go home"))
+    lines = "\n".join(x for i in range(30) for x in (f"own{i} line{i} of{i} this{i} text{i} here{i} at{i} last{i}", "go home"))
     rows = [(1, spam), (2, lines), (3, " ".join(f"w{i} v{i % 7}" for i in range(200)))]
     got = {r.doc_id: r for r in repetition.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert not got[1].kept and not got[1].base_failed and got[1].dup_ngram_share == 0 and got[1].top_ngram_share > 0.5
