@@ -80,12 +80,12 @@ def load_checkpoint(spark: SparkSession, path: str, sections: Sequence[str] | No
     return t
 
 
-def average_to_store(tensors: DataFrame, path: str, size: int = CHUNK) -> int:
+def average_to_store(tensors: DataFrame, path: str, size: int = CHUNK, every: bool = True) -> int:
     """Averages whole tensors (chpt, key, dtype, shape, values) over their
-    checkpoints and saves the result as the section ``model``. Elements are
+    checkpoints (all of them, or without ``every`` those that hold a key) and saves the result as the section ``model``. Elements are
     put together ``size`` at a time, never a tensor in one group."""
     at = F.col("i")
-    el = average_checkpoints(tensors).withColumn("chunk", F.floor(at / size).cast("long"))
+    el = average_checkpoints(tensors, every=every).withColumn("chunk", F.floor(at / size).cast("long"))
     rows = el.groupBy("key", "dtype", "chunk").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("i", "value"))), lambda x: x["value"]).alias("values"))
     shapes = tensors.groupBy("key").agg(F.min("shape").alias("shape"))
