@@ -10,10 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pressline.functions.bytes_ import byte_ids
+from pressline.functions.bytes_ import byte_ids, byte_to_id
 from pressline.functions.fixed import BOD_ID, EOD_ID
 from pressline.operators.ordered import prefix_sums
 
@@ -134,6 +137,76 @@ def budget_prefix(docs: DataFrame, est_len: Column, budget: int, order: str = "d
 
 # ---------------------------------------------------------------- stream and blocks
 
+#: tokens of a batch that a task hands on, about: what its Python process holds
+#: besides the batch it reads
+BATCH_TOKENS = 1 << 20
+#: bytes of documents that a task of the join with the pieces reads, about
+TASK_BYTES = 1 << 25
+
+
+def _tokens_of(col: pa.Array):
+    """Of a column of id lists, or of texts that stand for their byte ids with
+    markers: the lengths of the rows, and the tokens at (row, position) pairs."""
+    if pa.types.is_list(col.type):
+        n = col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, at = col.flatten().to_numpy(zero_copy_only=False), np.cumsum(n) - n
+        return n, lambda row, pos: flat[at[row] + pos]
+    _, offsets, data = (whole := col.fill_null("").cast(pa.large_string())).buffers()
+    off = np.frombuffer(offsets, np.int64)[whole.offset:whole.offset + len(whole) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None and off[-1] > off[0] else np.zeros(1, np.uint8)
+    lut, n = np.array(byte_to_id(), np.int32), np.diff(off)
+
+    def tokens(row: np.ndarray, pos: np.ndarray) -> np.ndarray:
+        ids = lut[raw[np.clip(off[row] + pos - 1, 0, len(raw) - 1)]]
+        ids[pos == 0] = BOD_ID
+        ids[pos == n[row] + 1] = EOD_ID
+        return ids
+
+    return np.where(col.is_null().to_numpy(zero_copy_only=False), 0, n + 2), tokens
+
+
+def _token_lists(tokens, null: pa.Array, row: np.ndarray, pos: np.ndarray, n: np.ndarray):
+    """The runs of ``n`` tokens from ``pos`` on in ``row``, as (first run, last
+    run, list array) of about ``BATCH_TOKENS`` tokens each; null in ``null`` rows."""
+    ends, null = np.cumsum(n), null.to_numpy(zero_copy_only=False)
+    at = 0
+    while at < len(n):
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] - n[at] + BATCH_TOKENS, "right")))
+        k = n[at:stop]
+        off = np.append(0, np.cumsum(k))
+        where = np.arange(off[-1]) + np.repeat(pos[at:stop] - off[:-1], k)
+        ids = tokens(np.repeat(row[at:stop], k), where)
+        yield at, stop, pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids), mask=pa.array(null[row[at:stop]]))
+        at = stop
+
+
+def _ids_type(df: DataFrame, ids: str) -> T.DataType:
+    kind = df.schema[ids].dataType
+    return kind if isinstance(kind, T.ArrayType) else T.ArrayType(T.IntegerType())
+
+
+def cut_to_take(pieces: DataFrame, ids: str = "ids", take: str = "take") -> DataFrame:
+    """The pieces with the first ``take`` ids of each. ``ids`` are id lists, or
+    texts, whose byte ids with markers are made here, a bounded batch at a time."""
+    rest = [c for c in pieces.columns if c != ids]
+
+    def run(batches):
+        for b in batches:
+            have, tokens = _tokens_of(b.column(ids))
+            n = np.minimum(have, np.maximum(b.column(take).to_numpy(), 0))
+            for i, j, lists in _token_lists(tokens, b.column(ids).is_null(), np.arange(len(n)), np.zeros(len(n), np.int64), n):
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in rest), lists], names=[*rest, ids])
+
+    fields = [*(pieces.schema[c] for c in rest), T.StructField(ids, _ids_type(pieces, ids))]
+    return pieces.select(*rest, ids).mapInArrow(run, T.StructType(fields))
+
+
+def spread(docs: DataFrame, key: str, size: int) -> DataFrame:
+    """``docs`` (``size`` bytes or so) dealt by ``key`` over tasks of about
+    ``TASK_BYTES``, however large they are, for a join by that key."""
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return docs.repartition(max(tasks, -(-size // TASK_BYTES)), key)
+
 
 def flat_stream(pieces: DataFrame, ids: str = "ids", start: str = "pstart",
                 by: Sequence[str] = ("stage", "split")) -> DataFrame:
@@ -162,41 +235,39 @@ def wanted_pieces(pieces: DataFrame, L: int | Column, first: int | Column = 0, l
 def make_blocks(pieces: DataFrame, L: int | Column, ids: str = "ids", start: str = "pstart",
                 take: str = "take", by: Sequence[str] = ("stage", "split"),
                 with_xy: bool = True, lens: DataFrame | None = None,
-                first: int | Column = 0, last: int | Column | None = None) -> DataFrame:
+                first: int | Column = 0, last: int | Column | None = None, shared: str | None = None) -> DataFrame:
     """K5/K6: fixed windows of ``L + 1`` tokens at stride ``L``.
 
     Block ``b`` holds stream positions ``bL .. bL+L``; there are
     ``(len - 1) div L`` blocks and the rest is dropped. A piece ``[s, e)`` feeds
-    blocks ``max(0, ceil(s/L) - 1) .. floor((e-1)/L)``. ``ids`` must already be
-    cut to ``take`` elements. ``lens`` gives the stream lengths where they are
+    blocks ``max(0, ceil(s/L) - 1) .. floor((e-1)/L)``. Of ``ids`` the first
+    ``take`` count; they are id lists, or texts that stand for their byte ids
+    with markers. ``lens`` gives the stream lengths where they are
     known without the ids; it must be given when ``pieces`` are only the
-    ``wanted_pieces`` of the blocks ``first .. last``.
+    ``wanted_pieces`` of the blocks ``first .. last``. ``shared`` names a flag
+    of the pieces whose positions other pieces may have too (of keys that repeat):
+    all that such pieces hold of a block stands in it, one after the other.
     """
     by = list(by)
     Lc = F.lit(L) if isinstance(L, int) else L
     lens = (stream_lengths(pieces, take, by) if lens is None else lens).withColumn(
         "total_blocks", F.floor((F.col("stream_len") - 1) / Lc).cast("long"))
-    p = pieces.join(lens, on=by, how="inner")
+    # a row per stream: a shuffle by it would bring all ids of a stream to one task
+    p = pieces.join(F.broadcast(lens), on=by, how="inner")
     s = F.col(start)
     e = F.col(start) + F.col(take)
     bound = lambda x: F.lit(x) if isinstance(x, int) else x
     lo = F.greatest(bound(first), F.ceil(s / Lc) - 1)
     hi = F.least(F.floor((e - 1) / Lc), F.col("total_blocks") - 1, *([] if last is None else [bound(last)]))
-    # one slice per overlapped block, built inside the row and exploded as
-    # small structs: the document's id array is never copied per block
-    def piece(b):
-        bs = b * Lc
-        frm = F.greatest(s, bs)
-        to = F.least(e, bs + Lc + 1)
-        return F.struct(b.alias("block_idx"), frm.alias("_from"),
-                        F.slice(ids, (frm - s + 1).cast("int"), (to - frm).cast("int")).alias("_part"))
-
-    p = p.filter(hi >= lo).select(*by, F.explode(F.transform(
-        F.sequence(lo.cast("long"), hi.cast("long")), piece)).alias("_pc"))
-    p = p.select(*by, "_pc.block_idx", "_pc._from", "_pc._part")
-    blocks = p.groupBy(*by, "block_idx").agg(
+    long = lambda x, name: x.cast("long").alias(name)
+    p = p.filter(hi >= lo).select(*by, long(s, "_s"), long(e, "_e"), long(lo, "_lo"), long(hi, "_hi"), long(Lc, "_L"),
+                                  (F.lit(False) if shared is None else F.col(shared)).alias("_shared"), ids)
+    # most blocks lie within one piece and are whole as they are cut; only the
+    # parts at the ends of the pieces are put together by a shuffle
+    blocks = _block_parts(p, by, ids, whole=True).select(*by, "block_idx", F.col("_part").alias("tokens"))
+    blocks = blocks.unionByName(_block_parts(p, by, ids, whole=False).groupBy(*by, "block_idx").agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_from", "_part"))),
-                              lambda x: x["_part"])).alias("tokens"))
+                              lambda x: x["_part"])).alias("tokens")))
     if with_xy:
         blocks = blocks.select(*by, "block_idx", "tokens",
                                F.slice("tokens", 1, Lc).alias("x"),
@@ -204,6 +275,31 @@ def make_blocks(pieces: DataFrame, L: int | Column, ids: str = "ids", start: str
     return blocks
 
 
+def _block_parts(pieces: DataFrame, by: list[str], ids: str, whole: bool) -> DataFrame:
+    """(by, block_idx, _from, _part): what the pieces ``[_s, _e)`` have of their
+    blocks ``_lo .. _hi``; the blocks that a piece holds whole, or the others."""
+    def run(batches):
+        for b in batches:
+            have, tokens = _tokens_of(b.column(ids))
+            s, e, lo, hi, L = (b.column(c).to_numpy() for c in ("_s", "_e", "_lo", "_hi", "_L"))
+            k = hi - lo + 1
+            row = np.repeat(np.arange(len(k)), k)
+            block = np.arange(len(row)) + np.repeat(lo - (np.cumsum(k) - k), k)
+            frm = np.maximum(s[row], block * L[row])
+            to = np.minimum(np.minimum(e, s + have)[row], block * L[row] + L[row] + 1)
+            alone = ~b.column("_shared").to_numpy(zero_copy_only=False)[row]
+            keep = np.flatnonzero(((to - frm == L[row] + 1) & alone) == whole)
+            row, block, frm, n = row[keep], block[keep], frm[keep], np.maximum(to - frm, 0)[keep]
+            for i, j, lists in _token_lists(tokens, b.column(ids).is_null(), row, frm - s[row], n):
+                at = pa.array(row[i:j])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in by), pa.array(block[i:j]), pa.array(frm[i:j]), lists],
+                                                 names=[*by, "block_idx", "_from", "_part"])
+
+    fields = [*(pieces.schema[c] for c in by), T.StructField("block_idx", T.LongType()), T.StructField("_from", T.LongType()),
+              T.StructField("_part", _ids_type(pieces, ids))]
+    return pieces.mapInArrow(run, T.StructType(fields))
+
+
 def resume_block(tokens_seen: int | Column, L: int | Column) -> Column:
     """K7: the first block after ``tokens_seen`` tokens, ``tokens_seen div L`` (current L)."""
     lit = lambda x: F.lit(x) if isinstance(x, int) else x
@@ -227,32 +323,45 @@ def epoch_wrap(blocks: DataFrame, total_blocks: Column, epochs: int, tokens_seen
 # ---------------------------------------------------------------- segments and visibility
 
 
-def eod_positions(tokens: Column) -> Column:
-    """0-based positions of the EOD tokens of a block."""
-    return F.filter(F.sequence(F.lit(0), F.size(tokens) - 1),
-                    lambda i: F.element_at(tokens, i + 1) == EOD_ID)
+def _lengths(blocks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Segment lengths of all blocks of a batch end to end, and how many each has."""
+    n = blocks.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = blocks.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(n)
+    last = np.zeros(len(flat), bool)
+    last[ends[n > 0] - 1] = True  # the end of a block closes its last segment
+    cut = np.flatnonzero((flat == EOD_ID) | last)
+    return np.diff(cut, prepend=-1), np.diff(np.searchsorted(cut, ends), prepend=0)
+
+
+def _lists(n: np.ndarray, values: np.ndarray, blocks: pa.Array) -> pa.Array:
+    off = np.append(0, np.cumsum(n)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(values.astype(np.int32)), mask=blocks.is_null())
 
 
 def doc_segments(tokens: Column) -> Column:
     """Segment id per token = number of EOD tokens strictly before it
-    (the EOD belongs to the document it closes; ids start at 0).
+    (the EOD belongs to the document it closes; ids start at 0). One numpy pass
+    over a batch of blocks."""
+    @F.arrow_udf("array<int>")
+    def segments(blocks: pa.Array) -> pa.Array:
+        lens, k = _lengths(blocks)
+        number = np.arange(len(lens)) - np.repeat(np.cumsum(k) - k, k)
+        n = blocks.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        return _lists(n, np.repeat(number, lens), blocks)
 
-    Built from the segment lengths (O(L)) as ``k`` repeated ``len_k`` times,
-    so no per-token lambda rescans the block."""
-    lens = segment_lengths(tokens)
-    return F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.size(lens), F.lit(1))),
-                                 lambda k: F.array_repeat(k - 1, F.coalesce(F.try_element_at(lens, k), F.lit(0)))))
+    return segments(tokens)
 
 
 def segment_lengths(tokens: Column) -> Column:
-    """Lengths of the document segments of a block, from EOD positions:
-    differences of consecutive boundaries, computed with one ``zip_with``
-    (no per-element recomputation)."""
-    L = F.size(tokens)
-    eod = eod_positions(tokens)
-    starts = F.concat(F.array(F.lit(-1)), eod)
-    ends = F.concat(eod, F.array(L - 1))
-    return F.filter(F.zip_with(ends, starts, lambda e, s: e - s), lambda n: n > 0)
+    """Lengths of the document segments of a block, from the places of its EOD
+    tokens: one numpy pass over a batch of blocks."""
+    @F.arrow_udf("array<int>")
+    def lengths(blocks: pa.Array) -> pa.Array:
+        lens, k = _lengths(blocks)
+        return _lists(k, lens, blocks)
+
+    return lengths(tokens)
 
 
 def visible_pairs(tok_rows: DataFrame, key: Sequence[str] = ("block_idx",)) -> DataFrame:
@@ -281,12 +390,12 @@ def mask_cost(blocks: DataFrame, tokens: str = "x", key: Sequence[str] = ("block
     """Visible pairs per block in closed form: sum n(n+1)/2 over segments,
     versus L(L+1)/2 for a causal-only mask."""
     key = list(key)
-    segs = segment_lengths(F.col(tokens))
-    vis = F.aggregate(segs, F.lit(0).cast("long"),
+    t = blocks.select(*key, F.size(tokens).cast("long").alias("L"), segment_lengths(F.col(tokens)).alias("_segs"))
+    vis = F.aggregate("_segs", F.lit(0).cast("long"),
                       lambda acc, n: acc + ((n.cast("long") * (n + 1)) / 2).cast("long"))
-    L = F.size(tokens).cast("long")
-    return blocks.select(*key, L.alias("L"), F.size(segs).alias("segments"),
-                         vis.alias("visible_pairs"), (L * (L + 1) / 2).cast("long").alias("causal_pairs"))
+    L = F.col("L")
+    return t.select(*key, "L", F.size("_segs").alias("segments"),
+                    vis.alias("visible_pairs"), (L * (L + 1) / 2).cast("long").alias("causal_pairs"))
 
 
 def tile_to_length(df: DataFrame, seq: str, L: int, rows: int) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressline.functions.bytes_ import byte_id_sql
-from pressline.functions.fixed import EOD_ID
+from pressline.functions.fixed import EOD_ID, N_SPECIAL
 from pressline.operators import packing as K
 from pressline.plans.fixtures import SQL_STAGE, STAGE_SEQ_LEN, stage_cfg, stage_corpus, stage_lengths
 from pressline.plans.registry import register, with_ctes
@@ -14,6 +18,7 @@ from pressline.session import materialize_table
 from pressline.sources.tables import table
 
 BYTE_ID = byte_id_sql("b")
+BYTE_VOCAB = N_SPECIAL + 256   # what byte ids may be stored under
 
 BYTE_DOC_IDS = f"""[1] || list_transform(regexp_extract_all(hex(encode(text)), '..'),
                                lambda h: {BYTE_ID.replace('b', "CAST(('0x' || h) AS INTEGER)")}) || [2]"""
@@ -60,39 +65,71 @@ def _split(spark: SparkSession, sf: str, corpus: DataFrame | None = None) -> Dat
 STREAM = ("stage", "split", "seq_len")
 
 
-def _cut_pieces(pieces: DataFrame, ids: DataFrame) -> DataFrame:
-    """The split pieces with their ids. Only the pieces (not the whole corpus
-    through the offset shuffle) meet the ``(doc_id, ids)`` rows, as one row per
-    document that holds its few pieces (stages x splits), so ids move once."""
-    p = pieces.groupBy("doc_id").agg(F.collect_list(F.struct(*STREAM, "pstart", "take")).alias("_p"))
-    cut = F.transform("_p", lambda x: F.struct(x.alias("p"), F.slice("ids", 1, x["take"].cast("int")).alias("ids")))
-    return p.join(ids, "doc_id").select("doc_id", F.explode(cut).alias("_c")).select("doc_id", "_c.p.*", "_c.ids")
+def _with_ids(pieces: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """The split pieces with the ``(doc_id, ids)`` rows of their documents (``size``
+    bytes or so), ids or texts. Only the pieces (not the whole corpus through
+    the offset shuffle) meet them, as one row per document that holds its few
+    pieces (stages x splits), so ids move once, dealt over tasks by their size."""
+    kept = [c for c in pieces.columns if c == "_shared"]
+    p = pieces.groupBy("doc_id").agg(F.collect_list(F.struct(*STREAM, "pstart", "take", *kept)).alias("_p"))
+    both = K.spread(ids, "doc_id", size).join(p, "doc_id").select("doc_id", F.explode("_p").alias("_c"), "ids")
+    return both.select("doc_id", "_c.*", "ids")
+
+
+def _size(corpus: DataFrame) -> int:
+    """Tokens of all documents: every one is in the initial stage."""
+    return corpus.where(F.col("stage") == "initial_stage").agg(F.sum("n")).first()[0] or 0
+
 
+def _blocks_of(pieces: DataFrame, corpus: DataFrame, ids: DataFrame, size: int, **wanted) -> DataFrame:
+    """The blocks of split pieces. A key of several documents gives pieces with
+    each one's ids, which are flagged as sharing their positions."""
+    again = corpus.where(F.col("stage") == "initial_stage").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+    p = pieces.join(again.where(F.col("_n") > 1), "doc_id", "left").withColumn("_shared", F.col("_n").isNotNull()).drop("_n")
+    return K.make_blocks(_with_ids(p, ids, size), F.col("seq_len"), by=STREAM, shared="_shared", **wanted)
 
-def _pieces(spark: SparkSession, sf: str) -> DataFrame:
-    texts = table(spark, sf, "documents").select("doc_id", K.byte_doc_ids(F.col("text")).alias("ids"))
-    return _cut_pieces(K.split_pieces(_split(spark, sf)), texts)
+
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents' texts in the place of their byte ids, which the tasks make."""
+    return table(spark, sf, "documents").select("doc_id", F.col("text").alias("ids"))
+
+
+def _pieces(spark: SparkSession, sf: str, corpus: DataFrame | None = None) -> DataFrame:
+    corpus = stage_lengths(spark, sf) if corpus is None else corpus
+    p = K.split_pieces(_split(spark, sf, corpus))
+    return K.cut_to_take(_with_ids(p, _texts(spark, sf), _size(corpus)))
 
 
 def _blocks(spark: SparkSession, sf: str, first: F.Column | int = 0, last: int | None = None) -> DataFrame:
     """The blocks ``first .. last`` of every stream; the block index picks the
     pieces, and only their documents' ids are made."""
-    p = K.split_pieces(_split(spark, sf))
+    corpus = stage_lengths(spark, sf)
+    p = K.split_pieces(_split(spark, sf, corpus))
     lens = K.stream_lengths(p, by=STREAM)
     p = K.wanted_pieces(p, F.col("seq_len"), first, last)
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = _texts(spark, sf)
     docs = docs.join(p.select("doc_id").distinct(), "doc_id", "left_semi") if last is not None else docs
-    ids = docs.select("doc_id", K.byte_doc_ids(F.col("text")).alias("ids"))
-    return K.make_blocks(_cut_pieces(p, ids), F.col("seq_len"), by=STREAM, lens=lens, first=first, last=last)
+    return _blocks_of(p, corpus, docs, _size(corpus), lens=lens, first=first, last=last)
+
+
+def _summed(weigh) -> Callable[[F.Column], F.Column]:
+    """Per list of a column the sum of its ids, each times its ``weigh(place)``."""
+    @F.arrow_udf("bigint")
+    def sums(lists: pa.Array) -> pa.Array:
+        n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, at = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(n) - n
+        total = np.append(0, np.cumsum(flat if weigh is None else flat * weigh(np.arange(len(flat)) - np.repeat(at, n))))
+        return pa.array(total[at + n] - total[at], mask=lists.is_null().to_numpy(zero_copy_only=False))
+
+    return sums
 
 
-def _weighted(arr) -> F.Column:
-    return F.aggregate(F.sequence(F.lit(1), F.size(arr)), F.lit(0).cast("long"),
-                       lambda acc, i: acc + F.element_at(arr, i).cast("long") * i)
+def _weighted(arr: F.Column) -> F.Column:
+    return _summed(lambda place: place + 1)(arr)
 
 
-def _sum(arr) -> F.Column:
-    return F.aggregate(arr, F.lit(0).cast("long"), lambda acc, x: acc + x)
+def _sum(arr: F.Column) -> F.Column:
+    return _summed(None)(arr)
 
 
 # ------------------------------------------------------------------ S2 / S7 / flagship
@@ -248,11 +285,23 @@ SELECT stage, split, CAST(count(*) AS BIGINT) AS tokens, CAST(sum(id) AS BIGINT)
        CAST(count(*) FILTER (WHERE id = 2) AS BIGINT) AS eod_tokens
 FROM tok GROUP BY stage, split"""))
 def flat_stream(spark: SparkSession, sf: str) -> DataFrame:
-    t = K.flat_stream(_pieces(spark, sf))
-    return t.groupBy("stage", "split").agg(
+    corpus = stage_lengths(spark, sf)
+    t = K.flat_stream(_pieces(spark, sf, corpus))
+    id_, pos = F.col("id").cast("long"), F.col("pos")
+    # positions in two halves: the sum of products goes beyond 64 bits from some
+    # 10^8 tokens on, the sums of the halves do not
+    t = t.groupBy("stage", "split").agg(
         F.count(F.lit(1)).alias("tokens"), F.sum("id").cast("long").alias("id_sum"),
-        F.sum(F.col("id").cast("long") * F.col("pos")).cast("long").alias("pos_weighted"),
+        F.sum(id_ * F.shiftright(pos, 16)).cast("decimal(28,0)").alias("_hi"), F.sum(id_ * (pos % (1 << 16))).cast("decimal(28,0)").alias("_lo"),
         F.max("pos").alias("last_pos"), F.count_if(F.col("id") == EOD_ID).cast("long").alias("eod_tokens"))
+    n = _size(corpus)
+    weighted = (F.col("_hi") * F.lit(1 << 16).cast("decimal(9,0)") + F.col("_lo")).cast("long" if _fits_long(n) else "decimal(38,0)")
+    return t.select("stage", "split", "tokens", "id_sum", weighted.alias("pos_weighted"), "last_pos", "eod_tokens")
+
+
+def _fits_long(n: int) -> bool:
+    """Whether the position-weighted sum of ``n`` byte ids has 64 bits at most, whatever the ids."""
+    return (BYTE_VOCAB - 1) * n * (n - 1) // 2 < 1 << 63
 
 
 @register("make_blocks", sql=with_ctes(SQL_TOKENS, body="""
@@ -302,10 +351,10 @@ marked AS (SELECT *, coalesce(block_idx < lag(block_idx) OVER (ORDER BY fetch_i)
 def _fetches(spark: SparkSession, sf: str) -> DataFrame:
     """Two epochs over the initial-stage training blocks, resumed after 6 * L tokens."""
     L = STAGE_SEQ_LEN["initial_stage"]
-    p = K.split_pieces(_split(spark, sf).filter(F.col("stage") == "initial_stage")).filter(F.col("split") == "train")
-    texts = table(spark, sf, "documents").select("doc_id", K.byte_doc_ids(F.col("text")).alias("ids"))
+    corpus = stage_lengths(spark, sf)
+    p = K.split_pieces(_split(spark, sf, corpus).filter(F.col("stage") == "initial_stage")).filter(F.col("split") == "train")
     lens = K.stream_lengths(p, by=STREAM)
-    b = K.make_blocks(_cut_pieces(p, texts), F.col("seq_len"), by=STREAM, lens=lens)
+    b = _blocks_of(p, corpus, _texts(spark, sf), _size(corpus), lens=lens)
     total = lens.select(F.expr(f"(stream_len - 1) div {L}")).scalar()
     return K.epoch_wrap(b.select("block_idx", F.element_at("x", 1).alias("x_first")), total, 2, 6 * L, L)
 

@@ -7,17 +7,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressline.functions.fixed import N_SPECIAL, OVERFIT_OVERRIDES
+from pressline.functions.fixed import OVERFIT_OVERRIDES
 from pressline.functions.text import segments, special_map
 from pressline.plans.fixtures import SQL_STAGE, stage_cfg, stage_lengths
-from pressline.plans.q_packing import SQL_TOKENS, _pieces
+from pressline.plans.q_packing import BYTE_VOCAB, SQL_TOKENS, _pieces
 from pressline.plans.registry import register, with_ctes
 from pressline.session import scratch_path
 from pressline.sources import sinks
 from pressline.sources.tables import batched_scan, corpus_scan, source_catalog, table
 
-BYTE_VOCAB = N_SPECIAL + 256   # what byte ids may be stored under
-
 
 @register("corpus_scan", sql="""
 SELECT doc_id, lang, source, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes FROM documents WHERE lang = 'en'""")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pressline.operators import bpe
 from pressline.operators import packing as K
 from pressline.plans.fixtures import sql_stage, stage_cfg, stage_rows
-from pressline.plans.q_packing import STREAM, _cut_pieces, _split, _sum, _weighted, sql_tokens
+from pressline.plans.q_packing import STREAM, _blocks_of, _size, _split, _sum, _weighted, _with_ids, sql_tokens
 from pressline.plans.q_text import LIBRARY, _model
 from pressline.plans.registry import register
 from pressline.plans.sql_bpe import VOCAB
@@ -21,6 +21,7 @@ from pressline.session import materialize_table, scratch_path
 from pressline.sources import sinks
 from pressline.sources.tables import table
 
+ID_BYTES = 4   # of an id on its way between tasks
 SQL_SPLIT = sql_stage("documents_tok", "CAST(len(text) AS BIGINT)")
 SQL_STREAMS = sql_tokens(SQL_SPLIT, "text")
 
@@ -47,17 +48,18 @@ def _lengths(spark: SparkSession, sf: str, tokens: DataFrame) -> DataFrame:
     return materialize_table(stage_rows(spark, sf, tokens.select("doc_id", "n_chars", "n")), "token-lengths")
 
 
-def _split_of(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """The written tokens, and their split by the stage budgets."""
+def _split_of(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The written tokens, their lengths by stage, and their split by the stage budgets."""
     tokens = _tokens(spark, sf)
-    return tokens, _split(spark, sf, _lengths(spark, sf, tokens))
+    corpus = _lengths(spark, sf, tokens)
+    return tokens, corpus, _split(spark, sf, corpus)
 
 
 @_twin("trained_split", SQL_SPLIT, body="""
 SELECT stage, doc_id, n, start, val_take, train_take, lost FROM split""")
 def trained_split(spark: SparkSession, sf: str) -> DataFrame:
     """K1/K2 over trained ids: every document's place and its share of each split."""
-    return _split_of(spark, sf)[1].select("stage", "doc_id", "n", "start", "val_take", "train_take", "lost")
+    return _split_of(spark, sf)[2].select("stage", "doc_id", "n", "start", "val_take", "train_take", "lost")
 
 
 @_twin("trained_blocks", SQL_STREAMS, body="""
@@ -66,10 +68,9 @@ SELECT stage, split, block_idx, CAST(count(*) AS INTEGER) AS n_tokens, CAST(sum(
 FROM blk GROUP BY stage, split, block_idx""")
 def trained_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """K5 over trained ids: the fixed windows of every stage's streams."""
-    tokens, split = _split_of(spark, sf)
+    tokens, corpus, split = _split_of(spark, sf)
     p = K.split_pieces(split)
-    b = K.make_blocks(_cut_pieces(p, tokens.select("doc_id", "ids")), F.col("seq_len"), by=STREAM,
-                      lens=K.stream_lengths(p, by=STREAM))
+    b = _blocks_of(p, corpus, tokens.select("doc_id", "ids"), ID_BYTES * _size(corpus), lens=K.stream_lengths(p, by=STREAM))
     return b.select("stage", "split", "block_idx", F.size("tokens").alias("n_tokens"),
                     _sum(F.col("tokens")).alias("id_sum"), _weighted(F.col("tokens")).alias("weighted"))
 
@@ -81,9 +82,10 @@ FROM tok GROUP BY stage, split""")
 def trained_store(spark: SparkSession, sf: str) -> DataFrame:
     """The streams of trained ids written under the vocabulary's bound
     and read back."""
-    tokens, split = _split_of(spark, sf)
+    tokens, corpus, split = _split_of(spark, sf)
     path = scratch_path(spark, f"trained-{uuid.uuid4().hex[:12]}")
-    sinks.write_tokens(_cut_pieces(K.split_pieces(split), tokens.select("doc_id", "ids")), path, vocab_size=VOCAB)
+    p = _with_ids(K.split_pieces(split), tokens.select("doc_id", "ids"), ID_BYTES * _size(corpus))
+    sinks.write_tokens(K.cut_to_take(p), path, vocab_size=VOCAB)
     return spark.read.parquet(path).groupBy("stage", "split").agg(
         F.sum(F.size("ids")).cast("long").alias("tokens"), F.sum(_sum(F.col("ids"))).cast("long").alias("id_sum"),
         F.max(F.array_max("ids")).alias("max_id"), (F.max("pend") - 1).alias("last_pos"),
