@@ -235,7 +235,7 @@ def wanted_pieces(pieces: DataFrame, L: int | Column, first: int | Column = 0, l
 def make_blocks(pieces: DataFrame, L: int | Column, ids: str = "ids", start: str = "pstart",
                 take: str = "take", by: Sequence[str] = ("stage", "split"),
                 with_xy: bool = True, lens: DataFrame | None = None,
-                first: int | Column = 0, last: int | Column | None = None, shared: str | None = None) -> DataFrame:
+                first: int | Column = 0, last: int | Column | None = None, alone: str | None = None) -> DataFrame:
     """K5/K6: fixed windows of ``L + 1`` tokens at stride ``L``.
 
     Block ``b`` holds stream positions ``bL .. bL+L``; there are
@@ -244,9 +244,10 @@ def make_blocks(pieces: DataFrame, L: int | Column, ids: str = "ids", start: str
     ``take`` count; they are id lists, or texts that stand for their byte ids
     with markers. ``lens`` gives the stream lengths where they are
     known without the ids; it must be given when ``pieces`` are only the
-    ``wanted_pieces`` of the blocks ``first .. last``. ``shared`` names a flag
-    of the pieces whose positions other pieces may have too (of keys that repeat):
-    all that such pieces hold of a block stands in it, one after the other.
+    ``wanted_pieces`` of the blocks ``first .. last``. ``alone`` names a
+    column of the position before which no other piece has a piece's positions
+    (null: none has); all that pieces hold of a block they share stands in it,
+    one after the other.
     """
     by = list(by)
     Lc = F.lit(L) if isinstance(L, int) else L
@@ -261,7 +262,7 @@ def make_blocks(pieces: DataFrame, L: int | Column, ids: str = "ids", start: str
     hi = F.least(F.floor((e - 1) / Lc), F.col("total_blocks") - 1, *([] if last is None else [bound(last)]))
     long = lambda x, name: x.cast("long").alias(name)
     p = p.filter(hi >= lo).select(*by, long(s, "_s"), long(e, "_e"), long(lo, "_lo"), long(hi, "_hi"), long(Lc, "_L"),
-                                  (F.lit(False) if shared is None else F.col(shared)).alias("_shared"), ids)
+                                  long(F.coalesce(F.lit(None) if alone is None else F.col(alone), F.lit((1 << 63) - 1)), "_alone"), ids)
     # most blocks lie within one piece and are whole as they are cut; only the
     # parts at the ends of the pieces are put together by a shuffle
     blocks = _block_parts(p, by, ids, whole=True).select(*by, "block_idx", F.col("_part").alias("tokens"))
@@ -287,7 +288,7 @@ def _block_parts(pieces: DataFrame, by: list[str], ids: str, whole: bool) -> Dat
             block = np.arange(len(row)) + np.repeat(lo - (np.cumsum(k) - k), k)
             frm = np.maximum(s[row], block * L[row])
             to = np.minimum(np.minimum(e, s + have)[row], block * L[row] + L[row] + 1)
-            alone = ~b.column("_shared").to_numpy(zero_copy_only=False)[row]
+            alone = block * L[row] + L[row] < b.column("_alone").to_numpy()[row]
             keep = np.flatnonzero(((to - frm == L[row] + 1) & alone) == whole)
             row, block, frm, n = row[keep], block[keep], frm[keep], np.maximum(to - frm, 0)[keep]
             for i, j, lists in _token_lists(tokens, b.column(ids).is_null(), row, frm - s[row], n):
@@ -334,9 +335,9 @@ def _lengths(blocks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.diff(cut, prepend=-1), np.diff(np.searchsorted(cut, ends), prepend=0)
 
 
-def _lists(n: np.ndarray, values: np.ndarray, blocks: pa.Array) -> pa.Array:
+def _lists(n: np.ndarray, values: np.ndarray, null: pa.Array | None = None) -> pa.Array:
     off = np.append(0, np.cumsum(n)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(off), pa.array(values.astype(np.int32)), mask=blocks.is_null())
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(values.astype(np.int32)), mask=null)
 
 
 def doc_segments(tokens: Column) -> Column:
@@ -348,7 +349,7 @@ def doc_segments(tokens: Column) -> Column:
         lens, k = _lengths(blocks)
         number = np.arange(len(lens)) - np.repeat(np.cumsum(k) - k, k)
         n = blocks.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        return _lists(n, np.repeat(number, lens), blocks)
+        return _lists(n, np.repeat(number, lens))
 
     return segments(tokens)
 
@@ -359,7 +360,7 @@ def segment_lengths(tokens: Column) -> Column:
     @F.arrow_udf("array<int>")
     def lengths(blocks: pa.Array) -> pa.Array:
         lens, k = _lengths(blocks)
-        return _lists(k, lens, blocks)
+        return _lists(k, lens, blocks.is_null())
 
     return lengths(tokens)
 

@@ -70,7 +70,7 @@ def _with_ids(pieces: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     bytes or so), ids or texts. Only the pieces (not the whole corpus through
     the offset shuffle) meet them, as one row per document that holds its few
     pieces (stages x splits), so ids move once, dealt over tasks by their size."""
-    kept = [c for c in pieces.columns if c == "_shared"]
+    kept = [c for c in pieces.columns if c == "_alone"]
     p = pieces.groupBy("doc_id").agg(F.collect_list(F.struct(*STREAM, "pstart", "take", *kept)).alias("_p"))
     both = K.spread(ids, "doc_id", size).join(p, "doc_id").select("doc_id", F.explode("_p").alias("_c"), "ids")
     return both.select("doc_id", "_c.*", "ids")
@@ -83,10 +83,13 @@ def _size(corpus: DataFrame) -> int:
 
 def _blocks_of(pieces: DataFrame, corpus: DataFrame, ids: DataFrame, size: int, **wanted) -> DataFrame:
     """The blocks of split pieces. A key of several documents gives pieces with
-    each one's ids, which are flagged as sharing their positions."""
+    each one's ids at the same positions; a document without a length takes all
+    positions up to the budget."""
     again = corpus.where(F.col("stage") == "initial_stage").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
-    p = pieces.join(again.where(F.col("_n") > 1), "doc_id", "left").withColumn("_shared", F.col("_n").isNotNull()).drop("_n")
-    return K.make_blocks(_with_ids(p, ids, size), F.col("seq_len"), by=STREAM, shared="_shared", **wanted)
+    endless = pieces.where(F.col("n").isNull()).groupBy(*STREAM).agg(F.min("pstart").alias("_endless"))
+    p = pieces.join(again.where(F.col("_n") > 1), "doc_id", "left").join(F.broadcast(endless), [*STREAM], "left")
+    p = p.withColumn("_alone", F.when(F.col("_n").isNotNull(), F.lit(0).cast("long")).otherwise(F.col("_endless")))
+    return K.make_blocks(_with_ids(p, ids, size), F.col("seq_len"), by=STREAM, alone="_alone", **wanted)
 
 
 def _texts(spark: SparkSession, sf: str) -> DataFrame:

@@ -54,6 +54,14 @@ def test_blocks_of_texts_are_those_of_their_ids(spark):
             assert {r.block_idx: r.tokens for r in K.make_blocks(pieces, L).collect()} == want
 
 
+def test_shared_positions_give_one_block(spark):
+    rows = [("s", "train", 0, 6, [1, 2, 3, 4, 5, 6], None), ("s", "train", 6, 7, [7] * 7, 6), ("s", "train", 6, 7, [8] * 7, 6)]
+    p = spark.createDataFrame(rows, "stage string, split string, pstart long, take long, ids array<int>, _alone long")
+    lens = spark.createDataFrame([("s", "train", 13)], "stage string, split string, stream_len long")
+    got = sorted((r.block_idx, r.tokens) for r in K.make_blocks(p, 3, lens=lens, alone="_alone").collect())
+    assert got == [(0, [1, 2, 3, 4]), (1, [4, 5, 6, 7, 8]), (2, [7] * 4 + [8] * 4), (3, [7] * 4 + [8] * 4)]
+
+
 def test_no_shuffle_of_ids_by_stream(spark):
     p = spark.createDataFrame([("s", "train", 0, 3, [1, 4, 2])], "stage string, split string, pstart long, take long, ids array<int>")
     plan = K.make_blocks(p, 2)._jdf.queryExecution().optimizedPlan().toString()
@@ -64,7 +72,7 @@ def test_segments_of_many_blocks(spark):
     blocks = [[5, 2, 6, 7], [2, 2, 9], [], None, [4], [8, 2]]
     df = spark.createDataFrame(list(enumerate(blocks)), "i int, x array<int>").coalesce(1)
     got = df.select("i", K.doc_segments(F.col("x")).alias("s"), K.segment_lengths(F.col("x")).alias("n")).orderBy("i").collect()
-    assert [r.s for r in got] == [[0, 0, 1, 1], [0, 1, 2], [], None, [0], [0, 0]]
+    assert [r.s for r in got] == [[0, 0, 1, 1], [0, 1, 2], [], [], [0], [0, 0]]
     assert [r.n for r in got] == [[2, 2], [1, 1, 1], [], None, [1], [2]]
 
 
