@@ -31,12 +31,14 @@ def segments(text: Column) -> Column:
 def pretokenize_with_specials(text: Column) -> Column:
     """Words, with each literal special token kept whole (it becomes its
     special id when encoded); the runs between are pre-tokenized separately,
-    as the reference's tokenizer does."""
+    as the reference's tokenizer does. A text without a special literal is one
+    run, so the search for them, character by character, is left out."""
     sm = special_map()
-    return F.flatten(F.transform(
+    parts = F.flatten(F.transform(
         segments(text),
         lambda s: F.when(F.element_at(sm, s).isNotNull(), F.array(s))
         .otherwise(F.regexp_extract_all(s, F.lit(PRETOKEN_PATTERN), 0))))
+    return F.when(has_special(text), parts).otherwise(pretokenize(text))
 
 
 def has_special(text: Column) -> Column:

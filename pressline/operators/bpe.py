@@ -9,7 +9,9 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,38 +104,43 @@ def _encoder(model: BpeModel):
 
 
 ENCODE_CACHE_WORDS = 200_000
-# encoded words by model, kept by a Python worker from task to task
-_ENCODED: dict[int, dict[str, list[int]]] = {}
+# encoded words by model, as 4-byte ids, kept by a Python worker from task to task
+_ENCODED: dict[int, dict[str, bytes]] = {}
 
 
-def _encoded_words(model_key: int) -> dict[str, list[int]]:
+def _encoded_words(model_key: int) -> dict[str, bytes]:
     if model_key not in _ENCODED:
         _ENCODED.clear()  # one model at a time
     return _ENCODED.setdefault(model_key, {})
 
 
 def encode_word_arrays(words: Column, model: BpeModel) -> Column:
-    """ids of a document from its word array: an Arrow-batched pandas UDF
-    applies the merge ranks word by word, with a bounded cache of encoded words
-    that a worker keeps from task to task (Zipf: most occurrences are cache
-    hits). The merge table travels with the function and is bounded by the
-    vocabulary size."""
+    """ids of a document from its word array: an Arrow UDF applies the merge
+    ranks to the distinct words of a batch, with a bounded cache of encoded words
+    that a worker keeps from task to task (Zipf: most words are cache hits), and
+    lays their ids end to end. The merge table travels with the function and is
+    bounded by the vocabulary size."""
     enc, key = _encoder(model), hash(tuple(model.merges))
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode_udf(docs: pd.Series) -> pd.Series:
-        out, cache = [], _encoded_words(key)
-        for ws in docs:
-            ids: list[int] = []
-            for w in ws:
-                r = cache.get(w)
-                if r is None:
-                    r = enc(w)
-                    if len(cache) < ENCODE_CACHE_WORDS:
-                        cache[w] = r
-                ids.extend(r)
-            out.append(ids)
-        return pd.Series(out)
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def encode_udf(docs: pa.Array) -> pa.Array:
+        cache, parts = _encoded_words(key), []
+        coded = docs.flatten().dictionary_encode()
+        for w in coded.dictionary.to_pylist():
+            r = cache.get(w)
+            if r is None:
+                r = np.array(enc(w), np.int32).tobytes()
+                if len(cache) < ENCODE_CACHE_WORDS:
+                    cache[w] = r
+            parts.append(r)
+        n = np.array([len(r) // 4 for r in parts], np.int64)
+        at, ids = np.cumsum(n) - n, np.frombuffer(b"".join(parts), np.int32)
+        word = coded.indices.to_numpy(zero_copy_only=False)
+        ends = np.append(0, np.cumsum(n[word]))  # of the words' ids
+        ids = ids[np.arange(ends[-1]) + np.repeat(at[word] - ends[:-1], n[word])]
+        each = docs.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        offsets = ends[np.append(0, np.cumsum(each))].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids), mask=docs.is_null())
 
     return encode_udf(words)
 
@@ -141,7 +148,7 @@ def encode_word_arrays(words: Column, model: BpeModel) -> Column:
 def bpe_encode(docs: DataFrame, model: BpeModel, key: str = "doc_id", text: str = "text",
                bod: bool = True, eod: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """Documents -> ids, map-only: the JVM pre-tokenizer (the same one the
-    histogram used) splits the text, one Python pass per Arrow batch applies
+    histogram used) splits the text, one numpy pass per Arrow batch applies
     the merges, and the markers are added natively. Nothing is shuffled. A
     null text counts as empty."""
     ids = encode_word_arrays(pretokenize_with_specials(F.coalesce(F.col(text), F.lit(""))), model)
