@@ -4,8 +4,9 @@ ETA per update, with state carried per run.
 ``transformWithState`` keyed by run. The typed state of a run is the next step
 and what the averages and the stage clock need; rows come frame by frame, so a
 task holds one frame of a run, however much of it a micro-batch brings. Rows
-that arrive before their step's turn wait in a map state on disk and follow as
-soon as the gap is closed. A live monitor has ``patience_ms``: if a gap stays
+that arrive before their step's turn wait in a map state on disk, a window of
+``WINDOW`` steps to an entry, so that a state access moves hundreds of them, and
+follow as soon as the gap is closed. A live monitor has ``patience_ms``: if a gap stays
 open for so long, a timer gives what waits, in order, without the missing
 steps. Such a stream runs on, as its timers may fire at any time; without
 patience a stream over what is there (``availableNow``) ends by itself.
@@ -17,15 +18,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: columns of the log: step counts up from 1 in a run, seconds is the row's time
 LOG_SCHEMA = "run string, step long, seconds double, loss double, stage string, stage_step long, stage_tokens long"
 OUT_SCHEMA = "run string, step long, ema double, avg_time double, elapsed_sec double, rate double, eta_sec long"
-_ROW = "seconds double, loss double, stage string, stage_step long, stage_tokens long"
 _STATE = "next long, ema double, avg_time double, last double, stage string, stage_start double"
-_COLUMNS = ["step", "seconds", "loss", "stage", "stage_step", "stage_tokens"]
+_ROWS = pa.schema([("step", pa.int64()), ("seconds", pa.float64()), ("loss", pa.float64()), ("stage", pa.string()),
+                   ("stage_step", pa.int64()), ("stage_tokens", pa.int64())])
+#: steps whose waiting rows share an entry of the state
+WINDOW = 1 << 10
 
 
 def averaged(values: np.ndarray, before: float | None, alpha: float) -> np.ndarray:
@@ -34,6 +38,24 @@ def averaged(values: np.ndarray, before: float | None, alpha: float) -> np.ndarr
     return s.ewm(alpha=alpha, adjust=False).mean().to_numpy()[0 if before is None else 1:]
 
 
+def _packed(rows: pd.DataFrame) -> tuple[bytes]:
+    batch = pa.RecordBatch.from_pandas(rows, _ROWS, preserve_index=False)
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema) as stream:
+        stream.write_batch(batch)
+    return (out.getvalue().to_pybytes(),)
+
+
+def _unpacked(value: tuple[bytes]) -> pd.DataFrame:
+    return pa.ipc.open_stream(bytes(value[0])).read_pandas()
+
+
+def _in_turn(steps: np.ndarray, step: int) -> int:
+    """How many of the sorted ``steps`` follow from ``step`` on without a gap."""
+    ready = steps == step + np.arange(len(steps))
+    return len(steps) if ready.all() else int(ready.argmin())
+
+
 class RunMonitor(StatefulProcessor):
     """``targets``: steps of the initial stage, tokens of the later ones."""
 
@@ -43,7 +65,7 @@ class RunMonitor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("run", _STATE)
-        self.waiting = handle.getMapState("waiting", "step long", _ROW)
+        self.waiting = handle.getMapState("waiting", "window long", "rows binary")
 
     def _follow(self, run: str, rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
         """The status of rows in step order behind ``state``, and the state after them."""
@@ -67,14 +89,26 @@ class RunMonitor(StatefulProcessor):
                             "rate": pd.Series(rate).where(elapsed > 0, None).astype(object), "eta_sec": eta.astype(np.int64)})
         return out, (int(rows["step"].iloc[-1]) + 1, float(loss[-1]), float(times[-1]), float(at[-1]), str(stages[-1]), float(begin[-1]))
 
+    def _hold(self, rows: pd.DataFrame) -> None:
+        """Puts rows by; one that came again takes the place of the older one."""
+        for window, new in rows.groupby(rows["step"].to_numpy() // WINDOW):
+            key = (int(window),)
+            if self.waiting.containsKey(key):
+                new = pd.concat([_unpacked(self.waiting.getValue(key)), new[_ROWS.names]])
+                new = new.drop_duplicates("step", keep="last").sort_values("step")
+            self.waiting.updateValue(key, _packed(new))
+
     def _released(self, step: int) -> pd.DataFrame:
-        """The waiting rows from ``step`` on, as far as there is no gap, a frame at most."""
-        rows = []
-        while len(rows) < 1000 and self.waiting.containsKey((step,)):
-            rows.append((step, *self.waiting.getValue((step,))))
-            self.waiting.removeKey((step,))
-            step += 1
-        return pd.DataFrame(rows, columns=_COLUMNS)
+        """The waiting rows from ``step`` on, as far as there is no gap, a window's at most."""
+        key = (step // WINDOW,)
+        rows = _unpacked(self.waiting.getValue(key)) if self.waiting.containsKey(key) else _ROWS.empty_table().to_pandas()
+        rest = rows[rows["step"] >= step]  # those before it came again meanwhile
+        n = _in_turn(rest["step"].to_numpy(), step)
+        if n < len(rest) < len(rows) or 0 < n < len(rest):
+            self.waiting.updateValue(key, _packed(rest.iloc[n:]))
+        elif n == len(rest) and len(rows):
+            self.waiting.removeKey(key)
+        return rest.iloc[:n]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         state = self.state.get() if self.state.exists() else None
@@ -83,10 +117,9 @@ class RunMonitor(StatefulProcessor):
             frame = frame.sort_values("step", kind="stable")
             step = state[0] if state is not None else 1
             frame = frame[frame["step"] >= step].drop_duplicates("step")  # a row that came again
-            ready = frame["step"].to_numpy() == step + np.arange(len(frame))
-            n = int(ready.sum()) if ready.all() else int(ready.argmin())
-            for r in frame.iloc[n:][_COLUMNS].itertuples(index=False, name=None):
-                self.waiting.updateValue((int(r[0]),), (float(r[1]), float(r[2]), str(r[3]), int(r[4]), int(r[5])))
+            n = _in_turn(frame["step"].to_numpy(), step)
+            if n < len(frame):
+                self._hold(frame.iloc[n:])
                 held = True
             now = frame.iloc[:n]
             while len(now):
@@ -100,9 +133,13 @@ class RunMonitor(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         state = self.state.get() if self.state.exists() else None
-        while (left := min((k[0] for k in self.waiting.keys()), default=None)) is not None:
-            out, state = self._follow(key[0], self._released(left), state)
-            yield out
+        for window in sorted(k[0] for k in self.waiting.keys()):
+            rows = _unpacked(self.waiting.getValue((window,)))
+            self.waiting.removeKey((window,))
+            rows = rows[rows["step"] >= (state[0] if state is not None else 1)]
+            if len(rows):
+                out, state = self._follow(key[0], rows, state)
+                yield out
         if state is not None:
             self.state.update(state)
 

@@ -110,3 +110,75 @@ def test_source_offsets_are_range_numbers(spark, tmp_path):
 
     offsets = [json.loads(open(p).read().splitlines()[-1])["next"] for p in sorted(glob.glob(f"{work}/checkpoint/offsets/[0-9]*"))]
     assert offsets == list(range(1, len(offsets) + 1)) and len(offsets) >= 4
+
+
+class _State:
+    """A run's state kept in memory, with the number of accesses."""
+
+    def __init__(self):
+        self.value, self.held, self.accesses = None, {}, 0
+
+    def getValueState(self, *_):  # noqa: N802
+        return self
+
+    def getMapState(self, *_):  # noqa: N802
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def keys(self):
+        return iter(list(self.held))
+
+    def containsKey(self, key):  # noqa: N802
+        self.accesses += 1
+        return key in self.held
+
+    def getValue(self, key):  # noqa: N802
+        self.accesses += 1
+        return self.held[key]
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.accesses += 1
+        self.held[key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        self.accesses += 1
+        del self.held[key]
+
+
+def _monitored(frames, targets, calls=1):
+    m, state = monitor.RunMonitor(targets, 0.1, None), _State()
+    m.init(state)
+    each = -(-len(frames) // calls)
+    out = [o for i in range(0, len(frames), each) for o in m.handleInputRows(("a",), iter(frames[i:i + each]), None)]
+    return m, state, pd.concat(out, ignore_index=True)
+
+
+def test_waiting_rows_share_state_accesses():
+    """Files that come in another order than they were written in: a state
+    access moves a window of rows, not one."""
+    n, size = 40_000, 5000
+    log, targets = _log("a", n), {"initial_stage": 500, "lc_stage": 50_000}
+    frames = [log.iloc[i:i + size] for i in range(0, n, size)]
+    _, _, want = _monitored(frames, targets)
+    _, state, got = _monitored(frames[::-1], targets, calls=4)
+    assert not state.held and state.accesses < n // 20
+    pd.testing.assert_frame_equal(got, want)
+
+
+def test_waiting_rows_that_come_again(monkeypatch):
+    monkeypatch.setattr(monitor, "WINDOW", 8)
+    log, targets = _log("a", 60), {"initial_stage": 500, "lc_stage": 50_000}
+    _, _, want = _monitored([log], targets)
+    pick = lambda *steps: log[log.step.isin(steps)]
+    frames = [pick(5, 9, 30), pick(5, 6, 31), log[log.step <= 7], log[log.step <= 20].sample(frac=1, random_state=1), log.sample(frac=1, random_state=2)]
+    m, state, got = _monitored(frames, targets, calls=5)
+    pd.testing.assert_frame_equal(got, want)
+    assert not [o for o in m.handleExpiredTimer(("a",), None, None)] and not state.held  # nothing comes twice
