@@ -71,7 +71,8 @@ def _with_ids(pieces: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     the offset shuffle) meet them, as one row per document that holds its few
     pieces (stages x splits), so ids move once, dealt over tasks by their size."""
     kept = [c for c in pieces.columns if c == "_alone"]
-    p = pieces.groupBy("doc_id").agg(F.collect_list(F.struct(*STREAM, "pstart", "take", *kept)).alias("_p"))
+    # dealt like the ids: else Spark deals the ids anew, over the tasks of the pieces
+    p = K.spread(pieces, "doc_id", size).groupBy("doc_id").agg(F.collect_list(F.struct(*STREAM, "pstart", "take", *kept)).alias("_p"))
     both = K.spread(ids, "doc_id", size).join(p, "doc_id").select("doc_id", F.explode("_p").alias("_c"), "ids")
     return both.select("doc_id", "_c.*", "ids")
 

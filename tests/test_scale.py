@@ -68,6 +68,18 @@ def test_no_shuffle_of_ids_by_stream(spark):
     assert plan.count("strategy=broadcast") == 2
 
 
+def test_ids_are_dealt_by_their_size(spark):
+    p = spark.createDataFrame([(i, "s", "train", 4, 3 * i, 3) for i in range(50)], "doc_id long, stage string, split string, seq_len int, pstart long, take long")
+    ids = spark.createDataFrame([(i, [1, 4, 2]) for i in range(50)], "doc_id long, ids array<int>")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # pieces too many to be broadcast
+    try:
+        both = q_packing._with_ids(p, ids, 40 * K.TASK_BYTES)
+        assert both.rdd.getNumPartitions() == 40 and both.count() == 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
 def test_segments_of_many_blocks(spark):
     blocks = [[5, 2, 6, 7], [2, 2, 9], [], None, [4], [8, 2]]
     df = spark.createDataFrame(list(enumerate(blocks)), "i int, x array<int>").coalesce(1)
