@@ -28,8 +28,8 @@ OUT_SCHEMA = "run string, step long, ema double, avg_time double, elapsed_sec do
 _STATE = "next long, ema double, avg_time double, last double, stage string, stage_start double"
 _ROWS = pa.schema([("step", pa.int64()), ("seconds", pa.float64()), ("loss", pa.float64()), ("stage", pa.string()),
                    ("stage_step", pa.int64()), ("stage_tokens", pa.int64())])
-#: steps whose waiting rows share an entry of the state
-WINDOW = 1 << 10
+#: steps whose waiting rows share an entry of the state, and waiting rows that follow at once
+WINDOW, LOT = 1 << 10, 1000
 
 
 def averaged(values: np.ndarray, before: float | None, alpha: float) -> np.ndarray:
@@ -99,16 +99,21 @@ class RunMonitor(StatefulProcessor):
             self.waiting.updateValue(key, _packed(new))
 
     def _released(self, step: int) -> pd.DataFrame:
-        """The waiting rows from ``step`` on, as far as there is no gap, a window's at most."""
-        key = (step // WINDOW,)
-        rows = _unpacked(self.waiting.getValue(key)) if self.waiting.containsKey(key) else _ROWS.empty_table().to_pandas()
-        rest = rows[rows["step"] >= step]  # those before it came again meanwhile
-        n = _in_turn(rest["step"].to_numpy(), step)
-        if n < len(rest) < len(rows) or 0 < n < len(rest):
-            self.waiting.updateValue(key, _packed(rest.iloc[n:]))
-        elif n == len(rest) and len(rows):
-            self.waiting.removeKey(key)
-        return rest.iloc[:n]
+        """The waiting rows from ``step`` on, as far as there is no gap, ``LOT`` at most."""
+        lot, end = [_ROWS.empty_table().to_pandas()], step + LOT
+        while step < end and self.waiting.containsKey(key := (step // WINDOW,)):
+            rows = _unpacked(self.waiting.getValue(key))
+            rest = rows[rows["step"] >= step]  # those before it came again meanwhile
+            n = min(_in_turn(rest["step"].to_numpy(), step), end - step)
+            if n == len(rest):
+                self.waiting.removeKey(key)
+            elif n or len(rest) < len(rows):
+                self.waiting.updateValue(key, _packed(rest.iloc[n:]))
+            if n == 0:
+                break
+            lot.append(rest.iloc[:n])
+            step += n
+        return pd.concat(lot[1:]) if len(lot) > 1 else lot[0]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         state = self.state.get() if self.state.exists() else None
@@ -134,11 +139,13 @@ class RunMonitor(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         state = self.state.get() if self.state.exists() else None
         for window in sorted(k[0] for k in self.waiting.keys()):
-            rows = _unpacked(self.waiting.getValue((window,)))
-            self.waiting.removeKey((window,))
-            rows = rows[rows["step"] >= (state[0] if state is not None else 1)]
-            if len(rows):
-                out, state = self._follow(key[0], rows, state)
+            while self.waiting.containsKey((window,)):
+                rows = _unpacked(self.waiting.getValue((window,)))
+                rows = rows[rows["step"] >= (state[0] if state is not None else 1)]
+                if not len(rows):
+                    self.waiting.removeKey((window,))
+                    break
+                out, state = self._follow(key[0], self._released(int(rows["step"].iloc[0])), state)
                 yield out
         if state is not None:
             self.state.update(state)
