@@ -31,10 +31,22 @@ def words_of(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) ->
     return docs.select(*keep, F.posexplode(pretokenize_with_specials(F.col(text))).alias("wpos", "word"))
 
 
+def tasks(df: DataFrame) -> int:
+    """Tasks of a heavy step: the shuffle's partitions, every core at least."""
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def dealt(docs: DataFrame) -> DataFrame:
+    """``docs`` dealt row by row over all tasks. One task scans a row group,
+    however large; taking its words costs far more than moving its texts."""
+    return docs.repartition(tasks(docs))
+
+
 def word_histogram(docs: DataFrame, text: str = "text") -> DataFrame:
     """T5: distinct words and their counts (specials excluded). Partial
     aggregation before the shuffle absorbs Zipf-hot words."""
-    w = docs.select(F.explode(pretokenize_with_specials(F.col(text))).alias("word"))
+    w = dealt(docs.select(text)).select(F.explode(pretokenize_with_specials(F.col(text))).alias("word"))
     w = w.filter(F.element_at(special_map(), F.col("word")).isNull())
     return w.groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
 
@@ -160,7 +172,7 @@ def token_table(docs: DataFrame, model: BpeModel, keep: tuple[str, ...] = ()) ->
     """The corpus as trained ids, ``(doc_id, *keep, ids, n)``: encoded once and
     written, so that lengths, offsets, split, blocks and store read this table
     and never the texts."""
-    return materialize_table(bpe_encode(docs, model, keep=keep).withColumn("n", F.size("ids").cast("long")), "corpus-tokens")
+    return materialize_table(bpe_encode(dealt(docs), model, keep=keep).withColumn("n", F.size("ids").cast("long")), "corpus-tokens")
 
 
 def bpe_decode(ids_df: DataFrame, model: BpeModel, spark: SparkSession, key: str = "doc_id",

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressline.functions.bytes_ import byte_ids
-from pressline.operators.bpe import BpeModel
+from pressline.operators.bpe import BpeModel, tasks
 from pressline.session import materialize_table
 
 PAIR_SHIFT = 1 << 32
@@ -190,12 +190,6 @@ def learn(model: BpeModel, segments: list[tuple[bytes, int]], vocab_size: int, c
     return {segments[i][0]: np.array(segs[i], np.int32).tobytes() for i in changed}
 
 
-def _tasks(df: DataFrame) -> int:
-    """Tasks over the word table: the shuffle's partitions, every core at least."""
-    spark = df.sparkSession
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def train_bpe(hist: DataFrame, vocab_size: int, candidates: int = CANDIDATES, most_segments: int = SEGMENTS) -> BpeModel:
     """Merges of a (word, freq) table until the vocabulary has ``vocab_size``
     entries (specials, 256-symbol alphabet, then merges in learning order) or
@@ -206,7 +200,7 @@ def train_bpe(hist: DataFrame, vocab_size: int, candidates: int = CANDIDATES, mo
     ``candidates`` pairs and ``most_segments`` segments."""
     model = BpeModel.base()
     words = hist.select(F.col("freq").cast("long").alias("freq"), byte_ids(F.col("word")).alias("sym"))
-    words = materialize_table(words.filter(F.size("sym") > 1).repartition(_tasks(words)), "bpe-words")
+    words = materialize_table(words.filter(F.size("sym") > 1).repartition(tasks(words)), "bpe-words")
     k = candidates
     while len(model.tokens) < vocab_size:
         k = min(k, 2 * (vocab_size - len(model.tokens)) + 16)
