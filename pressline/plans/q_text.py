@@ -102,7 +102,7 @@ def word_histogram_ws(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _encoded(spark: SparkSession, sf: str, vocab: int) -> DataFrame:
-    e = bpe.bpe_encode(table(spark, sf, "documents").select("doc_id", "text"), _model(spark, sf, vocab))
+    e = bpe.bpe_encode(bpe.dealt(table(spark, sf, "documents").select("doc_id", "text")), _model(spark, sf, vocab))
     return e.select("doc_id", F.size("ids").alias("n_ids"),
                     F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"))
 
