@@ -38,9 +38,11 @@ def tasks(df: DataFrame) -> int:
 
 
 def dealt(docs: DataFrame) -> DataFrame:
-    """``docs`` dealt row by row over all tasks. One task scans a row group,
-    however large; taking its words costs far more than moving its texts."""
-    return docs.repartition(tasks(docs))
+    """``docs`` dealt row by row over all tasks if they lie in fewer files than
+    there are cores. One task scans a row group, however large; taking its words
+    costs far more than moving its texts."""
+    enough = len(docs.inputFiles()) >= docs.sparkSession.sparkContext.defaultParallelism
+    return docs if enough else docs.repartition(tasks(docs))
 
 
 def word_histogram(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -142,10 +142,13 @@ def test_empty_histogram_and_null_texts(spark):
     assert {r["doc_id"]: r["text"] for r in bpe.bpe_decode(bpe.bpe_encode(df, model), model, spark).collect()} == {0: "", 1: "a"}
 
 
-def test_words_of_one_row_group_are_taken_by_all_tasks(spark):
+def test_words_of_one_row_group_are_taken_by_all_tasks(spark, tmp_path):
     docs = spark.createDataFrame([(i, "a b ab") for i in range(40)], "doc_id long, text string").coalesce(1)
     taken = bpe.dealt(docs).select(F.spark_partition_id().alias("p")).distinct().count()
     assert taken == bpe.tasks(docs) > 1
     hist = bpe.word_histogram(docs)
     assert "RoundRobinPartitioning" in hist._jdf.queryExecution().executedPlan().toString()
     assert {r.word: r.freq for r in hist.collect()} == {"a": 40, " b": 40, " ab": 40}
+    docs.repartition(spark.sparkContext.defaultParallelism).write.parquet(f"{tmp_path}/many")
+    many = bpe.dealt(spark.read.parquet(f"{tmp_path}/many"))
+    assert "RoundRobinPartitioning" not in many._jdf.queryExecution().executedPlan().toString()
